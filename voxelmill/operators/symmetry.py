@@ -114,19 +114,25 @@ def symmetrize(volume: Volume, group: str, strategy: str | None = None) -> Volum
     return volume.with_voxels(out, laue_group=group, dense=True)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def array_median(a: Column) -> Column:
     """Median of an array without nulls, null if empty."""
-    s, n = F.array_sort(a), F.size(a)
-    mid = lambda i: F.get(s, i.cast("int"))
-    return F.when(n > 0, (mid(F.floor((n - 1) / 2)) + mid(F.floor(n / 2))) / 2.0)
+    mid = lambda s, i: F.get(s, i.cast("int"))
+    return let(F.array_sort(a), lambda s: F.when(F.size(s) > 0, (mid(s, F.floor((F.size(s) - 1) / 2)) + mid(s, F.floor(F.size(s) / 2))) / 2.0))
 
 
 def _mend(a: Column, sigma: float) -> Column:
     """Values of one orbit (null: unmeasured) with outliers replaced by the median."""
-    known = F.filter(a, lambda x: x.isNotNull())
-    med = array_median(known)
-    mad = F.lit(MAD_SCALE) * array_median(F.transform(known, lambda x: F.abs(x - med)))
-    return F.transform(a, lambda x: F.when((mad > MAD_FLOOR) & (F.abs(x - med) > F.lit(float(sigma)) * mad), med).otherwise(x))
+
+    def mended(med: Column, mad: Column) -> Column:
+        return F.transform(a, lambda x: F.when((mad > MAD_FLOOR) & (F.abs(x - med) > F.lit(float(sigma)) * mad), med).otherwise(x))
+
+    spread = lambda known, med: F.lit(MAD_SCALE) * array_median(F.transform(known, lambda x: F.abs(x - med)))
+    return let(F.filter(a, lambda x: x.isNotNull()), lambda k: let(array_median(k), lambda m: let(spread(k, m), lambda d: mended(m, d))))
 
 
 def reject_outliers(volume: Volume, group: str, sigma: float = 3.0, n_iter: int = 1, strategy: str | None = None) -> Volume:
@@ -153,9 +159,10 @@ def reject_outliers(volume: Volume, group: str, sigma: float = 3.0, n_iter: int
         out = full.withColumn("replaced", F.lit(0))
         for i in range(n_iter):
             near = gather(volume.with_voxels(out.select("vol", *DIMS, "val")), group).groupBy("vol", *DIMS).agg(F.collect_list("val").alias("e"))
-            near = near.withColumn("med", array_median(F.col("e"))).withColumn("mad", F.lit(MAD_SCALE) * array_median(F.transform("e", lambda x: F.abs(x - F.col("med")))))
+            spread = let(array_median(F.col("e")), lambda m: F.struct(m.alias("med"), (F.lit(MAD_SCALE) * array_median(F.transform("e", lambda x: F.abs(x - m)))).alias("mad")))
+            near = near.select("vol", *DIMS, spread.alias("m")).select("vol", *DIMS, "m.*")
             bad = F.coalesce((F.col("mad") > MAD_FLOOR) & (F.abs(F.col("val") - F.col("med")) > F.lit(float(sigma)) * F.col("mad")), F.lit(False))
-            out = out.join(near.drop("e"), ["vol", *DIMS], "left")
+            out = out.join(near, ["vol", *DIMS], "left")
             out = out.select("vol", *DIMS, F.when(bad, F.col("med")).otherwise(F.col("val")).alias("val"), (F.col("replaced") + bad.cast("int")).alias("replaced"))
             if i < n_iter - 1:
                 out = cut(out)
