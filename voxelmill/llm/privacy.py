@@ -98,16 +98,20 @@ def disclosing_pairs(found: DataFrame, texts: DataFrame, share: float = DISCLOSU
     near = found.where("size(ctx) > 0").select("th", F.explode(F.array_distinct(F.transform("ctx", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("c"))
     by_text = near.groupBy("c.entity", "c.term", "th").agg(F.count("*").alias("n"))
     pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= support)
-    pairs = materialise(pairs)
     entities = found.where("size(spans) > 0").select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    total = F.lit(float(max(1, n_docs)))
+    known = F.ln(total / F.col("n_entity"))
+    gain = lambda n_term: F.ln(F.col("n_both") * total / (F.col("n_entity") * n_term))
+    # a term is in at least as many documents as it is near entities in, so a pair that fails on that count fails for good
+    least = found.where("size(ctx) > 0").select(F.explode(F.array_distinct(F.transform("ctx", lambda c: c["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = pairs.join(entities, "entity").join(least, "term").where((known > 0) & (gain(F.col("n_near")) >= share * known))
+    pairs = materialise(pairs.select("entity", "term", "n_both", "n_entity"))
     wanted = pairs.select("term").distinct()
     words = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
     few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     words = words.join(F.broadcast(wanted), "term", "left_semi") if few else words
     terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    known = F.ln(F.lit(float(max(1, n_docs))) / F.col("n_entity"))
-    gain = F.ln(F.col("n_both") * F.lit(float(max(1, n_docs))) / (F.col("n_entity") * F.col("n_term")))
-    return pairs.join(entities, "entity").join(terms, "term").where((known > 0) & (gain >= share * known)).select("entity", "term")
+    return pairs.join(terms, "term").where(gain(F.col("n_term")) >= share * known).select("entity", "term")
 
 
 def joined(spans: Column) -> Column:
