@@ -9,7 +9,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.llm.common import slices
+from voxelmill.llm.common import materialise, slices
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
@@ -35,6 +35,10 @@ GOOD_WORD = {"article", "content", "entry", "main", "post", "story", "text", "bo
 CLOSES = {t: {"p"} for t in BLOCK - {"br"}} | {"li": {"p", "li"}, "dt": {"p", "dd", "dt"}, "dd": {"p", "dd", "dt"}, "tr": {"p", "td", "th", "tr"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "option": {"option"}}
 
 
+#: Hosts up to which their paths are broadcast; more are joined by shuffling the pages.
+BROADCAST_HOSTS = 200_000
+
+
 def _words(value: str) -> set[str]:
     return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
 
@@ -168,7 +172,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     tag-class steps; a host's path is the one with most votes (ties: the
     smaller).  Pages are then extracted at their host's path; one that has no
     text there falls back on its own best container.  Votes are summed before
-    the shuffle, and the join lets Spark split the pages of a hot host.
+    the shuffle; the hosts' paths are broadcast if they are few enough, else the
+    join lets Spark split the pages of a hot host.
 
     Null html gives the empty text, a null url is a host of its own (``''``),
     repeated rows stay, an empty table gives no rows, other columns are ignored.
@@ -193,5 +198,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     votes = votes.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
     # a struct's order is by field: most votes, then the smaller path
     winners = votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("path"))).alias("w")).select("host", F.col("w.path").alias("path"))
+    winners = materialise(winners)
+    if winners.count() <= BROADCAST_HOSTS:
+        winners = F.broadcast(winners)
     id_type = pages.schema["page_id"].dataType.simpleString()
     return rows.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(take, f"page_id {id_type}, url string, text string, n_chars long, container string")
