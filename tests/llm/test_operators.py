@@ -245,3 +245,24 @@ def test_shards(spark):
         assert r.grown_shard in (r.shard, 5) and r.size == 2 * (r.doc_id % 7) + 1 and r.text_crc32 == zlib.crc32(("é" * (r.doc_id % 7)).encode())
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert 1300 < len(by[4]) < 1700
+
+
+def test_no_similar_pair_of_a_large_block_is_ruled_out(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(120):
+        w = list(base[: 150 - i % 30])
+        for at in rng.integers(0, len(w), i % 8):
+            w[at] = f"x{rng.integers(6)}" if i % 2 else ""  # few words and deletions, so that rare shingles are shared
+        texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    rows = [(i, t, hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, texts[0])], "doc_id long, text string")
+    nodes = spark.createDataFrame([(h, i, i, len(sets[i])) for i, _, h in rows], "th string, low long, node long, m long")
+    heavy = spark.createDataFrame([(1, i, i) for i, _, _ in rows], "key long, node long, c long")
+    got = {(r.a, r.b) for r in simhash._possible(docs, nodes, heavy, 5, 0.8).collect()}
+    every = list(itertools.combinations(range(len(texts)), 2))
+    want = {(a, b) for a, b in every if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want and want <= got and len(got) < len(every)

@@ -145,6 +145,10 @@ WORDS = 16
 #: Blocking keys of a text, each made of so many minima of remixed shingle hashes: a pair of similarity s shares one
 #: with chance 1 - (1 - s^ROWS)^KEYS (0.997 at 0.8, 0.9999 at 0.9).
 KEYS, ROWS = 8, 3
+#: Centres of a block that its nodes are tried against first.
+HUBS = 4
+#: Nodes whose texts are looked up by broadcasting them; more are joined by a shuffle.
+BROADCAST_NODES = 200_000
 
 
 def expected_difference(jaccard: float) -> float:
@@ -153,7 +157,7 @@ def expected_difference(jaccard: float) -> float:
 
 
 def long_fingerprints(docs: DataFrame, ngram: int) -> DataFrame:
-    """``(doc_id, th, w, keys)``: MD5 of the text, WORDS fingerprints from remixed hashes of its shingle set, and its blocking keys."""
+    """``(doc_id, th, w, keys, m)``: MD5 of the text, WORDS fingerprints from remixed hashes of its shingle set, its blocking keys and its number of different shingles."""
 
     def run(batches):
         import numpy as np
@@ -165,17 +169,18 @@ def long_fingerprints(docs: DataFrame, ngram: int) -> DataFrame:
             return h ^ (h >> np.uint64(31))
 
         for part in slices(batches):
-            out, th, keys = [], [], []
+            out, th, keys, m = [], [], [], []
             for t in part.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t, ngram))
+                m.append(len(h))
                 out.append([_signed(majority(mixed(h, k))) for k in range(1, WORDS + 1)])
                 th.append(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest())
                 low = [int(mixed(h, WORDS + k).min()) if len(h) else 0 for k in range(1, KEYS * ROWS + 1)]
                 keys.append([_signed(hash((i, *low[i * ROWS : (i + 1) * ROWS])) % 2**64) for i in range(KEYS)])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(th), pa.array(out, longs), pa.array(keys, longs)], names=["doc_id", "th", "w", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(th), pa.array(out, longs), pa.array(keys, longs), pa.array(m, pa.int64())], names=["doc_id", "th", "w", "keys", "m"])
 
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th string, w array<long>, keys array<long>")
+    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th string, w array<long>, keys array<long>, m long")
 
 
 def _verified(pairs: DataFrame, table: DataFrame, allowed: int) -> DataFrame:
@@ -188,6 +193,59 @@ def _verified(pairs: DataFrame, table: DataFrame, allowed: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(close).where(differing <= allowed).select("a", "b")
 
 
+def _shingles(docs: DataFrame, nodes: DataFrame, ngram: int) -> DataFrame:
+    """``(node, h)``: the different shingle hashes of the texts of ``nodes(th, low, node)``."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for part in slices(batches, 64):
+            for node, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                h = np.unique(shingle_hashes(t, ngram)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(h)], names=["node", "h"])
+
+    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    texts = docs.select("doc_id", text_of(docs).alias("text")).withColumn("th", F.md5("text"))
+    found = texts.join(F.broadcast(nodes) if few else nodes, (texts["th"] == nodes["th"]) & texts["doc_id"].eqNullSafe(nodes["low"]))
+    return found.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, h long")
+
+
+def _possible(docs: DataFrame, nodes: DataFrame, heavy: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes in the large blocks ``heavy(key, node, c)`` that may reach the similarity.
+
+    Sets of m1 and m2 shingles with similarity s share s / (1 + s) * (m1 + m2).
+    A shingle that one, two or three nodes of large blocks have is rare.  Pairs
+    without a common rare shingle share at most what is not rare in either; for
+    the others, whose number is bounded by the rare shingles, the common rare
+    ones are added.  So the bound discards no pair of that similarity.
+    """
+    least = similarity / (1 + similarity) - 1e-9
+    ids = materialise(heavy.select("node", "c").distinct().join(nodes.select("node", "th", "low", "m"), "node"))
+    owners = _shingles(docs, ids.select("node", "th", "low"), ngram).groupBy("h")
+    # three owners are known by the smallest, the largest and the sum
+    owners = owners.agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.try_sum("node").alias("all"))
+    rare = materialise(owners.where("n <= 3"))
+    middle = F.col("all") - F.col("lo") - F.col("hi")
+    each = F.when(F.col("n") == 1, F.array("lo")).when(F.col("n") == 2, F.array("lo", "hi")).otherwise(F.array("lo", middle, "hi"))
+    own = rare.select(F.explode(each).alias("node")).groupBy("node").agg(F.count("*").alias("rare"))
+    ids = materialise(ids.join(own, "node", "left").select("node", "c", "m", (F.col("m") - F.coalesce("rare", F.lit(0))).alias("s")))
+
+    side = lambda df, x: df.select(*[k for k in df.columns if k == "key"], *[F.col(k).alias(f"{k}{x}") for k in ("node", "c", "m", "s")])
+    members = heavy.select("key", "node").join(ids, "node")
+    small = members.groupBy("key").agg(F.min("m").alias("least_m"))
+    members = materialise(members.join(small, "key").where(F.col("s") >= least * (F.col("m") + F.col("least_m"))).drop("least_m"))
+    one = members.groupBy("key", "c").agg(F.max(F.struct("s", "node", "m")).alias("o")).select("key", "o.node", "c", "o.m", "o.s")
+    apart = side(members, "a").join(side(one, "b"), "key").where("ca <> cb").where(F.least("sa", "sb") >= least * (F.col("ma") + F.col("mb")))
+    pairs = F.when(F.col("n") == 2, F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).otherwise(
+        F.array(*[F.struct(p.alias("a"), q.alias("b")) for p, q in ((F.col("lo"), middle), (middle, F.col("hi")), (F.col("lo"), F.col("hi")))])
+    )
+    common = rare.where("n > 1").select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("r"))
+    common = common.join(side(ids, "a"), F.col("a") == F.col("nodea")).join(side(ids, "b"), F.col("b") == F.col("nodeb")).where("ca <> cb")
+    common = common.where(F.least("sa", "sb") + F.col("r") >= least * (F.col("ma") + F.col("mb")))
+    return apart.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).union(common.select("a", "b"))
+
+
 def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, th, component_id, class)`` by similarity of n-word shingle sets.
 
@@ -196,36 +254,43 @@ def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) ->
     are verified by the share of differing bits of their long fingerprints,
     which estimates the similarity (standard error about 0.03 at 0.8).
 
-    First each node is tried against the smallest and the largest node of its
-    blocks, which joins large groups with few links.  Then, in blocks whose
-    nodes are not all in one class yet, the rest is tried: all pairs of
-    different classes in blocks of at most LIGHT nodes, and in larger ones every
-    node against one node of each other class (classes meet at their smallest
-    node of the block), so that no group of copies makes pairs within itself.
+    First each node is tried against up to HUBS centres of its blocks: the nodes
+    that meet most others, which in a group of edited copies are those nearest
+    to the original.  Then, in blocks whose nodes are not all in one class yet,
+    the rest is tried: all pairs of different classes in blocks of at most LIGHT
+    nodes, and in larger ones every node against one node of each other class,
+    as far as the shingles they can share allow the similarity.
     Null texts are empty and equal each other.
     """
     allowed = math.floor(expected_difference(similarity) * 64 * WORDS)
     rows = materialise(long_fingerprints(docs, ngram))
-    nodes = rows.groupBy("th").agg(F.min("doc_id").alias("low"), F.first("w").alias("w"), F.first("keys").alias("keys"))
+    nodes = rows.groupBy("th").agg(F.min("doc_id").alias("low"), *[F.first(x).alias(x) for x in ("w", "keys", "m")])
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
     table = nodes.select("node", "w", *[c.alias(f"p{i}") for i, c in enumerate(_long_pivots())])
 
     blocks = nodes.select("node", F.explode("keys").alias("key"))
-    ends = blocks.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    met = materialise(blocks.join(ends, "key"))
+    sizes = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialise(blocks.join(sizes, "key"))
+    meets = met.groupBy("node").agg(F.sum("n").alias("meets"))
+    slot = F.pmod(F.xxhash64("node"), F.lit(HUBS))
+    hub = [F.max(F.when(slot == i, F.struct("meets", "node"))) for i in range(HUBS)]
+    hubs = met.join(meets, "node").groupBy("key").agg(F.array_compact(F.array(*[h["node"] for h in hub])).alias("hubs"))
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = met.where("node <> lo").select(*ordered("node", "lo")).union(met.where("node <> hi").select(*ordered("node", "hi"))).distinct()
+    pairs = met.join(hubs, "key").select("node", F.explode("hubs").alias("hub")).where("node <> hub").select(*ordered("node", "hub")).distinct()
+    pairs = materialise(pairs)
     links = materialise(_verified(pairs, table, allowed))
     comp = materialise(components(links))
 
-    # what the ends of the blocks have not joined
+    # what the centres of the blocks have not joined
     named = met.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     open_ = named.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1 and n > 2").select("key", "n")
     named = materialise(named.join(open_, "key"))
-    x = named.select("key", "n", F.col("node").alias("a0"), F.col("c").alias("ca"))
-    one = named.where(F.col("n") <= LIGHT).select("key", F.col("node").alias("b0"), F.col("c").alias("cb"))
-    few = named.where(F.col("n") > LIGHT).groupBy("key", "c").agg(F.min("node").alias("b0")).select("key", "b0", F.col("c").alias("cb"))
-    rest = x.join(one.union(few), "key").where("ca <> cb").select(*ordered("a0", "b0")).distinct()
+    light = named.where(F.col("n") <= LIGHT)
+    x = light.select("key", F.col("node").alias("a0"), F.col("c").alias("ca"))
+    y = light.select("key", F.col("node").alias("b0"), F.col("c").alias("cb"))
+    rest = x.join(y, "key").where("ca < cb").select(*ordered("a0", "b0"))
+    heavy = named.where(F.col("n") > LIGHT).select("key", "node", "c")
+    rest = rest.union(_possible(docs, nodes, heavy, ngram, similarity)).distinct()
     comp = components(links.union(_verified(rest.join(pairs, ["a", "b"], "left_anti"), table, allowed)))
 
     own = nodes.select("th", "low", "node").join(comp, "node", "left").select("th", "low", F.coalesce("component", "node").alias("component"))
