@@ -231,12 +231,16 @@ def _possible(docs: DataFrame, nodes: DataFrame, heavy: DataFrame, ngram: int, s
     own = rare.select(F.explode(each).alias("node")).groupBy("node").agg(F.count("*").alias("rare"))
     ids = materialise(ids.join(own, "node", "left").select("node", "c", "m", (F.col("m") - F.coalesce("rare", F.lit(0))).alias("s")))
 
-    side = lambda df, x: df.select(*[k for k in df.columns if k == "key"], *[F.col(k).alias(f"{k}{x}") for k in ("node", "c", "m", "s")])
+    side = lambda df, x: df.select(*[k for k in df.columns if k == "key"], *[F.col(k).alias(f"{k}{x}") for k in ("node", "c", "m", "s", "keys") if k in df.columns])
     members = heavy.select("key", "node").join(ids, "node")
     small = members.groupBy("key").agg(F.min("m").alias("least_m"))
     members = materialise(members.join(small, "key").where(F.col("s") >= least * (F.col("m") + F.col("least_m"))).drop("least_m"))
-    one = members.groupBy("key", "c").agg(F.max(F.struct("s", "node", "m")).alias("o")).select("key", "o.node", "c", "o.m", "o.s")
+    # nodes that share several blocks are tried in the first of them
+    keys = members.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    members = materialise(members.join(keys, "node"))
+    one = members.groupBy("key", "c").agg(F.max(F.struct("s", "node", "m", "keys")).alias("o")).select("key", "o.node", "c", "o.m", "o.s", "o.keys")
     apart = side(members, "a").join(side(one, "b"), "key").where("ca <> cb").where(F.least("sa", "sb") >= least * (F.col("ma") + F.col("mb")))
+    apart = apart.where(F.col("key") == F.array_min(F.array_intersect("keysa", "keysb")))
     pairs = F.when(F.col("n") == 2, F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).otherwise(
         F.array(*[F.struct(p.alias("a"), q.alias("b")) for p, q in ((F.col("lo"), middle), (middle, F.col("hi")), (F.col("lo"), F.col("hi")))])
     )
