@@ -266,3 +266,17 @@ def test_no_similar_pair_of_a_large_block_is_ruled_out(spark):
     every = list(itertools.combinations(range(len(texts)), 2))
     want = {(a, b) for a, b in every if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert want and want <= got and len(got) < len(every)
+
+
+def test_all_pairs_of_different_classes_of_a_large_block_are_tried(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = list(dict.fromkeys(" ".join(f"x{rng.integers(6)}" if j in at else w for j, w in enumerate(base)) for at in (set(rng.integers(0, 150, i % 5)) for i in range(120))))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    rows = [(i, t, hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(texts)]
+    nodes = spark.createDataFrame([(h, i, i, len(sets[i])) for i, _, h in rows], "th string, low long, node long, m long")
+    heavy = spark.createDataFrame([(1, i, i % 4) for i, _, _ in rows], "key long, node long, c long")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = {(r.a, r.b) for r in simhash._possible(docs, nodes, heavy, 5, 0.8).collect()}
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if a % 4 != b % 4 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(want) > 4 * len(texts) and want <= got

@@ -149,6 +149,8 @@ KEYS, ROWS = 8, 3
 HUBS = 4
 #: Nodes whose texts are looked up by broadcasting them; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
+#: Members of a large block that one part of it takes on one side.
+SALT = 256
 
 
 def expected_difference(jaccard: float) -> float:
@@ -231,16 +233,15 @@ def _possible(docs: DataFrame, nodes: DataFrame, heavy: DataFrame, ngram: int, s
     own = rare.select(F.explode(each).alias("node")).groupBy("node").agg(F.count("*").alias("rare"))
     ids = materialise(ids.join(own, "node", "left").select("node", "c", "m", (F.col("m") - F.coalesce("rare", F.lit(0))).alias("s")))
 
-    side = lambda df, x: df.select(*[k for k in df.columns if k == "key"], *[F.col(k).alias(f"{k}{x}") for k in ("node", "c", "m", "s", "keys") if k in df.columns])
+    side = lambda df, x: df.select(*[k for k in df.columns if k in ("key", "salt")], *[F.col(k).alias(f"{k}{x}") for k in ("node", "c", "m", "s") if k in df.columns])
     members = heavy.select("key", "node").join(ids, "node")
-    small = members.groupBy("key").agg(F.min("m").alias("least_m"))
-    members = materialise(members.join(small, "key").where(F.col("s") >= least * (F.col("m") + F.col("least_m"))).drop("least_m"))
-    # nodes that share several blocks are tried in the first of them
-    keys = members.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    members = materialise(members.join(keys, "node"))
-    one = members.groupBy("key", "c").agg(F.max(F.struct("s", "node", "m", "keys")).alias("o")).select("key", "o.node", "c", "o.m", "o.s", "o.keys")
-    apart = side(members, "a").join(side(one, "b"), "key").where("ca <> cb").where(F.least("sa", "sb") >= least * (F.col("ma") + F.col("mb")))
-    apart = apart.where(F.col("key") == F.array_min(F.array_intersect("keysa", "keysb")))
+    blocks = members.groupBy("key").agg(F.min("m").alias("least_m"), F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
+    members = members.join(blocks, "key").where(F.col("s") >= least * (F.col("m") + F.col("least_m")))
+    members = materialise(members.join(nodes.select("node"), "node") if more else members)
+    # every two members of different classes; a large block is cut in parts on one side and goes to all of them on the other
+    left = side(members.withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")), "a")
+    right = side(members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b")
+    apart = left.join(right, ["key", "salt"]).where("ca < cb").where(F.least("sa", "sb") >= least * (F.col("ma") + F.col("mb")))
     pairs = F.when(F.col("n") == 2, F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).otherwise(
         F.array(*[F.struct(p.alias("a"), q.alias("b")) for p, q in ((F.col("lo"), middle), (middle, F.col("hi")), (F.col("lo"), F.col("hi")))])
     )
@@ -262,8 +263,8 @@ def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) ->
     that meet most others, which in a group of edited copies are those nearest
     to the original.  Then, in blocks whose nodes are not all in one class yet,
     the rest is tried: all pairs of different classes in blocks of at most LIGHT
-    nodes, and in larger ones every node against one node of each other class,
-    as far as the shingles they can share allow the similarity.
+    nodes, and in larger ones too, as far as the shingles they can share allow
+    the similarity (exact).
     Null texts are empty and equal each other.
     """
     allowed = math.floor(expected_difference(similarity) * 64 * WORDS)
