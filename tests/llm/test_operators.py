@@ -280,3 +280,23 @@ def test_all_pairs_of_different_classes_of_a_large_block_are_tried(spark):
     got = {(r.a, r.b) for r in simhash._possible(docs, nodes, heavy, 5, 0.8).collect()}
     want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if a % 4 != b % 4 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert len(want) > 4 * len(texts) and want <= got
+
+
+def test_similarity_is_decided_exactly(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for n in [7] * 20 + [8] * 20 + [10] * 20 + [34] * 20:  # a word more: similarities 0.75, 0.8, 0.857; two replaced words of 34: at most 0.8
+        t = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        texts += [t, [*t, "more"] if n < 34 else [*t[: n - 1], "other"] if rng.random() < 0.5 else [*t[: n - 4], "other", *t[n - 3 :]]]
+    # a group in one large block, of texts with up to five replaced words
+    base = [f"b{i}" for i in range(60)]
+    texts += [[f"x{rng.integers(3)}" if j in at else w for j, w in enumerate(base)] for at in (set(rng.integers(0, 60, 1 + i % 3)) for i in range(150))]
+    sets = [set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in texts]
+    want = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if want[a] != want[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            low, high = sorted((want[a], want[b]))
+            want = [low if x == high else x for x in want]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want[160:])) < 150

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -145,17 +146,57 @@ WORDS = 16
 #: Blocking keys of a text, each made of so many minima of remixed shingle hashes: a pair of similarity s shares one
 #: with chance 1 - (1 - s^ROWS)^KEYS (0.997 at 0.8, 0.9999 at 0.9).
 KEYS, ROWS = 8, 3
+#: Shingles of the smaller text from which the filter's radius is that of so many.
+FEW = 256
 #: Centres of a block that its nodes are tried against first.
 HUBS = 4
+PIVOT_NAMES = [f"p{i}" for i in range(4)]
 #: Nodes whose texts are looked up by broadcasting them; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
 #: Members of a large block that one part of it takes on one side.
 SALT = 256
 
 
-def expected_difference(jaccard: float) -> float:
-    """Share of differing SimHash bits of two equally large shingle sets with this Jaccard similarity."""
-    return math.acos(2 * jaccard / (1 + jaccard)) / math.pi
+@functools.cache
+def allowed_difference(similarity: float) -> tuple[int, ...]:
+    """Bits in which long fingerprints may differ, by the smaller number of shingles (from FEW on the last entry holds).
+
+    Over all sizes of two sets, the chance that a bit differs at the least
+    overlap with that similarity, exactly; an entry is the expected number of
+    such bits and six standard errors, so that the radius only filters.
+    """
+    import numpy as np
+
+    def odds(n):
+        return np.exp([math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2) for k in range(n + 1)])
+
+    def is_set(m, both, c):
+        """Chance that a set's bit is set if c of its ``both`` common shingles have it set."""
+        tail = np.cumsum(odds(m - both)[::-1])[::-1]
+        need = m // 2 + 1 - c
+        return np.where(need > m - both, 0, tail[np.clip(need, 0, m - both)])
+
+    chance = np.zeros(FEW + 1)
+    for m1 in range(1, FEW + 1):
+        sizes = range(m1, math.floor(m1 / similarity + 1e-9) + 1)
+        for m2 in sizes if m1 <= 64 else {m1, (sizes[0] + sizes[-1]) // 2, sizes[-1] - 1, sizes[-1]}:
+            both = math.ceil(similarity / (1 + similarity) * (m1 + m2) - 1e-9)
+            p, q = (is_set(m, both, np.arange(both + 1)) for m in (m1, m2))
+            chance[m1] = max(chance[m1], (odds(both) * (p * (1 - q) + q * (1 - p))).sum())
+    chance = np.maximum.accumulate(chance[::-1])[::-1]
+    bits = 64 * WORDS
+    return tuple(math.ceil(bits * p + 6 * math.sqrt(bits * p * (1 - p))) for p in chance)
+
+
+def _near(similarity: float, x: str, y: str) -> Column:
+    """Whether rows with ``w``, ``m`` and pivot distances, suffixed x and y, may reach the similarity; the pivot table goes first."""
+    radius = F.get(F.lit(list(allowed_difference(similarity))), F.least(F.col(f"m{x}"), F.col(f"m{y}"), F.lit(FEW)).cast("int"))
+    close = reduce(lambda p, q: p & q, [F.abs(F.col(f"{n}{x}") - F.col(f"{n}{y}")) <= radius for n in PIVOT_NAMES])
+    return close & (_differing(x, y) <= radius)
+
+
+def _differing(x: str, y: str) -> Column:
+    return reduce(lambda p, q: p + q, [F.bit_count(F.col(f"w{x}")[i].bitwiseXOR(F.col(f"w{y}")[i])) for i in range(WORDS)])
 
 
 def long_fingerprints(docs: DataFrame, ngram: int) -> DataFrame:
@@ -185,14 +226,68 @@ def long_fingerprints(docs: DataFrame, ngram: int) -> DataFrame:
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th string, w array<long>, keys array<long>, m long")
 
 
-def _verified(pairs: DataFrame, table: DataFrame, allowed: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose long fingerprints differ in at most ``allowed`` bits; the pivot table goes first."""
-    names = [f"p{i}" for i in range(4)]
-    a = table.select(F.col("node").alias("a"), F.col("w").alias("wa"), *[F.col(x).alias(f"a{x}") for x in names])
-    b = table.select(F.col("node").alias("b"), F.col("w").alias("wb"), *[F.col(x).alias(f"b{x}") for x in names])
-    close = reduce(lambda p, q: p & q, [F.abs(F.col(f"a{x}") - F.col(f"b{x}")) <= allowed for x in names])
-    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(WORDS)])
-    return pairs.join(a, "a").join(b, "b").where(close).where(differing <= allowed).select("a", "b")
+def _candidates(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, d)``: the pairs of nodes whose long fingerprints allow the similarity, and their differing bits."""
+    side = lambda x: table.select(F.col("node").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("w", "m", *PIVOT_NAMES)])
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(similarity, "_a", "_b")).select("a", "b", _differing("_a", "_b").alias("d"))
+
+
+def _exactly(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose shingle sets have at least the Jaccard similarity; both texts of a pair meet."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for part in slices(batches, 64):
+            keep = []
+            for t, u in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                x, y = np.unique(shingle_hashes(t, ngram)), np.unique(shingle_hashes(u, ngram))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.collect_list(F.struct("a", "b")).alias("of"))
+    sides = materialise(sides.join(nodes.select("node", "th", "low"), "node"))
+    few = sides.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    texts = docs.select("doc_id", text_of(docs).alias("text")).withColumn("th", F.md5("text"))
+    found = texts.join(F.broadcast(sides) if few else sides, (texts["th"] == sides["th"]) & texts["doc_id"].eqNullSafe(sides["low"]))
+    found = found.select("node", "text", F.explode("of").alias("p")).select("p.a", "p.b", "node", "text")
+    both = found.groupBy("a", "b").agg(F.max(F.when(F.col("node") == F.col("a"), F.col("text"))).alias("ta"), F.max(F.when(F.col("node") == F.col("b"), F.col("text"))).alias("tb"))
+    return materialise(both.mapInArrow(run, "a long, b long"))
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs of nodes that are in different classes, with their classes."""
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+
+
+def _joined(docs: DataFrame, nodes: DataFrame, near: DataFrame, links: DataFrame | None, comp: DataFrame | None, ngram: int, similarity: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links and their classes, decided exactly for ``near(a, b, d)``.
+
+    A pair within a class changes nothing, so the closest pairs go first: of
+    each node, then of each two classes; in the end all pairs of different
+    classes that are left, so that none stays untried.
+    """
+    for last in (False, False, True):
+        open_ = materialise(_apart(near, comp) if comp is not None else near.withColumns({"ca": F.col("a"), "cb": F.col("b")}))
+        if open_.isEmpty():
+            break
+        if comp is None:
+            ends = open_.select(F.explode(F.array("a", "b")).alias("node"), F.struct("d", "a", "b").alias("p"))
+            best = ends.groupBy("node").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+        elif last:
+            best = open_.select("a", "b")
+        else:
+            best = open_.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
+        best = materialise(best)
+        found = _exactly(docs, nodes, best, ngram, similarity)
+        links = found if links is None else links.union(found)
+        comp = materialise(components(links))
+        near = open_.select("a", "b", "d").join(best, ["a", "b"], "left_anti")
+    return links, comp
 
 
 def _shingles(docs: DataFrame, nodes: DataFrame, ngram: int) -> DataFrame:
@@ -233,15 +328,17 @@ def _possible(docs: DataFrame, nodes: DataFrame, heavy: DataFrame, ngram: int, s
     own = rare.select(F.explode(each).alias("node")).groupBy("node").agg(F.count("*").alias("rare"))
     ids = materialise(ids.join(own, "node", "left").select("node", "c", "m", (F.col("m") - F.coalesce("rare", F.lit(0))).alias("s")))
 
-    side = lambda df, x: df.select(*[k for k in df.columns if k in ("key", "salt")], *[F.col(k).alias(f"{k}{x}") for k in ("node", "c", "m", "s") if k in df.columns])
+    more = [k for k in ("w", *PIVOT_NAMES) if k in nodes.columns]
+    side = lambda df, x: df.select(*[k for k in df.columns if k in ("key", "salt")], *[F.col(k).alias(f"{k}{x}") for k in ("node", "c", "m", "s", *more) if k in df.columns])
+    near = _near(similarity, "a", "b") if more else F.lit(True)
     members = heavy.select("key", "node").join(ids, "node")
     blocks = members.groupBy("key").agg(F.min("m").alias("least_m"), F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
     members = members.join(blocks, "key").where(F.col("s") >= least * (F.col("m") + F.col("least_m")))
-    members = materialise(members.join(nodes.select("node"), "node") if more else members)
+    members = materialise(members.join(nodes.select("node", *more), "node") if more else members)
     # every two members of different classes; a large block is cut in parts on one side and goes to all of them on the other
     left = side(members.withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")), "a")
     right = side(members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b")
-    apart = left.join(right, ["key", "salt"]).where("ca < cb").where(F.least("sa", "sb") >= least * (F.col("ma") + F.col("mb")))
+    apart = left.join(right, ["key", "salt"]).where("ca < cb").where(F.least("sa", "sb") >= least * (F.col("ma") + F.col("mb"))).where(near)
     pairs = F.when(F.col("n") == 2, F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).otherwise(
         F.array(*[F.struct(p.alias("a"), q.alias("b")) for p, q in ((F.col("lo"), middle), (middle, F.col("hi")), (F.col("lo"), F.col("hi")))])
     )
@@ -255,23 +352,21 @@ def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) ->
     """``docs(doc_id, text)`` to ``(doc_id, th, component_id, class)`` by similarity of n-word shingle sets.
 
     Equal texts are one node.  Different texts are tried where they share a
-    blocking key: the pivot table discards by coordinate difference, survivors
-    are verified by the share of differing bits of their long fingerprints,
-    which estimates the similarity (standard error about 0.03 at 0.8).
+    blocking key: the pivot table discards by coordinate difference, then the
+    share of differing bits of the long fingerprints, at a radius that only
+    filters; the Jaccard similarity of the shingle sets decides.
 
     First each node is tried against up to HUBS centres of its blocks: the nodes
     that meet most others, which in a group of edited copies are those nearest
     to the original.  Then, in blocks whose nodes are not all in one class yet,
-    the rest is tried: all pairs of different classes in blocks of at most LIGHT
-    nodes, and in larger ones too, as far as the shingles they can share allow
-    the similarity (exact).
+    every pair of different classes is tried; in blocks of more than LIGHT nodes
+    as far as the shingles they can share allow the similarity (exact).
     Null texts are empty and equal each other.
     """
-    allowed = math.floor(expected_difference(similarity) * 64 * WORDS)
     rows = materialise(long_fingerprints(docs, ngram))
     nodes = rows.groupBy("th").agg(F.min("doc_id").alias("low"), *[F.first(x).alias(x) for x in ("w", "keys", "m")])
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
-    table = nodes.select("node", "w", *[c.alias(f"p{i}") for i, c in enumerate(_long_pivots())])
+    table = nodes.select("node", "th", "low", "w", "m", *[c.alias(n) for n, c in zip(PIVOT_NAMES, _long_pivots(), strict=True)])
 
     blocks = nodes.select("node", F.explode("keys").alias("key"))
     sizes = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -283,8 +378,10 @@ def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) ->
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = met.join(hubs, "key").select("node", F.explode("hubs").alias("hub")).where("node <> hub").select(*ordered("node", "hub")).distinct()
     pairs = materialise(pairs)
-    links = materialise(_verified(pairs, table, allowed))
-    comp = materialise(components(links))
+    links, comp = _joined(docs, nodes, materialise(_candidates(pairs, table, similarity)), None, None, ngram, similarity)
+    if comp is None:
+        links = pairs.limit(0)
+        comp = components(links)
 
     # what the centres of the blocks have not joined
     named = met.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
@@ -295,8 +392,9 @@ def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) ->
     y = light.select("key", F.col("node").alias("b0"), F.col("c").alias("cb"))
     rest = x.join(y, "key").where("ca < cb").select(*ordered("a0", "b0"))
     heavy = named.where(F.col("n") > LIGHT).select("key", "node", "c")
-    rest = rest.union(_possible(docs, nodes, heavy, ngram, similarity)).distinct()
-    comp = components(links.union(_verified(rest.join(pairs, ["a", "b"], "left_anti"), table, allowed)))
+    rest = rest.union(_possible(docs, table, heavy, ngram, similarity)).distinct()
+    near = materialise(_candidates(rest.join(pairs, ["a", "b"], "left_anti"), table, similarity))
+    comp = _joined(docs, nodes, near, links, comp, ngram, similarity)[1]
 
     own = nodes.select("th", "low", "node").join(comp, "node", "left").select("th", "low", F.coalesce("component", "node").alias("component"))
     low = own.groupBy("component").agg(F.min("low").alias("component_id"))
