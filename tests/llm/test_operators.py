@@ -300,3 +300,13 @@ def test_similarity_is_decided_exactly(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar_classes(docs).collect()}
     assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want[160:])) < 150
+
+
+def test_edited_copies_of_a_very_common_passage_are_leaks(spark):
+    item = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(item[:24])) for i in range(50)] + [(100 + i, " ".join(item)) for i in range(50)]  # the last 16 words' n-grams are the rarest
+    edited = [f"x{i}" if i in (26, 29, 32, 35, 38) else w for i, w in enumerate(item)]  # none of those is left: 35 words match
+    docs = spark.createDataFrame([*rows, (999, " ".join(edited))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in decontamination.find_leaks(docs, bench(spark, [(9, " ".join(item))])).collect()}
+    assert got.keys() == {*range(100, 150), 999} | {i for i in range(50) if 24 >= 0.6 * 40} and got[999] == (35 * 2 - 5) / 80
+    assert decontamination.keep_clean(docs, bench(spark, [(9, " ".join(item))])).count() == 0

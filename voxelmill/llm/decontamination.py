@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, local alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find passages, local alignment scores them."""
 
 from __future__ import annotations
 
@@ -11,10 +11,6 @@ from pyspark.sql import types as T
 from voxelmill.llm.common import slices, text_of
 
 NGRAM = 4
-#: A seed is an n-gram in at most this share of the documents ...
-RARE_SHARE = 1e-3
-#: ... or among this many rarest of its item (for items whose passages are copied very often).
-RAREST = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignment score over the best possible one from which a passage is a copy.
 MIN_SCORE = 0.6
@@ -40,13 +36,12 @@ def build_index(items: list[tuple[int, str]]) -> dict:
     for item, s in seqs.items():
         for i in range(len(s) - NGRAM + 1):
             places[tuple(s[i : i + NGRAM])].append((item, i))
-    return {"ids": ids, "seqs": {k: v for k, v in seqs.items() if v}, "places": dict(places)}
+    return {"ids": ids, "seqs": {k: v for k, v in seqs.items() if v}, "bags": {k: Counter(v) for k, v in seqs.items() if v}, "places": dict(places)}
 
 
-def hits(words, index, wanted) -> list[tuple[int, tuple]]:
-    """(position, key) of the n-grams of a document that are in ``wanted``."""
-    get = index["ids"].get
-    a = [get(w, -1) for w in words]
+def hits(a, index) -> list[tuple[int, tuple]]:
+    """(position, key) of the n-grams of a document's word ids that are in an item."""
+    wanted = index["places"]
     out, run = [], 0
     for i, x in enumerate(a):
         run = run + 1 if x >= 0 else 0
@@ -87,20 +82,32 @@ def align(item, window):
     return best
 
 
-def leaks_in(words, index, seeds, min_score=MIN_SCORE):
-    """(item, score, first word, end word, seeds) of each item that a document copies, its best passage."""
+def overlap(bag: Counter, words: Counter) -> int:
+    """Words of an item that are among ``words``, each as often as in both: no alignment matches more."""
+    return sum(min(n, words[w]) for w, n in bag.items() if w in words)
+
+
+def leaks_in(words, index, min_score=MIN_SCORE):
+    """(item, score, first word, end word, seeds) of each item that a document copies, its best passage.
+
+    Every n-gram of an item is a seed, however many documents have it.  Items
+    and passages whose words cannot reach the score are not aligned (exact).
+    """
+    get = index["ids"].get
+    a = [get(w, -1) for w in words]
     by_item = defaultdict(list)
-    for at, key in hits(words, index, seeds):
+    for at, key in hits(a, index):
         for item, pos in index["places"][key]:
-            if item in seeds[key]:
-                by_item[item].append(at - pos)
+            by_item[item].append(at - pos)
     out = []
     if not by_item:
         return out
-    get = index["ids"].get
-    a = [get(w, -1) for w in words]
+    bag = Counter(a)
     for item, diagonals in by_item.items():
         seq = index["seqs"][item]
+        least = min_score * len(seq) - 1e-9
+        if overlap(index["bags"][item], bag) < least:
+            continue
         n, slack = len(seq), len(seq) // 2 + NGRAM
         best = (0.0, 0, 0)
         # passages: runs of nearby diagonals
@@ -115,6 +122,8 @@ def leaks_in(words, index, seeds, min_score=MIN_SCORE):
         spans.append((lo, hi))
         for lo, hi in spans:
             s, e = max(0, lo - slack), min(len(a), hi + n + slack)
+            if overlap(index["bags"][item], Counter(a[s:e])) < least:
+                continue
             got, i, j = align(seq, a[s:e])
             if got / (MATCH * n) > best[0]:
                 best = (got / (MATCH * n), s + i, s + j)
@@ -123,33 +132,17 @@ def leaks_in(words, index, seeds, min_score=MIN_SCORE):
     return out
 
 
-def pick_seeds(index: dict, found: dict, n_docs: int) -> dict:
-    """n-gram key to the items for which it is a seed: rare ones, and each item's RAREST."""
-    rare = max(2, RARE_SHARE * n_docs)
-    per_item = defaultdict(set)
-    for key, where in index["places"].items():
-        for item, _ in where:
-            per_item[item].add(key)
-    seeds = defaultdict(set)
-    for item, keys in per_item.items():
-        order = sorted(keys, key=lambda k: (found.get(k, 0), k))
-        for i, k in enumerate(order):
-            if i < RAREST or found.get(k, 0) <= rare:
-                seeds[k].add(item)
-    return dict(seeds)
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Passages of ``docs(doc_id, text)`` that copy items of ``benchmark(item_id, text)``.
 
     Returns a row per document and item at ``min_score`` or more: doc_id,
     item_id, score (alignment score over the item's best possible), first_word,
-    end_word (word places of the best passage), n_seeds.  Document counts of the
-    benchmark's n-grams are taken over all documents; rare ones are seeds.
+    end_word (word places of the best passage), n_seeds (places of the item's
+    n-grams in the document, by diagonal).  A copy needs one intact n-gram.
 
     The benchmark goes to the tasks in blocks of at most BLOCK_ITEMS items and
     BLOCK_WORDS words, so its broadcast index is bounded at any size; documents
-    are read twice for each block and never shuffled.  Items under NGRAM words
+    are read once for each block and never shuffled.  Items under NGRAM words
     have no seed and are not searched.  Null texts and ids: a null text has no
     words; items with a null id are skipped; a null doc_id is returned as such.
     Repeated rows each give rows; items sharing an id count as one (the smallest
@@ -181,31 +174,8 @@ def _blocks(benchmark: DataFrame):
     yield block
 
 
-def _prepared(rows: DataFrame, items):
-    """The broadcast index of a block of items and its seeds, picked by document counts over all rows."""
-    sc = rows.sparkSession.sparkContext
-    index = sc.broadcast(build_index(items))
-
-    def count(batches):
-        import pyarrow as pa
-
-        found, n = Counter(), 0
-        for part in slices(batches):
-            for t in part.column(1).to_pylist():
-                n += 1
-                found.update({key for _, key in hits(tokens(t), index.value, index.value["places"])})
-        keys = [",".join(map(str, k)) for k in found]
-        yield pa.RecordBatch.from_arrays([pa.array(["", *keys]), pa.array([n, *found.values()], pa.int64())], names=["key", "n"])
-
-    counts = rows.mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    # at most one row for each n-gram of the block
-    found = {tuple(map(int, r.key.split(","))) if r.key else None: r.n for r in counts.toLocalIterator()}
-    n_docs = found.pop(None, 0)
-    return index, sc.broadcast(pick_seeds(index.value, found, n_docs))
-
-
 def _search(rows: DataFrame, items, min_score: float, schema) -> DataFrame:
-    index, seeds = _prepared(rows, items)
+    index = rows.sparkSession.sparkContext.broadcast(build_index(items))
 
     def search(batches):
         import pyarrow as pa
@@ -213,7 +183,7 @@ def _search(rows: DataFrame, items, min_score: float, schema) -> DataFrame:
         for part in slices(batches):
             out = []
             for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                out += [(d, *leak) for leak in leaks_in(tokens(t), index.value, seeds.value, min_score)]
+                out += [(d, *leak) for leak in leaks_in(tokens(t), index.value, min_score)]
             if out:
                 cols = list(zip(*out, strict=True))
                 kinds = [part.schema.field(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
@@ -225,17 +195,16 @@ def _search(rows: DataFrame, items, min_score: float, schema) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak, with all their columns; documents are not shuffled."""
     at = docs.columns.index("text")
-    rows = docs.select("doc_id", text_of(docs).alias("text"))
     for block in _blocks(benchmark):
         if not block:
             continue
-        index, seeds = _prepared(rows, block)
+        index = docs.sparkSession.sparkContext.broadcast(build_index(block))
 
-        def run(batches, index=index, seeds=seeds):
+        def run(batches, index=index):
             import pyarrow as pa
 
             for part in slices(batches):
-                yield part.filter(pa.array([not leaks_in(tokens(t or ""), index.value, seeds.value) for t in part.column(at).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([not leaks_in(tokens(t or ""), index.value) for t in part.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
