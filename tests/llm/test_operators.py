@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from voxelmill.llm import classifier, decontamination, extraction, graph, line_crf, packing, privacy, queries, quotes, sharding, simhash, wordpiece
 
@@ -310,3 +311,22 @@ def test_edited_copies_of_a_very_common_passage_are_leaks(spark):
     got = {r.doc_id: r.score for r in decontamination.find_leaks(docs, bench(spark, [(9, " ".join(item))])).collect()}
     assert got.keys() == {*range(100, 150), 999} | {i for i in range(50) if 24 >= 0.6 * 40} and got[999] == (35 * 2 - 5) / 80
     assert decontamination.keep_clean(docs, bench(spark, [(9, " ".join(item))])).count() == 0
+
+
+def test_disclosing_terms_of_whole_texts(spark):
+    far = "filler words and with plain here " * 10
+    rows = [(i, f"zanzibar k9x {far} joe@site.example.org {far} Zanzibar {i}") for i in range(3)] + [(10 + i, f"{far}{i}") for i in range(200)]
+    got = {r.doc_id: r.text for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == f"[TERM] [TERM] {far} [EMAIL] {far} [TERM] 0" and got[10] == rows[3][1]
+
+
+def test_mentions_by_brute_force(spark):
+    rng = np.random.default_rng(10)
+    bits = ["ab", "c1", "𝄞", "é", " ", "-", "a@b.c", "1.2.3.4", "\n"]
+    texts = ["".join(rng.choice(bits, 15)) for _ in range(100)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", privacy.base_spans(F.col("text")).alias("spans"))
+    for r in df.select("text", "spans", privacy.mentions(F.col("text"), F.col("spans"), F.array(F.lit("ab"), F.lit("c1"))).alias("m")).collect():
+        plain = list(r.text)
+        for x in r.spans:
+            plain[x.s : x.e] = "\0" * (x.e - x.s)
+        assert [(x.s, x.e) for x in r.m] == [m.span() for m in re.finditer(r"[^\W_]+", "".join(plain)) if m[0] in ("ab", "c1")]

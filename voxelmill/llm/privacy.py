@@ -17,15 +17,15 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-TERM = r"\p{L}{4,}+"
-#: Characters on either side of an entity that are its context.
-CONTEXT = 60
+TERM = r"[\p{L}\p{M}\p{N}]++"
 #: A term discloses an entity if it gives this share of the entity's information: PMI(term, entity) >= share * IC(entity).
 DISCLOSURE = 0.8
 #: Different texts in which term and entity must meet; one text is no evidence.
 SUPPORT = 2
 #: Candidate terms up to which their list is broadcast to count their documents.
 BROADCAST_TERMS = 500_000
+#: Texts up to which a list of them is broadcast to find their words.
+BROADCAST_TEXTS = 200_000
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -79,39 +79,80 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def context_terms(text: Column, span: Column) -> Column:
-    """Whole words near a span, outside it: ``array<struct<entity, term, s, e>>``."""
-    lo = F.greatest(F.lit(0), span["s"] - CONTEXT)
-    window = F.substring(text, lo + 1, span["e"] + CONTEXT - lo)
-    hi = lo + F.length(window)
-    terms = F.transform(matches(window, TERM), lambda m: F.struct(span["entity"].alias("entity"), F.lower(m["v"]).alias("term"), (m["s"] + lo).alias("s"), (m["e"] + lo).alias("e")))
-    whole = lambda t: ((t["s"] > lo) | (lo == 0)) & ((t["e"] < hi) | (hi - lo < span["e"] + CONTEXT - lo))
-    return F.filter(terms, lambda t: whole(t) & ((t["e"] <= span["s"]) | (t["s"] >= span["e"])))
+def words_outside(text: Column, spans: Column) -> Column:
+    """``array<struct<at int, part string>>``: the parts of a text between its sorted spans."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,part:string>>").alias("out"))
+
+    def step(acc, x):
+        part = F.struct(acc["at"].alias("at"), F.substring(text, acc["at"] + 1, x["s"] - acc["at"]).alias("part"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] > acc["at"], F.array_append(acc["out"], part)).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate(spans, start, step)
+    return F.array_append(done["out"], F.struct(done["at"].alias("at"), F.substring(text, done["at"] + 1, F.length(text)).alias("part")))
+
+
+def _terms(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+
+
+def terms_outside(text: Column, spans: Column) -> Column:
+    """The different words of a text outside its spans, in lower case."""
+    return F.array_distinct(F.flatten(F.transform(words_outside(text, spans), lambda x: _terms(x["part"]))))
+
+
+def mentions(text: Column, spans: Column, wanted: Column) -> Column:
+    """``array<struct<s, k, e>>``: each place outside the spans where a word of ``wanted`` is."""
+    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+
+    def places(x):
+        found = F.regexp_extract_all(x["part"], F.lit(TERM), F.lit(0))
+        start = F.struct(x["at"].alias("at"), none.alias("out"))
+
+        def step(acc, y):
+            s = acc["at"] + F.length(y["gap"])
+            e = s + F.length(y["word"])
+            hit = F.array_contains(wanted, F.lower(y["word"]))
+            return F.struct(F.coalesce(e, s).alias("at"), F.when(hit, F.array_append(acc["out"], F.struct(s.alias("s"), F.lit(4).alias("k"), e.alias("e")))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(F.arrays_zip(F.split(x["part"], TERM, -1).alias("gap"), found.alias("word")), start, step)["out"]
+
+    return F.flatten(F.transform(words_outside(text, spans), places))
+
+
+def _few(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def disclosing_pairs(found: DataFrame, texts: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """``(entity, term)`` pairs where the term gives the entity away, from counts over all documents.
+def disclosing_terms(found: DataFrame, rows: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """``(th, terms)``: the terms of each text that give one of its entities away, from counts over all documents.
 
-    ``found(th, spans, ctx)`` has a row per document, ``texts(text)`` its texts.
+    ``found(th, spans)`` and ``rows(th, text)`` have a row per document.  Terms and
+    entities meet in whole texts.  A term that gives an entity of n documents away
+    is in at most N^(1-share) * n^share of the N documents, so more frequent ones
+    are left out before pairs are made.
     """
-    n_docs = found.count()
-    near = found.where("size(ctx) > 0").select("th", F.explode(F.array_distinct(F.transform("ctx", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("c"))
-    by_text = near.groupBy("c.entity", "c.term", "th").agg(F.count("*").alias("n"))
-    pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= support)
-    entities = found.where("size(spans) > 0").select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = F.lit(float(max(1, n_docs)))
+    total = float(max(1, found.count()))
+    held = found.where("size(spans) > 0").select("th", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"))
+    held = held.groupBy("th", "entity").agg(F.count("*").alias("n"))
+    entities = held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_texts")).where((F.col("n_texts") >= support) & (F.col("n_entity") < total))
+    most = F.lit(total ** (1 - share)) * F.pow(F.col("n_entity").cast("double"), F.lit(share)) * (1 + 1e-9)
+    held = materialise(held.join(entities, "entity").select("th", "entity", "n_entity", most.alias("most")))
+    texts = materialise(held.groupBy("th").agg(F.max("most").alias("most_of_text")))
+    words = rows.join(_few(texts, BROADCAST_TEXTS), "th").select("th", "most_of_text", F.explode(terms_outside(F.col("text"), base_spans(F.col("text")))).alias("term"))
+    # a term is in at least as many documents as it is in those with an entity
+    least = words.groupBy("term").agg(F.count("*").alias("n_near"), F.max("most_of_text").alias("most")).where((F.col("n_near") >= support) & (F.col("n_near") <= F.col("most")))
+    least = materialise(least.select("term", "n_near"))
+    words = words.join(_few(least, BROADCAST_TERMS), "term").where(F.col("n_near") <= F.col("most_of_text")).groupBy("th", "term", "n_near").agg(F.count("*").alias("n"))
+    near = materialise(words.join(held, "th").where(F.col("n_near") <= F.col("most")).select("entity", "term", "th", "n", "n_entity", "n_near"))
+    pairs = near.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_texts"), F.first("n_entity").alias("n_entity"), F.first("n_near").alias("n_near")).where(F.col("n_texts") >= support)
     known = F.ln(total / F.col("n_entity"))
     gain = lambda n_term: F.ln(F.col("n_both") * total / (F.col("n_entity") * n_term))
-    # a term is in at least as many documents as it is near entities in, so a pair that fails on that count fails for good
-    least = found.where("size(ctx) > 0").select(F.explode(F.array_distinct(F.transform("ctx", lambda c: c["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    pairs = pairs.join(entities, "entity").join(least, "term").where((known > 0) & (gain(F.col("n_near")) >= share * known))
-    pairs = materialise(pairs.select("entity", "term", "n_both", "n_entity"))
-    wanted = pairs.select("term").distinct()
-    words = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    words = words.join(F.broadcast(wanted), "term", "left_semi") if few else words
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    return pairs.join(terms, "term").where(gain(F.col("n_term")) >= share * known).select("entity", "term")
+    pairs = materialise(pairs.where(gain(F.col("n_near")) >= share * known))
+    counted = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    counted = counted.join(_few(pairs.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    pairs = pairs.join(counted, "term").where(gain(F.col("n_term")) >= share * known).select("entity", "term")
+    return near.join(pairs, ["entity", "term"], "left_semi").groupBy("th").agg(F.collect_set("term").alias("terms"))
 
 
 def joined(spans: Column) -> Column:
@@ -124,17 +165,15 @@ def find_spans(docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPOR
     """``docs(doc_id, text)`` to a row per document: doc_id, th (MD5 of the text), base and spans.
 
     ``base`` and ``spans`` are arrays of struct(s, k, e), sorted; spans adds term
-    spans (k = 4): words in the context of an entity whose co-occurrence with it
-    over all documents discloses it.  Null text is empty, repeated rows each get
+    spans (k = 4): every mention, in documents that hold an entity, of a word whose
+    co-occurrence with it over all documents discloses it.  Null text is empty, repeated rows each get
     a row, an empty table gives none, other columns are ignored.
     """
-    rows = docs.select("doc_id", text_of(docs).alias("text"))
-    found = rows.select("doc_id", "text", base_spans(F.col("text")).alias("spans"))
-    found = found.select("doc_id", F.md5("text").alias("th"), "spans", F.flatten(F.transform("spans", lambda s: context_terms(F.col("text"), s))).alias("ctx"))
-    found = materialise(found)
-    pairs = disclosing_pairs(found, rows.select("text"), share, support)
-    terms = found.where("size(ctx) > 0").groupBy("th").agg(F.first("ctx").alias("ctx")).select("th", F.explode("ctx").alias("c")).select("th", "c.*")
-    terms = terms.join(pairs, ["entity", "term"], "left_semi").groupBy("th").agg(F.collect_set(F.struct("s", F.lit(4).alias("k"), "e")).alias("terms"))
+    rows = docs.select("doc_id", text_of(docs).alias("text"), F.md5(text_of(docs)).alias("th"))
+    found = materialise(rows.select("doc_id", "th", base_spans(F.col("text")).alias("spans")))
+    rows = rows.select("th", "text")
+    terms = materialise(disclosing_terms(found, rows, share, support))
+    terms = rows.join(_few(terms, BROADCAST_TEXTS), "th").select("th", mentions(F.col("text"), base_spans(F.col("text")), F.col("terms")).alias("terms")).groupBy("th").agg(F.first("terms").alias("terms"))
     plain = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     out = found.select("doc_id", "th", plain.alias("base")).join(terms, "th", "left")
