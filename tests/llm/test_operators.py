@@ -330,3 +330,10 @@ def test_mentions_by_brute_force(spark):
         for x in r.spans:
             plain[x.s : x.e] = "\0" * (x.e - x.s)
         assert [(x.s, x.e) for x in r.m] == [m.span() for m in re.finditer(r"[^\W_]+", "".join(plain)) if m[0] in ("ab", "c1")]
+
+
+def test_quotes_of_repeated_lines(spark):
+    rows = [(1, 0, "A"), (1, 1, "B"), (1, 2, "A\nB"), (1, 3, "> A\n>\n> B"), (2, 0, "hi\nC\nD"), (2, 1, "hi\nD\nC"), (2, 2, "hi"), (2, 3, "> hi"), (2, 4, "> C\n> D\nno\n> hi")]
+    docs = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.branch_turn, r.n_linked) for r in quotes.link_quotes(docs).collect()}
+    assert (got[1, 3], got[2, 3], got[2, 4]) == ((2, 2, 2), (2, 2, 1), (0, 0, 3))

@@ -5,7 +5,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.llm.common import cut, materialise
@@ -36,13 +36,14 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     Returns conv_id, turn, role, text (own lines only, without lead-in lines
     before a quote), n_quoted (quoted lines with text), max_depth, n_linked
     (those found in an earlier message of the conversation), reply_to (the turn
-    that most lines of the least linked depth come from; the later on a tie) and
+    that most lines of the least linked depth come from; the latest on a tie) and
     branch_turn (the first message of its chain of replies).  ``(branch_turn,
     turn)`` orders a conversation by replies: each after what it answers.
 
-    A passage is a quoted line, compared in lower case with single spaces by its
-    hash; its original is the first message with it as an own line, so that a
-    line repeated often makes one link.  Null text is empty; rows with a null
+    A passage is a run of quoted lines of one depth.  Its lines, and its pairs of
+    adjacent lines, are compared in lower case with single spaces by their hashes
+    to all earlier messages; its original has most of its lines, then most of its
+    pairs, and is the latest such message.  Null text is empty; rows with a null
     conv_id or turn get no link; repeated rows stay; an empty table gives none;
     other columns are ignored.
     """
@@ -52,17 +53,30 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         F.transform("lines", lambda x, i: F.struct(x["depth"].alias("depth"), x["body"].alias("body"), F.coalesce(F.get("lines", i + 1)["depth"], F.lit(0)).alias("next"))),
         lambda x: (x["depth"] == 0) & ~((x["next"] > 0) & x["body"].rlike(LEAD_IN)),
     )
-    quoted = F.filter(F.transform("lines", lambda x: F.struct(x["depth"].alias("depth"), normalised(x["body"]).alias("body"))), lambda x: (x["depth"] > 0) & (x["body"] != ""))
-    rows = materialise(rows.select("conv_id", "turn", "role", "_id", F.transform(own, lambda x: x["body"]).alias("own"), quoted.alias("quoted")))
-
-    said = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own").alias("body"))
-    said = said.select("conv_id", "turn", F.xxhash64(normalised(F.col("body"))).alias("h")).groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
-    cited = rows.where("size(quoted) > 0").select("_id", "conv_id", "turn", F.explode("quoted").alias("q"))
-    cited = cited.select("_id", "conv_id", "turn", "q.depth", F.xxhash64("q.body").alias("h"))
-    found = cited.join(said, ["conv_id", "h"]).where("origin < turn")
-    votes = found.groupBy("_id", "conv_id", "turn", "depth", "origin").agg(F.count("*").alias("n"))
+    marked = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), x["depth"].alias("depth"), normalised(x["body"]).alias("body"))), lambda x: x["depth"] > 0)
+    rows = rows.select("conv_id", "turn", "role", "_id", F.transform(own, lambda x: x["body"]).alias("own"), marked.alias("marked"))
+    rows = materialise(rows.withColumn("quoted", F.filter("marked", lambda x: x["body"] != "")))
+
+    # k = 0: a line, 1: two adjacent lines
+    said = rows.where("conv_id is not null and turn is not null")
+    said = said.select("conv_id", "turn", F.transform(F.filter(F.transform("own", normalised), lambda x: x != ""), lambda x: F.xxhash64(x)).alias("hs"))
+    pair = F.transform("hs", lambda x, i: F.struct(F.lit(1).alias("k"), F.when(F.get("hs", i + 1).isNotNull(), F.xxhash64(x, F.get("hs", i + 1))).alias("h")))
+    said = said.select("conv_id", F.col("turn").alias("origin"), F.explode(F.concat(F.transform("hs", lambda x: F.struct(F.lit(0).alias("k"), x.alias("h"))), pair)).alias("x"))
+    said = said.select("conv_id", "origin", "x.k", "x.h").where("h is not null").distinct()
+    line = Window.partitionBy("_id").orderBy("i")
+    cited = rows.where("size(quoted) > 0").select("_id", "conv_id", "turn", F.explode("marked").alias("q")).select("_id", "conv_id", "turn", "q.*")
+    goes_on = (F.lag("depth").over(line) == F.col("depth")) & (F.lag("i").over(line) == F.col("i") - 1)
+    cited = cited.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(line)).where("body <> ''").withColumn("h", F.xxhash64("body"))
+    cited = cited.withColumn("next", F.lead("h").over(Window.partitionBy("_id", "run").orderBy("i")))
+    both = F.array(F.struct(F.lit(0).alias("k"), F.col("h")), F.struct(F.lit(1).alias("k"), F.when(F.col("next").isNotNull(), F.xxhash64("h", "next")).alias("h")))
+    cited = cited.select("_id", "conv_id", "turn", "depth", "run", "i", F.explode(both).alias("x")).select("_id", "conv_id", "turn", "depth", "run", "i", "x.k", "x.h")
+    found = materialise(cited.join(said, ["conv_id", "k", "h"]).where("origin < turn").select("_id", "conv_id", "turn", "depth", "run", "i", "k", "origin"))
+    votes = found.groupBy("_id", "conv_id", "turn", "depth", "run", "origin").agg(F.sum(1 - F.col("k")).alias("n"), F.sum("k").alias("pairs"))
+    votes = votes.groupBy("_id", "conv_id", "turn", "depth", "run").agg(F.max(F.struct("n", "pairs", "origin")).alias("o"))
+    votes = votes.groupBy("_id", "conv_id", "turn", "depth", F.col("o.origin").alias("origin")).agg(F.sum("o.n").alias("n"))
     best = F.max(F.struct((-F.col("depth")).alias("d"), F.col("n"), F.col("origin"))).alias("best")
-    links = materialise(votes.groupBy("_id", "conv_id", "turn").agg(best, F.sum("n").alias("n_linked")).select("_id", "conv_id", "turn", F.col("best.origin").alias("reply_to"), "n_linked"))
+    links = votes.groupBy("_id", "conv_id", "turn").agg(best).select("_id", "conv_id", "turn", F.col("best.origin").alias("reply_to"))
+    links = materialise(links.join(found.where("k = 0").groupBy("_id").agg(F.countDistinct("i").alias("n_linked")), "_id"))
 
     # follow chains of replies, twice as far each time
     up = links.groupBy("conv_id", "turn").agg(F.min("reply_to").alias("top"))
@@ -89,7 +103,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     )
 
 
-#: The same in DuckDB.
+#: In DuckDB, with the first message that has a quoted line as its only candidate: the same where own lines do not repeat.
 ORACLE_SQL = r"""
 WITH RECURSIVE src AS (
   SELECT row_number() OVER () AS id, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations
