@@ -248,39 +248,32 @@ def test_shards(spark):
     assert 1300 < len(by[4]) < 1700
 
 
-def test_no_similar_pair_of_a_large_block_is_ruled_out(spark):
-    rng = np.random.default_rng(5)
-    base = [f"w{i}" for i in range(150)]
-    texts = []
-    for i in range(120):
-        w = list(base[: 150 - i % 30])
-        for at in rng.integers(0, len(w), i % 8):
-            w[at] = f"x{rng.integers(6)}" if i % 2 else ""  # few words and deletions, so that rare shingles are shared
-        texts.append(" ".join(w))
-    texts = list(dict.fromkeys(texts))
-    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
-    rows = [(i, t, hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, texts[0])], "doc_id long, text string")
-    nodes = spark.createDataFrame([(h, i, i, len(sets[i])) for i, _, h in rows], "th string, low long, node long, m long")
-    heavy = spark.createDataFrame([(1, i, i) for i, _, _ in rows], "key long, node long, c long")
-    got = {(r.a, r.b) for r in simhash._possible(docs, nodes, heavy, 5, 0.8).collect()}
-    every = list(itertools.combinations(range(len(texts)), 2))
-    want = {(a, b) for a, b in every if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert want and want <= got and len(got) < len(every)
-
-
-def test_all_pairs_of_different_classes_of_a_large_block_are_tried(spark):
+def similar_by_brute_force(texts):
+    """The class of each text: the smallest place reachable over pairs of Jaccard similarity 0.8 or more."""
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    out = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if out[a] != out[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+            low, high = sorted((out[a], out[b]))
+            out = [low if x == high else x for x in out]
+    return out
+
+
+@pytest.mark.parametrize("common", [5, 100])
+def test_similar_classes_by_brute_force(spark, monkeypatch, common):
     rng = np.random.default_rng(8)
-    base = [f"w{i}" for i in range(150)]
-    texts = list(dict.fromkeys(" ".join(f"x{rng.integers(6)}" if j in at else w for j, w in enumerate(base)) for at in (set(rng.integers(0, 150, i % 5)) for i in range(120))))
-    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
-    rows = [(i, t, hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(texts)]
-    nodes = spark.createDataFrame([(h, i, i, len(sets[i])) for i, _, h in rows], "th string, low long, node long, m long")
-    heavy = spark.createDataFrame([(1, i, i % 4) for i, _, _ in rows], "key long, node long, c long")
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
-    got = {(r.a, r.b) for r in simhash._possible(docs, nodes, heavy, 5, 0.8).collect()}
-    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if a % 4 != b % 4 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert len(want) > 4 * len(texts) and want <= got
+    base = [f"w{i}" for i in range(120)]
+    edited = lambda n, words: [f"{words}{rng.integers(6)}" if j in at else w for at in [set(rng.integers(0, 120, n).tolist())] for j, w in enumerate(base)]
+    # one block of 500 texts that share half their words and nothing else: as many classes
+    texts = [" ".join(base[:60] + [f"y{i}_{j}" for j in range(60)]) for i in range(500)]
+    # copies with up to nine edits, some of them alike, from one original; cut ones; short ones; wordless ones
+    texts += [" ".join(edited(i % 10, "x")) for i in range(200)] + [" ".join(base[: 120 - i % 40]) for i in range(60)]
+    texts += [" ".join(base[i : i + 7 + i % 3]) for i in range(20)] + ["", " \n ", "\t", "one", "One", "one two"]
+    monkeypatch.setattr(simhash, "COMMON", common)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(docs).collect()}
+    want = similar_by_brute_force(texts)
+    assert [got[i] for i in range(len(texts))] == want and len(set(want[:500])) == 500 and len(set(want[500:760])) < 150
 
 
 def test_similarity_is_decided_exactly(spark):
@@ -292,12 +285,7 @@ def test_similarity_is_decided_exactly(spark):
     # a group in one large block, of texts with up to five replaced words
     base = [f"b{i}" for i in range(60)]
     texts += [[f"x{rng.integers(3)}" if j in at else w for j, w in enumerate(base)] for at in (set(rng.integers(0, 60, 1 + i % 3)) for i in range(150))]
-    sets = [set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in texts]
-    want = list(range(len(texts)))
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        if want[a] != want[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-            low, high = sorted((want[a], want[b]))
-            want = [low if x == high else x for x in want]
+    want = similar_by_brute_force([" ".join(t) for t in texts])
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar_classes(docs).collect()}
     assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want[160:])) < 150

@@ -139,21 +139,18 @@ def near_duplicate_classes(docs: DataFrame, ngram: int = 3) -> DataFrame:
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-# --- classes by similarity: long fingerprints, pairs from blocks ------------------------------
+# --- classes by similarity: candidates from prefixes, long fingerprints, exact Jaccard ---------
 
 #: 64-bit words of a long fingerprint.
 WORDS = 16
-#: Blocking keys of a text, each made of so many minima of remixed shingle hashes: a pair of similarity s shares one
-#: with chance 1 - (1 - s^ROWS)^KEYS (0.997 at 0.8, 0.9999 at 0.9).
-KEYS, ROWS = 8, 3
 #: Shingles of the smaller text from which the filter's radius is that of so many.
 FEW = 256
-#: Centres of a block that its nodes are tried against first.
-HUBS = 4
+#: Nodes that share a hashed prefix entry from which the entry is common, and its nodes are dealt anew by document frequency.
+COMMON = 100
 PIVOT_NAMES = [f"p{i}" for i in range(4)]
-#: Nodes whose texts are looked up by broadcasting them; more are joined by a shuffle.
+#: Nodes whose texts are looked up by broadcasting them (about 60 bytes each); more are joined by a shuffle.
 BROADCAST_NODES = 200_000
-#: Members of a large block that one part of it takes on one side.
+#: Members of a large group that one part of it takes on one side.
 SALT = 256
 
 
@@ -199,8 +196,21 @@ def _differing(x: str, y: str) -> Column:
     return reduce(lambda p, q: p + q, [F.bit_count(F.col(f"w{x}")[i].bitwiseXOR(F.col(f"w{y}")[i])) for i in range(WORDS)])
 
 
-def long_fingerprints(docs: DataFrame, ngram: int) -> DataFrame:
-    """``(doc_id, th, w, keys, m)``: MD5 of the text, WORDS fingerprints from remixed hashes of its shingle set, its blocking keys and its number of different shingles."""
+def shingle_set(text: str, n: int):
+    """The different shingle hashes of a text in rising order; a text without words has the single entry 0."""
+    import numpy as np
+
+    h = np.unique(shingle_hashes(text, n))
+    return h if len(h) else np.zeros(1, np.uint64)
+
+
+def prefix_size(m: int, similarity: float) -> int:
+    """Entries of a set of m, in any order common to all sets, of which a set of that similarity has one among its own first ones."""
+    return m - math.ceil(similarity * m - 1e-9) + 1
+
+
+def long_fingerprints(docs: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """``(doc_id, th, w, prefix, m)``: MD5 of the text, WORDS fingerprints from remixed hashes of its shingle set, the set's prefix in the order of the hashes, its size."""
 
     def run(batches):
         import numpy as np
@@ -212,24 +222,28 @@ def long_fingerprints(docs: DataFrame, ngram: int) -> DataFrame:
             return h ^ (h >> np.uint64(31))
 
         for part in slices(batches):
-            out, th, keys, m = [], [], [], []
+            out, th, first, m = [], [], [], []
             for t in part.column(1).to_pylist():
-                h = np.unique(shingle_hashes(t, ngram))
+                h = shingle_set(t, ngram)
                 m.append(len(h))
                 out.append([_signed(majority(mixed(h, k))) for k in range(1, WORDS + 1)])
                 th.append(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest())
-                low = [int(mixed(h, WORDS + k).min()) if len(h) else 0 for k in range(1, KEYS * ROWS + 1)]
-                keys.append([_signed(hash((i, *low[i * ROWS : (i + 1) * ROWS])) % 2**64) for i in range(KEYS)])
+                first.append(h[: prefix_size(len(h), similarity)].view(np.int64))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(th), pa.array(out, longs), pa.array(keys, longs), pa.array(m, pa.int64())], names=["doc_id", "th", "w", "keys", "m"])
+            at = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
+            prefix = pa.ListArray.from_arrays(at, pa.array(np.concatenate(first or [np.zeros(0, np.int64)]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(th), pa.array(out, longs), prefix, pa.array(m, pa.int64())], names=["doc_id", "th", "w", "prefix", "m"])
 
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th string, w array<long>, keys array<long>, m long")
+    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th string, w array<long>, prefix array<long>, m long")
 
 
-def _candidates(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b, d)``: the pairs of nodes whose long fingerprints allow the similarity, and their differing bits."""
-    side = lambda x: table.select(F.col("node").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("w", "m", *PIVOT_NAMES)])
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(similarity, "_a", "_b")).select("a", "b", _differing("_a", "_b").alias("d"))
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, text)`` of ``nodes(node, th, low)``; documents are shuffled only if the nodes are many."""
+    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    side = nodes.select("node", F.col("th").alias("_th"), "low")
+    texts = docs.select("doc_id", text_of(docs).alias("text")).withColumn("th", F.md5("text"))
+    found = texts.join(F.broadcast(side) if few else side, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("low")))
+    return found.select("node", "text").dropDuplicates(["node"])
 
 
 def _exactly(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, ngram: int, similarity: float) -> DataFrame:
@@ -242,18 +256,15 @@ def _exactly(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, ngram: int, si
         for part in slices(batches, 64):
             keep = []
             for t, u in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                x, y = np.unique(shingle_hashes(t, ngram)), np.unique(shingle_hashes(u, ngram))
+                x, y = shingle_set(t, ngram), shingle_set(u, ngram)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.collect_list(F.struct("a", "b")).alias("of"))
-    sides = materialise(sides.join(nodes.select("node", "th", "low"), "node"))
-    few = sides.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    texts = docs.select("doc_id", text_of(docs).alias("text")).withColumn("th", F.md5("text"))
-    found = texts.join(F.broadcast(sides) if few else sides, (texts["th"] == sides["th"]) & texts["doc_id"].eqNullSafe(sides["low"]))
-    found = found.select("node", "text", F.explode("of").alias("p")).select("p.a", "p.b", "node", "text")
-    both = found.groupBy("a", "b").agg(F.max(F.when(F.col("node") == F.col("a"), F.col("text"))).alias("ta"), F.max(F.when(F.col("node") == F.col("b"), F.col("text"))).alias("tb"))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = materialise(_texts(docs, materialise(nodes.select("node", "th", "low").join(used, "node"))))
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
     return materialise(both.mapInArrow(run, "a long, b long"))
 
 
@@ -290,8 +301,18 @@ def _joined(docs: DataFrame, nodes: DataFrame, near: DataFrame, links: DataFrame
     return links, comp
 
 
-def _shingles(docs: DataFrame, nodes: DataFrame, ngram: int) -> DataFrame:
-    """``(node, h)``: the different shingle hashes of the texts of ``nodes(th, low, node)``."""
+def _groups(rows: DataFrame) -> DataFrame:
+    """``rows(key, node, m, r, ...)`` of keys with two nodes or more, with their number ``n``."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(sizes, "key")
+
+
+def _by_frequency(docs: DataFrame, hot: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """``(key, node, m, r)``: the prefixes of the sets of ``hot(node, th, low, m)`` in the order of document frequency among them.
+
+    Entries of a single set come first and meet no other, so only their number
+    counts.  ``r`` is how many entries are left from this one on.
+    """
 
     def run(batches):
         import numpy as np
@@ -299,101 +320,100 @@ def _shingles(docs: DataFrame, nodes: DataFrame, ngram: int) -> DataFrame:
 
         for part in slices(batches, 64):
             for node, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                h = np.unique(shingle_hashes(t, ngram)).view(np.int64)
+                h = shingle_set(t, ngram).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(h)], names=["node", "h"])
 
-    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    texts = docs.select("doc_id", text_of(docs).alias("text")).withColumn("th", F.md5("text"))
-    found = texts.join(F.broadcast(nodes) if few else nodes, (texts["th"] == nodes["th"]) & texts["doc_id"].eqNullSafe(nodes["low"]))
-    return found.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, h long")
+    sets = _texts(docs, hot).mapInArrow(run, "node long, h long")
+    often = sets.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    shared = sets.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    shared = shared.join(hot.select("node", "m"), "node").withColumn("alone", F.col("m") - F.size("s"))
+    size = F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - 1e-9) + 1
+    shared = shared.withColumn("s", F.slice("s", 1, F.greatest(F.lit(0), size - F.col("alone")).cast("int")))
+    return shared.select("node", "m", "alone", F.posexplode("s").alias("i", "x")).select(F.col("x.h").alias("key"), "node", "m", (F.col("m") - F.col("alone") - F.col("i")).alias("r"))
 
 
-def _possible(docs: DataFrame, nodes: DataFrame, heavy: DataFrame, ngram: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different classes in the large blocks ``heavy(key, node, c)`` that may reach the similarity.
+def prefix_groups(docs: DataFrame, nodes: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """Groups ``(level, key, node, m, r, n, hot)`` in which every two nodes of that similarity meet; pairs of two hot nodes are left to level 1.
 
-    Sets of m1 and m2 shingles with similarity s share s / (1 + s) * (m1 + m2).
-    A shingle that one, two or three nodes of large blocks have is rare.  Pairs
-    without a common rare shingle share at most what is not rare in either; for
-    the others, whose number is bounded by the rare shingles, the common rare
-    ones are added.  So the bound discards no pair of that similarity.
+    Two sets of similarity s share an entry among the first
+    ``m - ceil(s m) + 1`` of each, in any order common to both.  The order of
+    the hashes comes first, as it needs no counts.  Nodes with an entry there
+    that more than COMMON share are hot: among themselves they meet in groups by
+    document frequency instead, rare entries first (``level`` 1).  A hot node
+    still meets the others by its hashed prefix.  Nothing is left out at any size.
     """
-    least = similarity / (1 + similarity) - 1e-9
-    ids = materialise(heavy.select("node", "c").distinct().join(nodes.select("node", "th", "low", "m"), "node"))
-    owners = _shingles(docs, ids.select("node", "th", "low"), ngram).groupBy("h")
-    # three owners are known by the smallest, the largest and the sum
-    owners = owners.agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.try_sum("node").alias("all"))
-    rare = materialise(owners.where("n <= 3"))
-    middle = F.col("all") - F.col("lo") - F.col("hi")
-    each = F.when(F.col("n") == 1, F.array("lo")).when(F.col("n") == 2, F.array("lo", "hi")).otherwise(F.array("lo", middle, "hi"))
-    own = rare.select(F.explode(each).alias("node")).groupBy("node").agg(F.count("*").alias("rare"))
-    ids = materialise(ids.join(own, "node", "left").select("node", "c", "m", (F.col("m") - F.coalesce("rare", F.lit(0))).alias("s")))
-
-    more = [k for k in ("w", *PIVOT_NAMES) if k in nodes.columns]
-    side = lambda df, x: df.select(*[k for k in df.columns if k in ("key", "salt")], *[F.col(k).alias(f"{k}{x}") for k in ("node", "c", "m", "s", *more) if k in df.columns])
-    near = _near(similarity, "a", "b") if more else F.lit(True)
-    members = heavy.select("key", "node").join(ids, "node")
-    blocks = members.groupBy("key").agg(F.min("m").alias("least_m"), F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
-    members = members.join(blocks, "key").where(F.col("s") >= least * (F.col("m") + F.col("least_m")))
-    members = materialise(members.join(nodes.select("node", *more), "node") if more else members)
-    # every two members of different classes; a large block is cut in parts on one side and goes to all of them on the other
-    left = side(members.withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")), "a")
-    right = side(members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b")
-    apart = left.join(right, ["key", "salt"]).where("ca < cb").where(F.least("sa", "sb") >= least * (F.col("ma") + F.col("mb"))).where(near)
-    pairs = F.when(F.col("n") == 2, F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).otherwise(
-        F.array(*[F.struct(p.alias("a"), q.alias("b")) for p, q in ((F.col("lo"), middle), (middle, F.col("hi")), (F.col("lo"), F.col("hi")))])
-    )
-    common = rare.where("n > 1").select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("r"))
-    common = common.join(side(ids, "a"), F.col("a") == F.col("nodea")).join(side(ids, "b"), F.col("b") == F.col("nodeb")).where("ca <> cb")
-    common = common.where(F.least("sa", "sb") + F.col("r") >= least * (F.col("ma") + F.col("mb")))
-    return apart.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).union(common.select("a", "b"))
+    rows = nodes.select("node", "m", F.posexplode("prefix").alias("i", "key")).select("key", "node", "m", (F.col("m") - F.col("i")).alias("r"))
+    met = materialise(_groups(rows))
+    hot = materialise(met.where(F.col("n") > COMMON).select("node").distinct())
+    plain = met.where(F.col("n") <= COMMON).join(hot.withColumn("hot", F.lit(True)), "node", "left")
+    plain = plain.select(F.lit(0).alias("level"), "key", "node", "m", "r", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
+    again = _groups(_by_frequency(docs, materialise(nodes.select("node", "th", "low", "m").join(hot, "node")), ngram, similarity))
+    return materialise(plain.union(again.select(F.lit(1), "key", "node", "m", "r", "n", F.lit(False))))
+
+
+def _candidates(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, d)``: the pairs of nodes whose long fingerprints allow the similarity, and their differing bits."""
+    side = lambda x: table.select(F.col("node").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("w", "m", *PIVOT_NAMES)])
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(similarity, "_a", "_b")).select("a", "b", _differing("_a", "_b").alias("d"))
+
+
+def _pairs_apart(groups: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of different classes that meet in a group and may reach the similarity by their sizes and places.
+
+    Sets of m1 and m2 entries with similarity s share s / (1 + s) * (m1 + m2);
+    from a common entry on at most the lesser r can be common, and at the first
+    common one this bounds all.  Members of a large group's main class (its
+    centre's) need no pairs among themselves, so one side holds the others only,
+    dealt in parts.
+    """
+    least = similarity / (1 + similarity)
+    named = groups.join(comp, "node", "left").select("level", "key", "node", "m", "r", "hot", "n", F.coalesce("component", "node").alias("c"))
+    sizes = named.groupBy("level", "key").agg(F.min("m").alias("least_m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.col("m") - F.col("r"), "node", "c")).alias("centre")).where("c0 <> c1")
+    sizes = sizes.select("level", "key", "least_m", F.col("centre.c").alias("main"))
+    named = named.join(sizes, ["level", "key"])
+    named = named.where(F.col("r") >= least * (F.col("m") + F.greatest("least_m", F.ceil(F.col("m") * similarity - 1e-9))) - 1e-6)
+    # the main class of a small group is not told apart
+    named = materialise(named.withColumn("main", F.when(F.col("n") > COMMON, F.col("main")).otherwise(F.lit(-1))).drop("least_m"))
+    others = named.where("c <> main")
+    parts = others.groupBy("level", "key").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
+    others, all_ = others.join(parts, ["level", "key"]), named.join(parts, ["level", "key"])
+    side = lambda df, x: df.select("level", "key", "salt", *[F.col(k).alias(f"{k}{x}") for k in ("node", "m", "r", "c", "hot")], *(["main"] if x == "b" else []))
+    left = side(others.withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")), "a")
+    right = side(all_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b")
+    may = F.least("ra", "rb") >= F.lit(least) * (F.col("ma") + F.col("mb")) - 1e-6
+    alike = F.least("ma", "mb") >= F.lit(similarity) * F.greatest("ma", "mb") - 1e-6
+    met = left.join(right, ["level", "key", "salt"]).where("ca <> cb and (cb = main or nodea < nodeb) and not (hota and hotb)").where(may & alike)
+    return met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
 
 
 def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, th, component_id, class)`` by similarity of n-word shingle sets.
 
-    Equal texts are one node.  Different texts are tried where they share a
-    blocking key: the pivot table discards by coordinate difference, then the
-    share of differing bits of the long fingerprints, at a radius that only
-    filters; the Jaccard similarity of the shingle sets decides.
-
-    First each node is tried against up to HUBS centres of its blocks: the nodes
-    that meet most others, which in a group of edited copies are those nearest
-    to the original.  Then, in blocks whose nodes are not all in one class yet,
-    every pair of different classes is tried; in blocks of more than LIGHT nodes
-    as far as the shingles they can share allow the similarity (exact).
-    Null texts are empty and equal each other.
+    Equal texts are one node.  Different texts meet where the prefixes of their
+    shingle sets do, which misses no pair of that similarity.  The pivot table
+    discards pairs by coordinate difference, then the differing bits of the long
+    fingerprints do, at a radius that only filters; the Jaccard similarity of
+    the sets decides.
+
+    In groups of more than COMMON nodes each is tried against the group's centre
+    first, the node with the fewest rarer entries, which in a group of edited
+    copies is nearest to the original; then every pair of different classes in
+    every group is tried.  Null texts are empty; texts without words are equal.
     """
-    rows = materialise(long_fingerprints(docs, ngram))
-    nodes = rows.groupBy("th").agg(F.min("doc_id").alias("low"), *[F.first(x).alias(x) for x in ("w", "keys", "m")])
+    rows = materialise(long_fingerprints(docs, ngram, similarity))
+    nodes = rows.groupBy("th").agg(F.min("doc_id").alias("low"), *[F.first(x).alias(x) for x in ("w", "prefix", "m")])
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
     table = nodes.select("node", "th", "low", "w", "m", *[c.alias(n) for n, c in zip(PIVOT_NAMES, _long_pivots(), strict=True)])
+    groups = prefix_groups(docs, nodes, ngram, similarity)
 
-    blocks = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(blocks.join(sizes, "key"))
-    meets = met.groupBy("node").agg(F.sum("n").alias("meets"))
-    slot = F.pmod(F.xxhash64("node"), F.lit(HUBS))
-    hub = [F.max(F.when(slot == i, F.struct("meets", "node"))) for i in range(HUBS)]
-    hubs = met.join(meets, "node").groupBy("key").agg(F.array_compact(F.array(*[h["node"] for h in hub])).alias("hubs"))
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = met.join(hubs, "key").select("node", F.explode("hubs").alias("hub")).where("node <> hub").select(*ordered("node", "hub")).distinct()
-    pairs = materialise(pairs)
+    large = groups.where(F.col("n") > COMMON)
+    centres = large.groupBy("level", "key").agg(F.min(F.struct(F.col("m") - F.col("r"), "node")).alias("c")).select("level", "key", F.col("c.node").alias("centre"))
+    pairs = large.join(centres, ["level", "key"]).where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     links, comp = _joined(docs, nodes, materialise(_candidates(pairs, table, similarity)), None, None, ngram, similarity)
     if comp is None:
         links = pairs.limit(0)
         comp = components(links)
-
-    # what the centres of the blocks have not joined
-    named = met.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    open_ = named.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1 and n > 2").select("key", "n")
-    named = materialise(named.join(open_, "key"))
-    light = named.where(F.col("n") <= LIGHT)
-    x = light.select("key", F.col("node").alias("a0"), F.col("c").alias("ca"))
-    y = light.select("key", F.col("node").alias("b0"), F.col("c").alias("cb"))
-    rest = x.join(y, "key").where("ca < cb").select(*ordered("a0", "b0"))
-    heavy = named.where(F.col("n") > LIGHT).select("key", "node", "c")
-    rest = rest.union(_possible(docs, table, heavy, ngram, similarity)).distinct()
-    near = materialise(_candidates(rest.join(pairs, ["a", "b"], "left_anti"), table, similarity))
+    near = materialise(_candidates(_pairs_apart(groups, comp, similarity), table, similarity))
     comp = _joined(docs, nodes, near, links, comp, ngram, similarity)[1]
 
     own = nodes.select("th", "low", "node").join(comp, "node", "left").select("th", "low", F.coalesce("component", "node").alias("component"))
@@ -410,11 +430,17 @@ def one_of_each(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> Dat
     """``docs`` without near-duplicates: of each class the row with the smallest doc_id stays, as it is.
 
     A null doc_id comes last, then the smaller text digest goes first; of rows
-    that agree in both, one stays.  Further columns stay; none takes part.
+    that agree in both, the one whose JSON is smallest stays.  Null and empty
+    texts and those of white space are one class.  All columns stay whatever
+    their names; only doc_id and text take part.  An empty table gives none.
     """
-    classes = similar_classes(docs, ngram, similarity)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("th"))).alias("best")
-    keep = classes.groupBy("class").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
-    rows = docs.withColumn("_th0", F.md5(text_of(docs)))
-    kept = rows.join(keep, (F.col("_th0") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["_th0", "doc_id"]).select(*docs.columns)
+    classes = materialise(similar_classes(docs, ngram, similarity).groupBy("class", "doc_id", "th").agg(F.count("*").alias("n")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "n")).alias("best")
+    keep = materialise(classes.groupBy("class").agg(best).select(F.col("best.doc_id").alias("id"), F.col("best.th").alias("th0"), F.col("best.n").alias("n")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.md5(text_of(docs)).alias("th"), docs["doc_id"].alias("doc_id"))
+    on = lambda k: rows.join(k, (F.col("th") == F.col("th0")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    kept = on(keep.where("n = 1")).select("row")
+    repeated = keep.where("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.union(on(repeated).groupBy("id", "th0").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return kept.select("row.*")
