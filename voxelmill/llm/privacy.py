@@ -22,19 +22,50 @@ TERM = r"[\p{L}\p{M}\p{N}]++"
 DISCLOSURE = 0.8
 #: Different texts in which term and entity must meet; one text is no evidence.
 SUPPORT = 2
-#: Candidate terms up to which their list is broadcast to count their documents.
-BROADCAST_TERMS = 500_000
-#: Texts up to which a list of them is broadcast to find their words.
-BROADCAST_TEXTS = 200_000
+#: Bytes up to which a table of terms or texts' digests is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32_000_000
+#: Entries that one step of a running total takes.
+BLOCK = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, op) -> Column:
+    """For each entry of an ``array<int>``, ``op`` over 0 and all entries before it.
+
+    Blocks of entries are summed up first and then scanned from their own start,
+    so that the work is nearly in proportion to the entries.
+    """
+
+    def scan(xs: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, none, lambda a, x: F.struct(op(a["at"], x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))["out"]
+
+    def whole(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(v) - 1) / BLOCK)).cast("int"))
+        part = lambda i: F.slice(v, i * BLOCK + 1, F.lit(BLOCK))
+        starts = scan(F.transform(blocks, lambda i: F.aggregate(part(i), F.lit(0), op)), F.lit(0))
+        return let(starts, lambda s: F.flatten(F.transform(blocks, lambda i: scan(part(i), F.get(s, i)))))
+
+    return let(values, whole)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def matches(text: Column, pattern: str) -> Column:
     """``array<struct<s int, e int, v string>>``: where the pattern matches, in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    sizes = F.zip_with(found, gaps, lambda m, g: F.coalesce(F.length(m), F.lit(0)) + F.length(g))
-    before = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x) + F.length(F.get(gaps, i))
-    return F.transform(found, lambda m, i: F.struct(before(i).alias("s"), (before(i) + F.length(m)).alias("e"), m.alias("v")))
+
+    def places(found: Column, gaps: Column) -> Column:
+        sizes = F.zip_with(found, gaps, lambda m, g: F.coalesce(F.length(m), F.lit(0)) + F.length(g))
+        start = lambda at, i: F.get(at, i) + F.length(F.get(gaps, i))
+        return let(running(sizes, _plus), lambda at: F.transform(found, lambda m, i: F.struct(start(at, i).alias("s"), (start(at, i) + F.length(m)).alias("e"), m.alias("v"))))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: let(F.split(text, pattern, -1), lambda gaps: places(found, gaps)))
 
 
 def _digits(v: Column) -> Column:
@@ -79,16 +110,33 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def words_outside(text: Column, spans: Column) -> Column:
-    """``array<struct<at int, part string>>``: the parts of a text between its sorted spans."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,part:string>>").alias("out"))
+def gaps(text: Column, spans: Column) -> Column:
+    """``array<struct<at int, part string>>``: the text before each of the sorted spans, and after the last one.
+
+    ``at`` is the end of what the spans before cover; a span that touches or
+    overlaps them has an empty part.  The text is cut for blocks of spans first.
+    """
+
+    def cut(s: Column, at: Column) -> Column:
+        def block(j: Column) -> Column:
+            own = F.slice(s, j * BLOCK + 1, F.lit(BLOCK))
+            start = F.get(at, j * BLOCK)
+            here = F.substring(text, start + 1, F.greatest(F.lit(0), F.element_at(own, -1)["s"] - start))
+
+            def part(x: Column, lo: Column, here: Column) -> Column:
+                return F.struct(lo.alias("at"), F.when(x["s"] > lo, F.substring(here, lo - start + 1, x["s"] - lo)).otherwise(F.lit("")).alias("part"))
 
-    def step(acc, x):
-        part = F.struct(acc["at"].alias("at"), F.substring(text, acc["at"] + 1, x["s"] - acc["at"]).alias("part"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] > acc["at"], F.array_append(acc["out"], part)).otherwise(acc["out"]).alias("out"))
+            return let(here, lambda h: F.transform(own, lambda x, i: part(x, F.get(at, j * BLOCK + i), h)))
 
-    done = F.aggregate(spans, start, step)
-    return F.array_append(done["out"], F.struct(done["at"].alias("at"), F.substring(text, done["at"] + 1, F.length(text)).alias("part")))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int")), block))
+
+    def all_(s: Column) -> Column:
+        ends = F.transform(s, lambda x: x["e"])
+        rest = let(F.array_max(ends), lambda e: F.array(F.struct(e.alias("at"), F.substring(text, e + 1, F.length(text)).alias("part"))))
+        return let(running(ends, lambda a, b: F.greatest(a, b)), lambda at: F.concat(cut(s, at), rest))
+
+    whole = F.array(F.struct(F.lit(0).alias("at"), text.alias("part")))
+    return F.when(F.size(spans) == 0, whole).otherwise(let(spans, all_))
 
 
 def _terms(text: Column) -> Column:
@@ -97,31 +145,24 @@ def _terms(text: Column) -> Column:
 
 def terms_outside(text: Column, spans: Column) -> Column:
     """The different words of a text outside its spans, in lower case."""
-    return F.array_distinct(F.flatten(F.transform(words_outside(text, spans), lambda x: _terms(x["part"]))))
+    return F.array_distinct(F.flatten(F.transform(gaps(text, spans), lambda x: _terms(x["part"]))))
 
 
 def mentions(text: Column, spans: Column, wanted: Column) -> Column:
     """``array<struct<s, k, e>>``: each place outside the spans where a word of ``wanted`` is."""
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-
-    def places(x):
-        found = F.regexp_extract_all(x["part"], F.lit(TERM), F.lit(0))
-        start = F.struct(x["at"].alias("at"), none.alias("out"))
-
-        def step(acc, y):
-            s = acc["at"] + F.length(y["gap"])
-            e = s + F.length(y["word"])
-            hit = F.array_contains(wanted, F.lower(y["word"]))
-            return F.struct(F.coalesce(e, s).alias("at"), F.when(hit, F.array_append(acc["out"], F.struct(s.alias("s"), F.lit(4).alias("k"), e.alias("e")))).otherwise(acc["out"]).alias("out"))
 
-        return F.aggregate(F.arrays_zip(F.split(x["part"], TERM, -1).alias("gap"), found.alias("word")), start, step)["out"]
+    def places(x: Column) -> Column:
+        found = F.filter(matches(x["part"], TERM), lambda m: F.array_contains(wanted, F.lower(m["v"])))
+        return F.transform(found, lambda m: F.struct((x["at"] + m["s"]).alias("s"), F.lit(4).alias("k"), (x["at"] + m["e"]).alias("e")))
 
-    return F.flatten(F.transform(words_outside(text, spans), places))
+    return F.flatten(F.transform(gaps(text, spans), places))
 
 
-def _few(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _few(df: DataFrame) -> DataFrame:
+    """A written table ``df`` of strings, arrays of strings and numbers, with a broadcast hint if it has at most BROADCAST_BYTES."""
+    sizes = [F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16) if k.startswith("array") else F.octet_length(F.col(c).cast("string")).cast("long") for c, k in df.dtypes]
+    total = df.agg(F.sum(sum(sizes, F.lit(16 * len(sizes))))).first()[0]
+    return F.broadcast(df) if (total or 0) <= BROADCAST_BYTES else df
 
 
 def disclosing_terms(found: DataFrame, rows: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -139,18 +180,18 @@ def disclosing_terms(found: DataFrame, rows: DataFrame, share: float = DISCLOSUR
     most = F.lit(total ** (1 - share)) * F.pow(F.col("n_entity").cast("double"), F.lit(share)) * (1 + 1e-9)
     held = materialise(held.join(entities, "entity").select("th", "entity", "n_entity", most.alias("most")))
     texts = materialise(held.groupBy("th").agg(F.max("most").alias("most_of_text")))
-    words = rows.join(_few(texts, BROADCAST_TEXTS), "th").select("th", "most_of_text", F.explode(terms_outside(F.col("text"), base_spans(F.col("text")))).alias("term"))
+    words = rows.join(_few(texts), "th").select("th", "most_of_text", F.explode(terms_outside(F.col("text"), base_spans(F.col("text")))).alias("term"))
     # a term is in at least as many documents as it is in those with an entity
     least = words.groupBy("term").agg(F.count("*").alias("n_near"), F.max("most_of_text").alias("most")).where((F.col("n_near") >= support) & (F.col("n_near") <= F.col("most")))
     least = materialise(least.select("term", "n_near"))
-    words = words.join(_few(least, BROADCAST_TERMS), "term").where(F.col("n_near") <= F.col("most_of_text")).groupBy("th", "term", "n_near").agg(F.count("*").alias("n"))
+    words = words.join(_few(least), "term").where(F.col("n_near") <= F.col("most_of_text")).groupBy("th", "term", "n_near").agg(F.count("*").alias("n"))
     near = materialise(words.join(held, "th").where(F.col("n_near") <= F.col("most")).select("entity", "term", "th", "n", "n_entity", "n_near"))
     pairs = near.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_texts"), F.first("n_entity").alias("n_entity"), F.first("n_near").alias("n_near")).where(F.col("n_texts") >= support)
     known = F.ln(total / F.col("n_entity"))
     gain = lambda n_term: F.ln(F.col("n_both") * total / (F.col("n_entity") * n_term))
     pairs = materialise(pairs.where(gain(F.col("n_near")) >= share * known))
     counted = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    counted = counted.join(_few(pairs.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    counted = counted.join(_few(materialise(pairs.select("term").distinct())), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     pairs = pairs.join(counted, "term").where(gain(F.col("n_term")) >= share * known).select("entity", "term")
     return near.join(pairs, ["entity", "term"], "left_semi").groupBy("th").agg(F.collect_set("term").alias("terms"))
 
@@ -161,6 +202,20 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+PLACES = "array<struct<s:int,k:int,e:int>>"
+
+
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+
+
+def terms_by_text(docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """Base spans ``(doc_id, th, spans)`` of all documents, and ``(th, terms)`` of texts with disclosing terms; both written."""
+    rows = docs.select("doc_id", text_of(docs).alias("text"), F.md5(text_of(docs)).alias("th"))
+    found = materialise(rows.select("doc_id", "th", base_spans(F.col("text")).alias("spans")))
+    return found, materialise(disclosing_terms(found, rows.select("th", "text"), share, support))
+
+
 def find_spans(docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``docs(doc_id, text)`` to a row per document: doc_id, th (MD5 of the text), base and spans.
 
@@ -169,15 +224,11 @@ def find_spans(docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPOR
     co-occurrence with it over all documents discloses it.  Null text is empty, repeated rows each get
     a row, an empty table gives none, other columns are ignored.
     """
-    rows = docs.select("doc_id", text_of(docs).alias("text"), F.md5(text_of(docs)).alias("th"))
-    found = materialise(rows.select("doc_id", "th", base_spans(F.col("text")).alias("spans")))
-    rows = rows.select("th", "text")
-    terms = materialise(disclosing_terms(found, rows, share, support))
-    terms = rows.join(_few(terms, BROADCAST_TEXTS), "th").select("th", mentions(F.col("text"), base_spans(F.col("text")), F.col("terms")).alias("terms")).groupBy("th").agg(F.first("terms").alias("terms"))
-    plain = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    out = found.select("doc_id", "th", plain.alias("base")).join(terms, "th", "left")
-    return out.select("doc_id", "th", "base", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("spans"))
+    found, terms = terms_by_text(docs, share, support)
+    texts = docs.select(text_of(docs).alias("text"), F.md5(text_of(docs)).alias("th")).join(_few(terms), "th")
+    terms = texts.select("th", mentions(F.col("text"), base_spans(F.col("text")), F.col("terms")).alias("terms")).groupBy("th").agg(F.first("terms").alias("terms"))
+    out = found.select("doc_id", "th", _plain(F.col("spans")).alias("base")).join(terms, "th", "left")
+    return out.select("doc_id", "th", "base", F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(PLACES)))).alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -195,27 +246,27 @@ def report(docs: DataFrame) -> DataFrame:
 def replaced(text: Column, spans: Column) -> Column:
     """The text with each span (sorted; overlaps merge) replaced by its kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        new = x["s"] >= acc["at"]
-        add = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.get(names, x["k"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), add.alias("out"))
-
-    done = F.aggregate(spans, start, step)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    put = lambda x, y: F.concat(x["part"], F.when(y["s"] >= x["at"], F.get(names, y["k"])).otherwise(F.lit("")))
+    return let(spans, lambda s: let(gaps(text, s), lambda g: F.concat(F.array_join(F.zip_with(F.slice(g, 1, F.size(s)), s, put), ""), F.element_at(g, -1)["part"])))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with its personal data and disclosing terms replaced; an n_chars column follows the new text.
 
-    Rows and other columns stay as they are; a null text stays null.
+    Rows, repeated ones too, and other columns stay as they are, whatever their
+    names; a null text stays null, an empty one empty; an empty table gives none.
+    Base spans are found again in place, so texts are shuffled only if the table
+    of their disclosing terms is too large to broadcast.
     """
-    spans = find_spans(docs).where("size(spans) > 0").groupBy("th").agg(F.first("spans").alias("_spans")).withColumnRenamed("th", "_th")
-    rows = docs.withColumn("_key", F.md5(text_of(docs))).join(spans, F.col("_key") == F.col("_th"), "left")
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("_spans")))
-    rows = rows.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return rows.select(*docs.columns)
+    terms = terms_by_text(docs)[1].withColumnRenamed("th", "th0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_of(docs).alias("text"), F.md5(text_of(docs)).alias("th"))
+    rows = rows.join(_few(terms), F.col("th") == F.col("th0"), "left").select("row", "text", "terms", _plain(base_spans(F.col("text"))).alias("base"))
+    more = F.when(F.col("terms").isNull(), F.array().cast(PLACES)).otherwise(mentions(F.col("text"), F.col("base"), F.col("terms")))
+    rows = rows.select("row", "text", F.array_sort(F.concat("base", more)).alias("spans"))
+    rows = rows.select("row", F.when(F.size("spans") > 0, replaced(F.col("text"), F.col("spans"))).alias("new"))
+    out = []
+    for name in docs.columns:
+        old = F.col("row").getField(name)
+        new = {"text": F.col("new"), "n_chars": F.length("new").cast(docs.schema[name].dataType)}.get(name)
+        out.append((old if new is None else F.coalesce(new, old)).alias(name))
+    return rows.select(*out)
