@@ -148,8 +148,11 @@ FEW = 256
 #: Nodes that share a hashed prefix entry from which the entry is common, and its nodes are dealt anew by document frequency.
 COMMON = 100
 PIVOT_NAMES = [f"p{i}" for i in range(4)]
-#: Nodes whose texts are looked up by broadcasting them (about 60 bytes each); more are joined by a shuffle.
-BROADCAST_NODES = 200_000
+#: Times that common entries are sought and moved to the end of the order, and how many at most (8 bytes each in a task).
+#: They only choose the order, so results do not depend on them.
+ROUNDS, MOST = 2, 1_000_000
+#: Nodes that are broadcast to look up their texts (about 60 bytes each); more are joined by a shuffle.
+BROADCAST_NODES = 400_000
 #: Members of a large group that one part of it takes on one side.
 SALT = 256
 
@@ -209,8 +212,27 @@ def prefix_size(m: int, similarity: float) -> int:
     return m - math.ceil(similarity * m - 1e-9) + 1
 
 
-def long_fingerprints(docs: DataFrame, ngram: int, similarity: float) -> DataFrame:
-    """``(doc_id, th, w, prefix, m)``: MD5 of the text, WORDS fingerprints from remixed hashes of its shingle set, the set's prefix in the order of the hashes, its size."""
+def _prefix(h, common, similarity: float):
+    """The set's prefix (as longs) in the order of the hashes, those of the sorted array ``common`` last."""
+    import numpy as np
+
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        late = common[at] == h
+        h = np.concatenate([h[~late], h[late]])
+    return h[: prefix_size(len(h), similarity)].view(np.int64)
+
+
+def _lists(arrays):
+    import numpy as np
+    import pyarrow as pa
+
+    at = pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32())
+    return pa.ListArray.from_arrays(at, pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]), pa.int64()))
+
+
+def long_fingerprints(texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """``texts(node, text, th, low)`` to ``(node, th, low, w, prefix, m)``: WORDS fingerprints from remixed hashes of the shingle set, the set's prefix in the order of the hashes, its size."""
 
     def run(batches):
         import numpy as np
@@ -222,28 +244,58 @@ def long_fingerprints(docs: DataFrame, ngram: int, similarity: float) -> DataFra
             return h ^ (h >> np.uint64(31))
 
         for part in slices(batches):
-            out, th, first, m = [], [], [], []
-            for t in part.column(1).to_pylist():
-                h = shingle_set(t, ngram)
-                m.append(len(h))
-                out.append([_signed(majority(mixed(h, k))) for k in range(1, WORDS + 1)])
-                th.append(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest())
-                first.append(h[: prefix_size(len(h), similarity)].view(np.int64))
-            longs = pa.list_(pa.int64())
-            at = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
-            prefix = pa.ListArray.from_arrays(at, pa.array(np.concatenate(first or [np.zeros(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(th), pa.array(out, longs), prefix, pa.array(m, pa.int64())], names=["doc_id", "th", "w", "prefix", "m"])
+            sets = [shingle_set(t, ngram) for t in part.column(1).to_pylist()]
+            w = [[_signed(majority(mixed(h, k))) for k in range(1, WORDS + 1)] for h in sets]
+            prefix = _lists([_prefix(h, (), similarity) for h in sets])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(w, pa.list_(pa.int64())), prefix, pa.array(map(len, sets), pa.int64())], names=["node", "th", "low", "w", "prefix", "m"])
+
+    return texts.mapInArrow(run, f"node long, th string, low {texts.schema['low'].dataType.simpleString()}, w array<long>, prefix array<long>, m long")
+
 
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th string, w array<long>, prefix array<long>, m long")
+def _few(nodes: DataFrame) -> DataFrame:
+    """Written ``nodes`` with a broadcast hint if they are at most BROADCAST_NODES."""
+    return F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, text)`` of ``nodes(node, th, low)``; documents are shuffled only if the nodes are many."""
-    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    side = nodes.select("node", F.col("th").alias("_th"), "low")
+    """``(node, text, th, low)`` of ``nodes(node, th, low)``, repeated where document rows are; documents are shuffled only if the nodes are many."""
+    side = _few(nodes.select("node", F.col("th").alias("_th"), "low"))
     texts = docs.select("doc_id", text_of(docs).alias("text")).withColumn("th", F.md5("text"))
-    found = texts.join(F.broadcast(side) if few else side, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("low")))
-    return found.select("node", "text").dropDuplicates(["node"])
+    return texts.join(side, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text", "th", "low")
+
+
+def _prefixes(docs: DataFrame, nodes: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """``(node, m, prefix)`` of ``nodes(node, th, low, m, prefix)`` with common entries last in the order.
+
+    The prefix of a set without a common entry in it stays as it is, so that
+    only texts with one are read again.
+    """
+    import numpy as np
+
+    now, common = nodes.select("node", "m", "prefix"), np.zeros(0, np.uint64)
+    spark = docs.sparkSession
+    for _ in range(ROUNDS):
+        often = now.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
+        keys = often.orderBy(F.desc("n"), "key").limit(MOST).select("key").toArrow().column(0).to_numpy().view(np.uint64)
+        new = np.setdiff1d(keys, common)[: MOST - len(common)]
+        if not len(new):
+            break
+        common = np.union1d(common, new)
+        shared = spark.sparkContext.broadcast(common)
+        found = spark.createDataFrame([(k,) for k in new.view(np.int64).tolist()], "key long")
+        again = now.select("node", F.explode("prefix").alias("key")).join(F.broadcast(found), "key", "left_semi").select("node").distinct()
+        again = materialise(nodes.select("node", "th", "low").join(again, "node"))
+
+        def run(batches, shared=shared):
+            import pyarrow as pa
+
+            for part in slices(batches):
+                sets = [shingle_set(t, ngram) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), _lists([_prefix(h, shared.value, similarity) for h in sets])], names=["node", "m", "prefix"])
+
+        moved = _texts(docs, again).mapInArrow(run, "node long, m long, prefix array<long>").dropDuplicates(["node"])
+        now = materialise(now.join(_few(again.select("node")), "node", "left_anti").union(moved))
+    return now
 
 
 def _exactly(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, ngram: int, similarity: float) -> DataFrame:
@@ -325,7 +377,7 @@ def _by_frequency(docs: DataFrame, hot: DataFrame, ngram: int, similarity: float
 
     sets = _texts(docs, hot).mapInArrow(run, "node long, h long")
     often = sets.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    shared = sets.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    shared = sets.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("s"))
     shared = shared.join(hot.select("node", "m"), "node").withColumn("alone", F.col("m") - F.size("s"))
     size = F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - 1e-9) + 1
     shared = shared.withColumn("s", F.slice("s", 1, F.greatest(F.lit(0), size - F.col("alone")).cast("int")))
@@ -337,12 +389,13 @@ def prefix_groups(docs: DataFrame, nodes: DataFrame, ngram: int, similarity: flo
 
     Two sets of similarity s share an entry among the first
     ``m - ceil(s m) + 1`` of each, in any order common to both.  The order of
-    the hashes comes first, as it needs no counts.  Nodes with an entry there
-    that more than COMMON share are hot: among themselves they meet in groups by
-    document frequency instead, rare entries first (``level`` 1).  A hot node
-    still meets the others by its hashed prefix.  Nothing is left out at any size.
+    the hashes, common entries last, comes first, as it moves little data.
+    Nodes that still share an entry with more than COMMON others are hot: among
+    themselves they meet in groups by exact document frequency instead, rare
+    entries first (``level`` 1).  A hot node still meets the others by its
+    hashed prefix.  Nothing is left out at any size.
     """
-    rows = nodes.select("node", "m", F.posexplode("prefix").alias("i", "key")).select("key", "node", "m", (F.col("m") - F.col("i")).alias("r"))
+    rows = _prefixes(docs, nodes, ngram, similarity).select("node", "m", F.posexplode("prefix").alias("i", "key")).select("key", "node", "m", (F.col("m") - F.col("i")).alias("r"))
     met = materialise(_groups(rows))
     hot = materialise(met.where(F.col("n") > COMMON).select("node").distinct())
     plain = met.where(F.col("n") <= COMMON).join(hot.withColumn("hot", F.lit(True)), "node", "left")
@@ -400,9 +453,11 @@ def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) ->
     copies is nearest to the original; then every pair of different classes in
     every group is tried.  Null texts are empty; texts without words are equal.
     """
-    rows = materialise(long_fingerprints(docs, ngram, similarity))
-    nodes = rows.groupBy("th").agg(F.min("doc_id").alias("low"), *[F.first(x).alias(x) for x in ("w", "prefix", "m")])
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
+    rows = materialise(docs.select("doc_id", F.md5(text_of(docs)).alias("th")))
+    ids = materialise(rows.groupBy("th").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = materialise(long_fingerprints(_texts(docs, ids), ngram, similarity))
+    if nodes.count() > ids.count():
+        nodes = materialise(nodes.dropDuplicates(["node"]))
     table = nodes.select("node", "th", "low", "w", "m", *[c.alias(n) for n, c in zip(PIVOT_NAMES, _long_pivots(), strict=True)])
     groups = prefix_groups(docs, nodes, ngram, similarity)
 
