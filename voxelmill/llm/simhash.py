@@ -264,16 +264,17 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.join(side, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text", "th", "low")
 
 
-def _prefixes(docs: DataFrame, nodes: DataFrame, ngram: int, similarity: float) -> DataFrame:
-    """``(node, m, prefix)`` of ``nodes(node, th, low, m, prefix)`` with common entries last in the order.
+def _prefixes(docs: DataFrame, nodes: DataFrame, repeated: bool, ngram: int, similarity: float) -> DataFrame:
+    """``nodes(node, th, low, m, prefix)`` with common entries last in the order of the prefixes.
 
     The prefix of a set without a common entry in it stays as it is, so that
-    only texts with one are read again.
+    only texts with one are read again.  ``repeated``: a text may be found twice.
     """
     import numpy as np
 
-    now, common = nodes.select("node", "m", "prefix"), np.zeros(0, np.uint64)
     spark = docs.sparkSession
+    now, common = nodes.select("node", "th", "low", "m", "prefix"), np.zeros(0, np.uint64)
+    kind = f"node long, th string, low {nodes.schema['low'].dataType.simpleString()}, m long, prefix array<long>"
     for _ in range(ROUNDS):
         often = now.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
         keys = often.orderBy(F.desc("n"), "key").limit(MOST).select("key").toArrow().column(0).to_numpy().view(np.uint64)
@@ -283,17 +284,19 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, ngram: int, similarity: float)
         common = np.union1d(common, new)
         shared = spark.sparkContext.broadcast(common)
         found = spark.createDataFrame([(k,) for k in new.view(np.int64).tolist()], "key long")
-        again = now.select("node", F.explode("prefix").alias("key")).join(F.broadcast(found), "key", "left_semi").select("node").distinct()
-        again = materialise(nodes.select("node", "th", "low").join(again, "node"))
+        again = now.select("node", "th", "low", F.explode("prefix").alias("key")).join(F.broadcast(found), "key", "left_semi")
+        again = materialise(again.select("node", "th", "low").distinct())
 
         def run(batches, shared=shared):
             import pyarrow as pa
 
             for part in slices(batches):
                 sets = [shingle_set(t, ngram) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), _lists([_prefix(h, shared.value, similarity) for h in sets])], names=["node", "m", "prefix"])
+                cols = [part.column(0), part.column(2), part.column(3), pa.array(map(len, sets), pa.int64()), _lists([_prefix(h, shared.value, similarity) for h in sets])]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "th", "low", "m", "prefix"])
 
-        moved = _texts(docs, again).mapInArrow(run, "node long, m long, prefix array<long>").dropDuplicates(["node"])
+        moved = _texts(docs, again).mapInArrow(run, kind)
+        moved = moved.dropDuplicates(["node"]) if repeated else moved
         now = materialise(now.join(_few(again.select("node")), "node", "left_anti").union(moved))
     return now
 
@@ -313,44 +316,26 @@ def _exactly(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, ngram: int, si
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = materialise(_texts(docs, materialise(nodes.select("node", "th", "low").join(used, "node"))))
+    used = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = materialise(_texts(docs, materialise(nodes.select("node", "th", "low").join(_few(used), "node"))))
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
     return materialise(both.mapInArrow(run, "a long, b long"))
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs of nodes that are in different classes, with their classes."""
-    of = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    """The pairs of nodes that are in different classes, with their classes; ``comp`` is written."""
+    few = _few(comp)
+    of = lambda x: few.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     return named.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
 
 
-def _joined(docs: DataFrame, nodes: DataFrame, near: DataFrame, links: DataFrame | None, comp: DataFrame | None, ngram: int, similarity: float) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links and their classes, decided exactly for ``near(a, b, d)``.
-
-    A pair within a class changes nothing, so the closest pairs go first: of
-    each node, then of each two classes; in the end all pairs of different
-    classes that are left, so that none stays untried.
-    """
-    for last in (False, False, True):
-        open_ = materialise(_apart(near, comp) if comp is not None else near.withColumns({"ca": F.col("a"), "cb": F.col("b")}))
-        if open_.isEmpty():
-            break
-        if comp is None:
-            ends = open_.select(F.explode(F.array("a", "b")).alias("node"), F.struct("d", "a", "b").alias("p"))
-            best = ends.groupBy("node").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
-        elif last:
-            best = open_.select("a", "b")
-        else:
-            best = open_.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
-        best = materialise(best)
-        found = _exactly(docs, nodes, best, ngram, similarity)
-        links = found if links is None else links.union(found)
-        comp = materialise(components(links))
-        near = open_.select("a", "b", "d").join(best, ["a", "b"], "left_anti")
-    return links, comp
+def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, links: DataFrame | None, ngram: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``links`` and those of the written ``pairs`` that are similar, and the classes of them all."""
+    found = _exactly(docs, nodes, pairs, ngram, similarity)
+    links = found if links is None else links.union(found)
+    return links, materialise(components(links))
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -384,7 +369,7 @@ def _by_frequency(docs: DataFrame, hot: DataFrame, ngram: int, similarity: float
     return shared.select("node", "m", "alone", F.posexplode("s").alias("i", "x")).select(F.col("x.h").alias("key"), "node", "m", (F.col("m") - F.col("alone") - F.col("i")).alias("r"))
 
 
-def prefix_groups(docs: DataFrame, nodes: DataFrame, ngram: int, similarity: float) -> DataFrame:
+def prefix_groups(docs: DataFrame, nodes: DataFrame, repeated: bool, ngram: int, similarity: float) -> DataFrame:
     """Groups ``(level, key, node, m, r, n, hot)`` in which every two nodes of that similarity meet; pairs of two hot nodes are left to level 1.
 
     Two sets of similarity s share an entry among the first
@@ -395,7 +380,7 @@ def prefix_groups(docs: DataFrame, nodes: DataFrame, ngram: int, similarity: flo
     entries first (``level`` 1).  A hot node still meets the others by its
     hashed prefix.  Nothing is left out at any size.
     """
-    rows = _prefixes(docs, nodes, ngram, similarity).select("node", "m", F.posexplode("prefix").alias("i", "key")).select("key", "node", "m", (F.col("m") - F.col("i")).alias("r"))
+    rows = _prefixes(docs, nodes, repeated, ngram, similarity).select("node", "m", F.posexplode("prefix").alias("i", "key")).select("key", "node", "m", (F.col("m") - F.col("i")).alias("r"))
     met = materialise(_groups(rows))
     hot = materialise(met.where(F.col("n") > COMMON).select("node").distinct())
     plain = met.where(F.col("n") <= COMMON).join(hot.withColumn("hot", F.lit(True)), "node", "left")
@@ -420,16 +405,17 @@ def _pairs_apart(groups: DataFrame, comp: DataFrame, similarity: float) -> DataF
     dealt in parts.
     """
     least = similarity / (1 + similarity)
-    named = groups.join(comp, "node", "left").select("level", "key", "node", "m", "r", "hot", "n", F.coalesce("component", "node").alias("c"))
+    named = groups.join(_few(comp), "node", "left").select("level", "key", "node", "m", "r", "hot", "n", F.coalesce("component", "node").alias("c"))
     sizes = named.groupBy("level", "key").agg(F.min("m").alias("least_m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.col("m") - F.col("r"), "node", "c")).alias("centre")).where("c0 <> c1")
     sizes = sizes.select("level", "key", "least_m", F.col("centre.c").alias("main"))
     named = named.join(sizes, ["level", "key"])
     named = named.where(F.col("r") >= least * (F.col("m") + F.greatest("least_m", F.ceil(F.col("m") * similarity - 1e-9))) - 1e-6)
     # the main class of a small group is not told apart
     named = materialise(named.withColumn("main", F.when(F.col("n") > COMMON, F.col("main")).otherwise(F.lit(-1))).drop("least_m"))
-    others = named.where("c <> main")
-    parts = others.groupBy("level", "key").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
-    others, all_ = others.join(parts, ["level", "key"]), named.join(parts, ["level", "key"])
+    # the others of a large group go to several parts, which all its members meet
+    parts = materialise(named.where("c <> main and main <> -1").groupBy("level", "key").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts")).where("parts > 1"))
+    all_ = named.join(_few(parts), ["level", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    others = all_.where("c <> main")
     side = lambda df, x: df.select("level", "key", "salt", *[F.col(k).alias(f"{k}{x}") for k in ("node", "m", "r", "c", "hot")], *(["main"] if x == "b" else []))
     left = side(others.withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")), "a")
     right = side(all_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b")
@@ -456,20 +442,25 @@ def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) ->
     rows = materialise(docs.select("doc_id", F.md5(text_of(docs)).alias("th")))
     ids = materialise(rows.groupBy("th").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id()))
     nodes = materialise(long_fingerprints(_texts(docs, ids), ngram, similarity))
-    if nodes.count() > ids.count():
+    repeated = nodes.count() > ids.count()
+    if repeated:
         nodes = materialise(nodes.dropDuplicates(["node"]))
     table = nodes.select("node", "th", "low", "w", "m", *[c.alias(n) for n, c in zip(PIVOT_NAMES, _long_pivots(), strict=True)])
-    groups = prefix_groups(docs, nodes, ngram, similarity)
+    groups = prefix_groups(docs, nodes, repeated, ngram, similarity)
 
+    # each node of a large group and the centre nearest to it
     large = groups.where(F.col("n") > COMMON)
     centres = large.groupBy("level", "key").agg(F.min(F.struct(F.col("m") - F.col("r"), "node")).alias("c")).select("level", "key", F.col("c.node").alias("centre"))
-    pairs = large.join(centres, ["level", "key"]).where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    links, comp = _joined(docs, nodes, materialise(_candidates(pairs, table, similarity)), None, None, ngram, similarity)
-    if comp is None:
-        links = pairs.limit(0)
-        comp = components(links)
-    near = materialise(_candidates(_pairs_apart(groups, comp, similarity), table, similarity))
-    comp = _joined(docs, nodes, near, links, comp, ngram, similarity)[1]
+    pairs = large.join(centres, ["level", "key"]).where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    nearest = _candidates(pairs, table, similarity).groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    links, comp = _linked(docs, nodes, materialise(nearest), None, ngram, similarity)
+    # all pairs of different classes: first the closest of each two classes, then those that are still apart
+    near = materialise(_apart(_candidates(_pairs_apart(groups, comp, similarity), table, similarity), comp))
+    best = materialise(near.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b"))
+    links, comp = _linked(docs, nodes, best, links, ngram, similarity)
+    rest = materialise(_apart(near.select("a", "b").join(_few(best), ["a", "b"], "left_anti"), comp).select("a", "b"))
+    if not rest.isEmpty():
+        comp = _linked(docs, nodes, rest, links, ngram, similarity)[1]
 
     own = nodes.select("th", "low", "node").join(comp, "node", "left").select("th", "low", F.coalesce("component", "node").alias("component"))
     low = own.groupBy("component").agg(F.min("low").alias("component_id"))
