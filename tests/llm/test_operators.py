@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -69,6 +70,45 @@ def test_extraction():
     assert extraction.extract("") == "" and extraction.extract("plain") == "plain"
 
 
+def test_long_pages_take_time_in_proportion():
+    for bit in ("<a ", "<div>", "<span>", '<a x=">"', "<a 'b>", "</b>", "<p>", "<li>", '<a ="', "<b><div><span></b>", "<!", "a<b "):
+        started = time.process_time()
+        extraction.extract(bit * (400_000 // len(bit)))
+        assert time.process_time() - started < 5, bit
+    assert extraction.extract("<p>a</p><a b='>c<p>d") == "a\nc\nd" and extraction.extract("x <a y") == "x <a y"
+
+
+def test_extraction_of_generated_pages():
+    """Articles of known lines inside random wrappers, among menus, notices, forms and comments."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    around = ["<nav><a href=x>%s</a></nav>", "<div class=sidebar>%s</div>", "<footer>%s</footer>", "<div id=comments><p>%s</p></div>", "<form>%s</form>", "<script>var x = '%s'</script>", "<!-- %s -->", "<div class='cookie-notice'>%s</div>", "<header>%s</header>"]
+    for _ in range(60):
+        lines = [" ".join(word() for _ in range(rng.integers(8, 30))) + ", &amp; so." for _ in range(rng.integers(1, 8))]
+        noise = lambda: "".join(rng.choice(around) % word() for _ in range(rng.integers(0, 4)))
+        body = "".join(f"<p>{x.replace(' ', rng.choice([' ', '  ', chr(10)]), 1)}</p>" + noise() for x in lines)
+        page = f"<html><body>{noise()}<div class='{word()}'><{(t := rng.choice(['article', 'main', 'div', 'section']))}>{body}</{t}></div>{noise()}</body></html>"
+        assert extraction.extract(page) == "\n".join(x.replace("&amp;", "&") for x in lines)
+
+
+def test_hosts_agree_on_a_path_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(120):
+        long = rng.choice(["a", "b"])
+        parts = [f"<div class='{k}{rng.integers(9)}'><p>{'word ' * int(rng.integers(20, 40) if k == long else 1)}{k}</p></div>" for k in "ab"]
+        rows.append((i, f"http://h{i % 3}.example/{i}", "<body>" + "".join(parts)))
+    got = {r.page_id: r for r in extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for h in range(3):
+        votes = collections.Counter()
+        for i, _, page in rows[h::3]:
+            path, share = extraction.best_path(page)
+            votes[path] += share
+        best = max(votes, key=votes.get)
+        assert len(votes) == 2 and best in (">body>div.a#", ">body>div.b#")
+        assert all(got[i].container == best and got[i].text.endswith(best[-2]) and len(got[i].text.split("\n")) == 1 for i, _, _ in rows[h::3])
+
+
 def test_extraction_by_host(spark):
     rows = [(i, "http://H.example/a", f"<body><div class='c{i}'><p>{'word, ' * 20}</div><footer>x</footer>") for i in range(3)] + [(7, None, None), (7, None, None), (8, "http://h.example/", "<body><div class='c9'>short</div><div>much longer, indeed</div>")]
     got = extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html as _html
 import re
+import sys
+from array import array
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
@@ -11,10 +13,13 @@ from pyspark.sql import functions as F
 
 from voxelmill.llm.common import materialise, slices
 
+#: A comment, a tag or a declaration.  Loops are possessive and quotes count after "=" only, so that nothing is scanned twice.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
+    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[!?][^>]*+>", re.S
 )
-ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: The same without quotes: used behind a tag that does not end.
+PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>", re.S)
+ATTR = re.compile(r"(?<![^\s\"'/])([^\s=\"'/]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "title", "select"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
@@ -35,6 +40,8 @@ GOOD_WORD = {"article", "content", "entry", "main", "post", "story", "text", "bo
 CLOSES = {t: {"p"} for t in BLOCK - {"br"}} | {"li": {"p", "li"}, "dt": {"p", "dd", "dt"}, "dd": {"p", "dd", "dt"}, "tr": {"p", "td", "th", "tr"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "option": {"option"}}
 
 
+NAME_START = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ/")
+
 #: Hosts up to which their paths are broadcast; more are joined by shuffling the pages.
 BROADCAST_HOSTS = 200_000
 
@@ -43,122 +50,200 @@ def _words(value: str) -> set[str]:
     return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
 
 
-def parse(page: str):
-    """Elements ``(parent, tag, path, out, good)`` and blocks ``(element, text, linked characters)`` in page order.
+def tokens(page: str):
+    """``(start, end, match)`` of the page's tags and comments, each character scanned a fixed number of times."""
+    last, at, pattern = page.rfind(">"), 0, TOKEN
+    while (start := page.find("<", at)) >= 0:
+        m = pattern.match(page, start)
+        if m is None and page[start + 1 : start + 2] in NAME_START and pattern is TOKEN and start < last:
+            # a tag whose quotes never end: from here on quotes do not count
+            pattern, m = PLAIN, PLAIN.match(page, start)
+        if m is None and start > last:
+            return
+        if m is None:
+            at = start + 1
+            continue
+        at = yield start, m.end(), m
+        at = at or m.end()
+
+
+class Page:
+    """Elements and blocks of a page, in page order.
 
-    The path is tags with classes from the root, digits generalised to ``#``.
-    ``out`` says that the element or one above it is not part of an article.
+    ``up``, ``tag``, ``path`` and ``box`` have an entry for each element; 0 is
+    the page.  A path is a number that stands for its parent path and a step of
+    tag and classes, digits generalised to ``#``.  ``box`` is the nearest
+    container, from the element upwards, that is part of an article; ``out`` marks elements
+    that are not, as they or one above them are navigation or the like.
+    ``blocks`` are (element, text, linked characters).
     """
-    els = [(-1, "", "", False, False)]
-    stack, blocks, buf, linked, links = [0], [], [], 0, 0
-
-    def flush():
-        nonlocal buf, linked
-        text = " ".join("".join(buf).split())
-        if text:
-            blocks.append((stack[-1], text, linked))
-        buf, linked = [], 0
-
-    def pop_to(i: int):
-        nonlocal links
-        for e in stack[i:]:
-            links -= els[e][1] == "a"
-        del stack[i:]
-
-    at = 0
-    while True:
-        m = TOKEN.search(page, at)
-        chunk = page[at : m.start()] if m else page[at:]
-        if chunk and not els[stack[-1]][3]:
-            t = _html.unescape(chunk)
-            buf.append(t)
-            linked += len(t.strip()) if links else 0
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            continue
+
+    def __init__(self, page: str):
+        self.up, self.tag, self.path, self.box = array("l", [-1]), [""], array("l", [0]), array("l", [0])
+        self.out, self.good, self.blocks = bytearray(1), bytearray(1), []
+        self.paths: dict[int, int] = {}
+        self.steps: dict[str, int] = {}
+        self.parents, self.names = array("l", [-1]), [""]
+        self._read(page)
+
+    def _path(self, parent: int, step: str) -> int:
+        key = parent << 32 | self.steps.setdefault(step, len(self.steps))
+        got = self.paths.get(key)
+        if got is None:
+            got = self.paths[key] = len(self.parents)
+            self.parents.append(parent)
+            self.names.append(sys.intern(step))
+        return got
+
+    def path_text(self, path: int) -> str:
+        """The steps of a path from the root, each after a ``>``."""
+        steps = []
+        while path > 0:
+            steps.append(self.names[path])
+            path = self.parents[path]
+        return "".join(">" + x for x in reversed(steps))
+
+    def find_path(self, text: str) -> int | None:
+        """The path with that text, if the page has it."""
+        path = 0
+        for step in text.split(">")[1:]:
+            n = self.steps.get(step)
+            path = None if n is None else self.paths.get(path << 32 | n)
+            if path is None:
+                return None
+        return path
+
+    def _read(self, page: str) -> None:
+        tags, out, blocks = self.tag, self.out, self.blocks
+        stack, buf, linked = [0], [], 0
+        # places in the stack: of each open tag, of open blocks, of open containers
+        open_, block_at, box_at = defaultdict(list), [], []
+
+        def flush():
+            nonlocal buf, linked
+            text = " ".join("".join(buf).split())
+            if text:
+                blocks.append((stack[-1], text, linked))
+            buf, linked = [], 0
+
+        def pop_to(i: int):
+            for e in reversed(stack[i:]):
+                t = tags[e]
+                open_[t].pop()
+                if t in BLOCK:
+                    block_at.pop()
+                if t in CONTAINER:
+                    box_at.pop()
+            del stack[i:]
+
+        def say(chunk: str):
+            nonlocal linked
+            if chunk and not out[stack[-1]]:
+                t = _html.unescape(chunk)
+                buf.append(t)
+                linked += len(t.strip()) if open_["a"] else 0
+
+        at, walk = 0, tokens(page)
+        item = next(walk, None)
+        while item:
+            start, end, m = item
+            say(page[at:start])
+            at, jump = end, None
+            if m[2] is not None:
+                jump = self._tag(page, m, at, stack, open_, block_at, box_at, flush, pop_to)
+                at = jump or at
+            try:
+                item = walk.send(jump)
+            except StopIteration:
+                break
+        say(page[at:])
+        flush()
+
+    def _tag(self, page, m, at, stack, open_, block_at, box_at, flush, pop_to) -> int | None:
+        """One tag; the place to go on at, if it is not the tag's end."""
         tag = m[2].lower()
         if m[1]:
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if els[stack[i]][1] == tag:
-                    pop_to(i)
-                    break
-                if els[stack[i]][1] in CONTAINER and tag not in BLOCK:
-                    break
-            continue
+            mine = open_[tag][-1] if open_[tag] else 0
+            # an inline end tag does not reach out of its container
+            if mine and (tag in BLOCK or not box_at or box_at[-1] <= mine):
+                pop_to(mine)
+            return None
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
+            end = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
+            return end.end() if end else len(page)
         if tag in BLOCK:
             flush()
         if tag in VOID:
-            continue
+            return None
         closes = CLOSES.get(tag)
-        if closes:
-            for i in range(len(stack) - 1, 0, -1):
-                t = els[stack[i]][1]
-                if t in closes:
-                    pop_to(i)
-                    if t != "p" and tag in ("li", "dt", "dd", "td", "th", "option"):
-                        break
-                elif t in BLOCK:
-                    break
+        while closes and block_at and (t := self.tag[stack[block_at[-1]]]) in closes:
+            pop_to(block_at[-1])
+            if t != "p" and tag in ("li", "dt", "dd", "td", "th", "option"):
+                break
         attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(m[3])} if m[3] else {}
-        cls = attrs.get("class", "")
-        up = els[stack[-1]]
+        cls, top, e = attrs.get("class", ""), stack[-1], len(self.up)
         words = _words(cls + " " + attrs.get("id", "")) if attrs else set()
-        good = tag in ("article", "main") or bool(words & GOOD_WORD) or attrs.get("role") == "main"
-        out = up[3] or tag in OUT or attrs.get("role") in OUT_ROLE or (bool(words & OUT_WORD) and tag not in ("html", "body", "article", "main")) or attrs.get("aria-hidden") == "true" or "hidden" in m[3].split()
-        path = f"{up[2]}>{tag}" + "".join("." + re.sub(r"\d+", "#", c) for c in sorted(cls.split()))
-        els.append((stack[-1], tag, path, out, good))
+        hides = tag in OUT or attrs.get("role") in OUT_ROLE or (bool(words & OUT_WORD) and tag not in ("html", "body", "article", "main")) or attrs.get("aria-hidden") == "true" or "hidden" in m[3].split()
+        gone = bool(self.out[top] or hides)
+        self.up.append(top)
+        self.tag.append(sys.intern(tag))
+        self.out.append(gone)
+        self.good.append(tag in ("article", "main") or bool(words & GOOD_WORD) or attrs.get("role") == "main")
+        self.path.append(self._path(self.path[top], tag + "".join("." + re.sub(r"\d+", "#", c) for c in sorted(cls.replace(">", "_").split()))))
+        self.box.append(e if tag in CONTAINER and not gone else self.box[top])
         if not m[3].endswith("/"):
-            stack.append(len(els) - 1)
-            links += tag == "a"
-    flush()
-    return els, blocks
-
-
-def score(els, blocks) -> dict[str, float]:
-    """Points by container path: unlinked text counts for its container, and by a falling share for those above."""
-    points: dict[str, float] = defaultdict(float)
-    for e, text, linked in blocks:
-        worth, share = max(0, len(text) - 2 * linked) + 25 * text.count(","), 1.0
-        while e > 0 and share > 0.2:
-            up, tag, path, out, good = els[e]
-            if tag in CONTAINER and not out:
-                points[path] += worth * share * (1.3 if good else 1.0)
+            open_[tag].append(len(stack))
+            if tag in BLOCK:
+                block_at.append(len(stack))
+            if tag in CONTAINER:
+                box_at.append(len(stack))
+            stack.append(e)
+        return None
+
+    def score(self) -> dict[int, float]:
+        """Points by container path: unlinked text counts for its container, and by a falling share for those above."""
+        points: dict[int, float] = defaultdict(float)
+        for e, text, linked in self.blocks:
+            worth, share, e = max(0, len(text) - 2 * linked) + 25 * text.count(","), 1.0, self.box[e]
+            while e > 0 and share > 0.2:
+                points[self.path[e]] += worth * share * (1.3 if self.good[e] else 1.0)
                 share *= 0.75
-            e = up
-    return points
+                e = self.box[self.up[e]]
+        return points
+
+    def best(self) -> tuple[str, float] | None:
+        """The best container path, the smaller text on a tie, and its share of all points."""
+        points = self.score()
+        if not points:
+            return None
+        most = max(points.values())
+        return min(self.path_text(k) for k, v in points.items() if v == most), most / (sum(points.values()) or 1.0)
+
+    def below(self, path: int) -> str:
+        """The text of all blocks at or below the elements of a path."""
+        inside = bytearray(len(self.up))
+        inside[0] = path == 0
+        for e in range(1, len(inside)):
+            inside[e] = inside[self.up[e]] or self.path[e] == path
+        return "\n".join(t for e, t, _ in self.blocks if inside[e] and not self.out[e])
 
 
 def best_path(page: str) -> tuple[str | None, float]:
     """The page's best container path and its share of all points."""
-    points = score(*parse(page))
-    if not points:
-        return None, 0.0
-    path = min(points, key=lambda k: (-points[k], k))
-    return path, points[path] / sum(points.values())
+    return Page(page).best() or (None, 0.0)
 
 
 def extract(page: str, path: str | None = None) -> str:
     """The text below the elements at ``path``; without text there, below the page's own best, then the page's."""
-    els, blocks = parse(page)
-    own = score(els, blocks)
-    for want in (path, min(own, key=lambda k: (-own[k], k)) if own else None, ""):
-        if want is None:
-            continue
-        inside = [i == 0 and want == "" for i in range(len(els))]
-        for i, (up, _, p, _, _) in enumerate(els[1:], 1):
-            inside[i] = inside[up] or p == want
-        got = [t for e, t, _ in blocks if inside[e] and not els[e][3]]
-        if got:
-            return "\n".join(got)
-    return ""
+    read = Page(page)
+    text = ""
+    if path is not None and (known := read.find_path(path)) is not None:
+        text = read.below(known)
+    if not text and (own := read.best()):
+        text = read.below(read.find_path(own[0]))
+    return text or read.below(0)
 
 
 def host_of(url):
