@@ -134,6 +134,35 @@ def test_viterbi_by_brute_force():
         assert tuple(line_crf.viterbi(e, t)) == best
 
 
+def test_base_rules_by_brute_force(spark):
+    rng = np.random.default_rng(13)
+    bits = ["a", "b", "c#", "\n", " ", "\t", "\r", "\x0b", "é𝄞", "|", "<x>", "\u00a0", " a b c d e ", "\u2028", "$*%&"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 60))) for _ in range(300)] + [None, "", " "]
+    got = {r.doc_id: r for r in line_crf.label_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (np.zeros(line_crf.FEATURES), np.zeros((2, 2)))).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        c = collections.Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        rep = len({j for k in range(len(words) - 4) if c[tuple(words[k : k + 5])] > 1 for j in range(k, k + 5)})
+        failed = len(words) < 10 or 100 * rep > 20 * len(words)
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), sum(x in lines[:k] for k, x in enumerate(lines)), rep, failed)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want and r.kept == (not failed)
+
+
+def test_lines_of_a_document_get_labels_of_their_own(spark):
+    rng = np.random.default_rng(14)
+    plain = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(14)) + "."
+    junk = lambda: " | ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(12))
+    kinds = [(1, 3, 1), (0, 1, 4), (1, 4, 0), (0, 0, 3)]
+    docs = [(i, k[0], "\n".join([plain() for _ in range(k[1])] + [junk() for _ in range(k[2])])) for i, k in enumerate(kinds * 60)]
+    table = spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id long, text string")
+    field = line_crf.train(table, spark.createDataFrame([(i, q) for i, q, _ in docs], "doc_id long, quality int"))
+    got = {r.doc_id: r for r in line_crf.label_documents(table, field).collect()}
+    assert all(got[i].kept == bool(q) for i, q, _ in docs)
+    assert all(0 < got[i].content_share < 1 for i in range(0, len(docs), 4)) and all(0 < got[i].content_share < 0.5 for i in range(1, len(docs), 4))
+
+
 def test_classifier_learns_on_held_out_rows(spark):
     rng = np.random.default_rng(2)
     text = lambda q: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) + ("" if q else "###") for _ in range(40))
