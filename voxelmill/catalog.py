@@ -233,8 +233,8 @@ def _unequal_sql() -> str:
     ax = {0: ("-12.25", "0.5", 50), 1: ("-5.0", "1.0", 11), 2: ("-4.0", "1.0", 9)}
     coord = lambda s: f"(CASE t{s} WHEN 0 THEN -12.25 + 0.5 * ih WHEN 1 THEN -5.0 + ik ELSE -4.0 + il END)"
     at = ", ".join(f"round_even((s{s} * {coord(s)} - ({ax[s][0]})) / {ax[s][1]}, 0)::INT AS x{s}" for s in range(3))
-    return f"""{LI}, {ops_sql("m-3m")}, grid AS (SELECT 0 AS vol, h.i AS ih, k.i AS ik, l.i AS il FROM range(50) h(i), range(11) k(i), range(9) l(i)),
-src AS (SELECT vol, ih, ik, il, op, {at} FROM grid, ops),
+    return f"""{LI.replace("AS (", "AS MATERIALIZED (", 1)}, {ops_sql("m-3m")}, grid AS (SELECT 0 AS vol, h.i AS ih, k.i AS ik, l.i AS il FROM range(50) h(i), range(11) k(i), range(9) l(i)),
+src AS MATERIALIZED (SELECT vol, ih, ik, il, op, {at} FROM grid, ops),
 eq AS (SELECT s.vol, s.ih, s.ik, s.il, avg(e.val) AS m FROM src s JOIN li e ON e.vol = s.vol AND e.ih = s.x0 AND e.ik = s.x1 AND e.il = s.x2 GROUP BY ALL)
 --
 SELECT g.vol, g.ih, g.ik, g.il, coalesce(m, 0) AS val FROM grid g LEFT JOIN eq USING (vol, ih, ik, il)"""

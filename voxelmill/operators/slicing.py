@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,8 @@ def _targets(volume: Volume, dim: int, target: float, width: float) -> tuple[lis
 def oblique_slab(volume: Volume, view: str, target: float, width: float = 0.0) -> tuple[DataFrame, dict]:
     """The HL or KL slab by linear interpolation along the fixed axis: (vol, ix, iy, val).
 
-    Every voxel adds to its own cell with its interpolation weight, so no
-    neighbour is looked up and one aggregation does it.  The h cross term
+    Every voxel next to the slab adds to its own cell with its interpolation
+    weight, so no neighbour is looked up and one aggregation does it.  The h cross term
     (m_inv[0][1] * s) shifts the fixed h of a KL slab row by row.
     """
     grid, meta, dim = volume.grid, volume.meta, FIXED[view]
@@ -62,11 +64,21 @@ def oblique_slab(volume: Volume, view: str, target: float, width: float = 0.0) -
         at = (F.lit(tv) - F.lit(cross) * (F.col("ik") + 1 - F.lit(cy)) - F.lit(start)) / F.lit(step) if dim == 0 else F.lit((tv - start) / step)
         return F.when((at >= 0) & (at <= last), hat(F.col(DIMS[dim]) - at)).otherwise(F.lit(0.0))
 
+    def place(tv: float, k: float) -> float:
+        """Where row ``k`` is interpolated along the fixed axis, moved into the grid."""
+        return min(max((tv - (cross * (k + 1 - cy) if dim == 0 else 0.0) - start) / step, 0.0), float(last))
+
     w = weight(values[0])
     for tv in values[1:]:
         w = w + weight(tv)
+    # only neighbouring layers: a range that reaches the scan, for KL then row by row
+    ends = [place(tv, k) for tv in values for k in ((0, grid.shape[1] - 1) if dim == 0 else (0,))]
+    near = F.col(DIMS[dim]).between(math.floor(min(ends)), math.ceil(max(ends)))
+    if dim == 0 and cross:
+        mine = [F.greatest(F.lit(0.0), F.least(F.lit(float(last)), (F.lit(tv) - F.lit(cross) * (F.col("ik") + 1 - F.lit(cy)) - F.lit(start)) / F.lit(step))) for tv in values]
+        near = near & (F.least(*[F.abs(F.col("ih") - m) for m in mine]) < 1 if len(mine) > 1 else F.abs(F.col("ih") - mine[0]) < 1)
     x, y = ("ik", "il") if dim == 0 else ("ih", "il")
-    slab = volume.voxels.groupBy("vol", F.col(x).alias("ix"), F.col(y).alias("iy")).agg(F.sum(F.col("val") * w).alias("val"))
+    slab = volume.voxels.where(near).groupBy("vol", F.col(x).alias("ix"), F.col(y).alias("iy")).agg(F.sum(F.col("val") * w).alias("val"))
     shift = 0.0
     if dim == 1:
         shift = cross * ((sum(values) / len(values) - start) / step + 1 - cy)

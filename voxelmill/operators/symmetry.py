@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelmill.functions.laue import usable
-from voxelmill.operators.volume import DIMS, Grid, Volume, densify
+from voxelmill.operators.volume import DIMS, Grid, Volume, densify, lattice
 from voxelmill.sources.store import cut
 
 #: Half-steps that a centred coordinate may have to either side, for packed keys.
@@ -62,6 +61,19 @@ def orbit_key(grid: Grid, group: str) -> Column:
     return F.greatest(*images) if len(images) > 1 else images[0]
 
 
+def orbit_members(grid: Grid, group: str, key: Column) -> Column:
+    """The distinct grid points of an orbit, from its key, as packed indices (ih * nk + ik) * nl + il."""
+    half, (_, nk, nl) = half_steps(grid), grid.shape
+    mask = F.lit((1 << 21) - 1)
+    c = [F.shiftright(key, 42) - HALF, F.shiftright(key, 21).bitwiseAND(mask) - HALF, key.bitwiseAND(mask) - HALF]
+    points = []
+    for op in usable(group, grid.plane):
+        at = [F.shiftright((c[d] if sign > 0 else -c[d]) - half[t][0], 1) for t, (d, sign) in enumerate(op)]
+        inside = [x.between(0, n - 1) for x, n in zip(at, grid.shape, strict=True)]
+        points.append(F.when(inside[0] & inside[1] & inside[2], (at[0] * nk + at[1]) * nl + at[2]).otherwise(F.lit(-1)))
+    return F.filter(F.array_distinct(F.array(*points)), lambda x: x >= 0)
+
+
 def index_maps(grid: Grid, group: str) -> list[tuple[int, int, int, int, int]]:
     """Valid rows (op, target dimension, source dimension, source index, target index).
 
@@ -98,17 +110,24 @@ def gather(volume: Volume, group: str) -> DataFrame:
 def symmetrize(volume: Volume, group: str, strategy: str | None = None) -> Volume:
     """Each voxel becomes the mean of its measured equivalents, 0 if there is none.
 
-    Where the axes are commensurate the equivalents are the voxel's orbit, and
-    one window over the orbit's key does it (strategy "orbit"); else values are
-    gathered over index maps ("gather").  The result is dense.
+    Where the axes are commensurate the equivalents are the voxel's orbit
+    (strategy "orbit"): voxels and, unless the volume is dense, all grid points are summed
+    by the orbit's key, within a task first, and each orbit then gives its
+    members, with no sort and no join.  Else values are gathered over index maps
+    ("gather").  The result is dense.
     """
     strategy = strategy or ("orbit" if commensurate(volume.grid, group) else "gather")
-    full = densify(volume).voxels
     if strategy == "orbit":
-        v = full.withColumn("_o", orbit_key(volume.grid, group))
-        mean = F.avg(F.nullif(F.col("val"), F.lit(0))).over(W.partitionBy("vol", "_o"))
-        out = v.select("vol", *DIMS, F.coalesce(mean, F.lit(0.0)).alias("val"))
+        key, (_, nk, nl) = orbit_key(volume.grid, group).alias("_o"), volume.grid.shape
+        v = volume.voxels.select("vol", key, F.nullif(F.col("val"), F.lit(0)).alias("val"))
+        if not volume.meta.get("dense"):
+            v = v.union(lattice(volume).select("vol", key, F.lit(None).cast(v.schema["val"].dataType)))
+        means = v.groupBy("vol", "_o").agg(F.coalesce(F.avg("val"), F.lit(0.0)).alias("val"))
+        at = means.select("vol", "val", F.explode(orbit_members(volume.grid, group, F.col("_o"))).alias("_p"))
+        index = (F.floor(F.col("_p") / (nk * nl)), F.floor(F.col("_p") / nl) % nk, F.col("_p") % nl)
+        out = at.select("vol", *[i.cast("int").alias(d) for i, d in zip(index, DIMS, strict=True)], "val")
     else:
+        full = densify(volume).voxels
         means = gather(volume, group).groupBy("vol", *DIMS).agg((F.sum("val") / F.count("val")).cast("double").alias("_m"))
         out = full.join(means, ["vol", *DIMS], "left").select("vol", *DIMS, F.coalesce("_m", F.lit(0.0)).alias("val"))
     return volume.with_voxels(out, laue_group=group, dense=True)

@@ -69,23 +69,31 @@ def coordinate(grid: Grid, dim: int) -> Column:
     return F.get(F.array(*[F.lit(float(x)) for x in grid.axes[dim]]), F.col(DIMS[dim]))
 
 
+def lattice(volume: Volume) -> DataFrame:
+    """Every grid point of every volume: (vol, ih, ik, il).
+
+    A layer is a row of its own before its points are made, and layers are dealt
+    over all tasks, so that a single volume is made by many.
+    """
+    nh, nk, nl = volume.grid.shape
+    tasks = int(volume.voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = volume.voxels.select("vol").distinct().withColumn("il", F.explode(F.sequence(F.lit(0), F.lit(nl - 1)))).repartition(tasks, "vol", "il")
+    for name, n in (("ih", nh), ("ik", nk)):
+        out = out.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return out.select("vol", *DIMS)
+
+
 def densify(volume: Volume) -> Volume:
-    """Every grid point of every volume as a row; absent ones get 0.
+    """Every grid point of every volume as a row; absent ones get 0, rows of one point are summed.
 
-    The full grid is built per volume by exploding index sequences, so it is
-    as distributed as the volumes are; the join is on the voxel's key.  A volume
-    that is dense already stays as it is.
+    Points and voxels meet in one aggregation, which sums what a task has of a
+    point before the shuffle.  A volume that is dense already stays as it is.
     """
     if volume.meta.get("dense"):
         return volume
-    nh, nk, nl = volume.grid.shape
-    v = volume.voxels
-    zero = F.lit(0).cast(v.schema["val"].dataType)
-    full = v.select("vol").distinct()
-    for name, n in (("il", nl), ("ih", nh), ("ik", nk)):
-        full = full.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    out = full.join(v.select("vol", *DIMS, "val"), ["vol", *DIMS], "left")
-    return volume.with_voxels(out.select("vol", *DIMS, F.coalesce("val", zero).alias("val")), dense=True)
+    kind = volume.voxels.schema["val"].dataType
+    rows = volume.voxels.select("vol", *DIMS, "val").union(lattice(volume).withColumn("val", F.lit(0).cast(kind)))
+    return volume.with_voxels(rows.groupBy("vol", *DIMS).agg(F.coalesce(F.sum("val"), F.lit(0)).cast(kind).alias("val")), dense=True)
 
 
 def bin_frames(voxels: DataFrame, shape: tuple[int, int], by: int, bx: int) -> DataFrame:

@@ -11,9 +11,11 @@ from voxelmill.operators import volume as _volume
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of spark.checkpoint.dir; a local one only where that is unset."""
+    """Checkpoint in the folder of spark.checkpoint.dir; a local one only where that is unset and Spark runs locally."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
