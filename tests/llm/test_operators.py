@@ -62,6 +62,37 @@ def test_every_operator_takes_odd_rows_and_empty_tables(spark, odd, none, labels
     assert decontamination.keep_clean(odd, items).count() == n - 1
 
 
+def test_stages_keep_columns_whatever_their_names(spark, labels):
+    extra = "_key", "_th", "_th0", "_id", "_spans", "node", "key", "row", "new", "terms", "id", "base", "level"
+    texts = ["a b c d e f g h i j k l m", "mail joe@site.example.org now", None, "A b c d e f g h i j k l m"]
+    rows = [(i, t, 1, *[f"{c}{i}" for c in extra]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, n_chars int, " + ", ".join(f"{c} string" for c in extra))
+    clean = privacy.sanitise(docs)
+    assert clean.columns == docs.columns
+    got = sorted(map(tuple, clean.collect()))
+    assert [r[3:] for r in got] == sorted(r[3:] for r in [*rows, rows[0]]) and [r[1:3] for r in got if r[0] == 1] == [("mail [EMAIL] now", 16)]
+    one = simhash.one_of_each(docs)
+    assert one.columns == docs.columns and sorted(map(tuple, one.collect()), key=lambda r: r[0]) == rows[:3]
+    kept = classifier.keep_accepted(docs, classifier.fit(docs, labels))
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= set(rows)
+
+
+def test_running_totals_and_gaps_by_brute_force(spark):
+    n = 700  # several blocks
+    values = [(i * 7) % 11 for i in range(n)]
+    df = spark.createDataFrame([(values,), ([],)], "v array<int>")
+    got = [r[0] for r in df.select(privacy.running(F.col("v"), lambda a, b: a + b)).collect()]
+    assert got == [[sum(values[:i]) for i in range(n)], []]
+    text = "".join(chr(97 + i % 26) for i in range(5 * n))
+    spans = [(5 * i, 0, 5 * i + 1 + i % 6) for i in range(n)]
+    df = spark.createDataFrame([(text, spans)], "text string, spans array<struct<s:int,k:int,e:int>>")
+    want, at = [], 0
+    for s, _, e in spans:
+        want.append((at, text[at:s]))
+        at = max(at, e)
+    assert [tuple(x) for x in df.select(privacy.gaps(F.col("text"), F.col("spans"))).first()[0]] == [*want, (at, text[at:])]
+
+
 def test_extraction():
     page = """<html><head><title>t</title></head><body><nav><a href=x>Menu</a></nav><div class="main-12"><article><h1>A &amp; B</h1><p>First,   one
     <b>bold</b><p>Second, and longer text.<div class="ad">buy</div><script>var a="</p>";</script></article><div id=comments><p>me too</div></div><footer>f</footer>"""
