@@ -228,6 +228,22 @@ def test_edited_copies_are_leaks(spark):
     assert [(r.doc_id, r.item_id, r.first_word, r.end_word) for r in got] == [(1, 9, 1, 41)]
 
 
+def test_short_items_are_found_whole(spark):
+    items = [(1, "Zebra?"), (2, "red apple"), (3, "one two three"), (4, "one two three four"), (5, " "), (6, "red")]
+    docs = spark.createDataFrame([(1, "a red apple, a zebra"), (2, "one two three"), (3, "apple red two three one"), (4, ""), (5, "zero one two three four"), (6, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.first_word, r.end_word) for r in decontamination.find_leaks(docs, bench(spark, items)).collect()}
+    words = {r.doc_id: decontamination.tokens(r.text or "") for r in docs.collect()}
+    whole = {}
+    for d, ws in words.items():
+        for i, t in items:
+            seq = decontamination.tokens(t)
+            at = [k for k in range(len(ws) - len(seq) + 1) if seq and ws[k : k + len(seq)] == seq]
+            if at:
+                whole[d, i] = (1.0, at[0], at[0] + len(seq))
+    assert got == whole and {d for d, _ in whole} == {1, 2, 3, 5}
+    assert {r.doc_id for r in decontamination.keep_clean(docs, bench(spark, items)).collect()} == {4, 6}
+
+
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 
 

@@ -27,28 +27,31 @@ def tokens(text: str) -> list[bytes]:
 
 
 def build_index(items: list[tuple[int, str]]) -> dict:
-    """Word ids, and for each n-gram key its places (item, position)."""
+    """Word ids, for each n-gram key its places (item, position), and the lengths of keys (a short item is one key)."""
     ids: dict[bytes, int] = {}
     seqs = {}
     for item, text in items:
         seqs[item] = [ids.setdefault(w, len(ids)) for w in tokens(text)]
     places = defaultdict(list)
     for item, s in seqs.items():
-        for i in range(len(s) - NGRAM + 1):
-            places[tuple(s[i : i + NGRAM])].append((item, i))
-    return {"ids": ids, "seqs": {k: v for k, v in seqs.items() if v}, "bags": {k: Counter(v) for k, v in seqs.items() if v}, "places": dict(places)}
+        n = min(NGRAM, len(s))
+        for i in range(len(s) - n + 1 if s else 0):
+            places[tuple(s[i : i + n])].append((item, i))
+    return {"sizes": sorted({len(k) for k in places}), "ids": ids, "seqs": {k: v for k, v in seqs.items() if v}, "bags": {k: Counter(v) for k, v in seqs.items() if v}, "places": dict(places)}
 
 
 def hits(a, index) -> list[tuple[int, tuple]]:
     """(position, key) of the n-grams of a document's word ids that are in an item."""
-    wanted = index["places"]
+    wanted, sizes = index["places"], index["sizes"]
     out, run = [], 0
     for i, x in enumerate(a):
         run = run + 1 if x >= 0 else 0
-        if run >= NGRAM:
-            key = tuple(a[i - NGRAM + 1 : i + 1])
+        for n in sizes:
+            if n > run:
+                break
+            key = tuple(a[i - n + 1 : i + 1])
             if key in wanted:
-                out.append((i - NGRAM + 1, key))
+                out.append((i - n + 1, key))
     return out
 
 
@@ -142,8 +145,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
 
     The benchmark goes to the tasks in blocks of at most BLOCK_ITEMS items and
     BLOCK_WORDS words, so its broadcast index is bounded at any size; documents
-    are read once for each block and never shuffled.  Items under NGRAM words
-    have no seed and are not searched.  Null texts and ids: a null text has no
+    are read once for each block and never shuffled.  An item under NGRAM words
+    is one seed: it is found where all its words stand in a row.  Null texts and ids: a null text has no
     words; items with a null id are skipped; a null doc_id is returned as such.
     Repeated rows each give rows; items sharing an id count as one (the smallest
     text); empty tables give no rows.
