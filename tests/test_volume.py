@@ -1,4 +1,5 @@
 import itertools
+import struct
 
 import numpy as np
 import pytest
@@ -96,17 +97,16 @@ def test_volumes_survive_a_round_trip(spark, tmp_path):
     assert got.grid == v.grid and got.meta == v.meta and np.allclose(array(got), array(v))
 
 
-def test_frames_round_trip(spark, tmp_path):
-    import struct
+def frame(path, l, pixels, nx=3, ny=2):
+    head = bytearray(frames.HEADER_BYTES)
+    for name, value in {"nx": nx, "ny": ny, "fixed_l": l, "x_h": 1.0, "y_k": 1.0, "d_min": 0.8, "wavelength": 0.7}.items():
+        at, kind = frames.OFFSETS[name]
+        struct.pack_into(kind, head, at, value)
+    struct.pack_into("<9d", head, frames.UB_OFFSET, 0.1, 0, 0, 0, 0.1, 0, 0, 0, 0.1)
+    path.write_bytes(bytes(head) + np.asarray(pixels, "<i4").tobytes())
 
-    def frame(path, l, pixels):
-        head = bytearray(frames.HEADER_BYTES)
-        for name, value in {"nx": 3, "ny": 2, "fixed_l": l, "x_h": 1.0, "y_k": 1.0, "d_min": 0.8, "wavelength": 0.7}.items():
-            at, kind = frames.OFFSETS[name]
-            struct.pack_into(kind, head, at, value)
-        struct.pack_into("<9d", head, frames.UB_OFFSET, 0.1, 0, 0, 0, 0.1, 0, 0, 0, 0.1)
-        path.write_bytes(bytes(head) + np.asarray(pixels, "<i4").tobytes())
 
+def test_frames_round_trip(spark, tmp_path):
     frame(tmp_path / "a_1.img", 0.5, range(6))
     frame(tmp_path / "a_2.IMG", -0.5, range(10, 16))
     (tmp_path / "b_7.img").write_bytes((tmp_path / "a_1.img").read_bytes())
@@ -119,6 +119,45 @@ def test_frames_round_trip(spark, tmp_path):
     assert v.grid.axes[2] == (-0.5, 0.5) and v.meta["n_files"] == 2
 
 
+def test_binning_while_loading_and_cell_of_the_parameter_file(spark, tmp_path):
+    from voxelmill.jobs.process import load_folder, read_any
+
+    folder = tmp_path / "exp" / "unwarp"
+    folder.mkdir(parents=True)
+    rng = np.random.default_rng(3)
+    for i in range(4):
+        frame(folder / f"a_{i}.img", i / 2, rng.integers(-9, 99, 35), nx=7, ny=5)
+    plain = load_folder(spark, str(folder))
+    assert plain.meta["cell"]["a"] == pytest.approx(7) and plain.meta["cell"]["gamma"] == pytest.approx(90)
+    (tmp_path / "exp" / "a.par").write_text("CELL 5 6 7 90 91 92\n")
+    (tmp_path / "exp" / "z_cracker.par").write_text("? x\r\nCELL 8.5(2) 6 7 90 91 92\r\n")
+    got = load_folder(spark, str(folder) + "/", 2, 2)
+    assert got.meta["cell"] == dict(zip(parameters.CELL, (8.5, 6, 7, 90, 91, 92), strict=True))
+    want = volume.bin_volume(volume.Volume(volume.bin_frames(plain.voxels, (7, 5), 2, 2), volume.Grid((plain.grid.axes[0][:3], plain.grid.axes[1][:2], plain.grid.axes[2]))), 1, 1, 2)
+    assert sorted(map(tuple, got.voxels.collect())) == sorted(map(tuple, want.voxels.collect()))
+    assert got.grid.shape == (3, 2, 2) and got.meta["bin_xy"] == 2 and got.meta["bin_z"] == 2 and got.meta["s"] == pytest.approx(2 * plain.meta["s"])
+    assert read_any(spark, str(folder)).grid == plain.grid
+    one = read_any(spark, str(folder / "a_1.img")).first()
+    assert one.plane == "HK" and one.fixed_value == 0.5 and len(one.payload) == 35
+    store.save(got, str(tmp_path / "v"))
+    assert read_any(spark, str(tmp_path / "v")).meta == got.meta
+    over = frames.read_layers(spark, str(folder / "a_*.img"), [0.2, 0, 0, 0, 0.2, 0, 0, 0, 0.2])
+    assert over.count() == 4 and over.first().i00 == pytest.approx(one.i00 / 2)
+
+
+def test_plane_matrix_from_the_orientation_matrix():
+    cubic = {"ub": [0.1, 0, 0, 0, 0.1, 0, 0, 0, 0.1], "wavelength": 0.7}
+    assert np.allclose(slicing.plane_matrix(cubic, "KL"), np.eye(2) * 7)
+    assert slicing.plane_matrix(cubic | {"m_inv": [[1, 0], [0, 1]]}, "HK") == [[1, 0], [0, 1]] and slicing.plane_matrix({}, "HK") == [[1.0, 0.0], [0.0, 1.0]]
+
+
+def test_plane_of_a_volume_stored_otherwise_is_one_layer(spark):
+    v = build(spark, np.arange(64.0).reshape(4, 4, 4), volume.Grid(GRID.axes, "HL"))
+    image, at = slicing.extract_slice(v, "HK", 0.4, 5.0)
+    assert at["n_slices"] == 1 and {(r.row, r.col): r.val for r in image.collect()}[1, 2] == 2 * 16 + 4 + 2
+    assert slicing.extract_slice(v, "HL", 0.4, 5.0)[1]["n_slices"] == 4
+
+
 def test_parameter_lines(spark):
     rows = [("x", 0, "? CELL 1 1 1 1 1 1"), ("x", 1, "CELL 6.0012(3) 7 8 90 90 120"), ("y", 0, "CELLINFORMATION 5"), ("y", 1, "CRYSTALLOGRAPHY UB 0.1 0 0 0 0.1 0 0 0 0.1"), ("y", 2, "CRYSTALLOGRAPHY WAVELENGTH 0.5"), ("z", 0, "CELL 6 x 7 8 9 9")]
     got = {r.file: r for r in parameters.parse_cells(spark.createDataFrame(rows, "file string, line_no int, line string")).collect()}

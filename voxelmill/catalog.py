@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions import geometry as G
 from voxelmill.functions.laue import GENERATORS, operations, slug, usable
-from voxelmill.operators import slicing, surface, symmetry
+from voxelmill.operators import display, slicing, surface, symmetry
 from voxelmill.operators import volume as V
 from voxelmill.sources import fixtures as X
 from voxelmill.sources import frames as S
@@ -393,6 +393,41 @@ def par_cell_parse(spark, sf):
     return P.parse_cells(X.parameter_lines(spark, sf)).select("file", "a", "b", "c")
 
 
+SEARCH = """fo AS (SELECT '/exp/s' || o_orderkey % 97 || '/run' || o_orderkey AS run, '/exp/s' || o_orderkey % 97 AS top, o_orderkey AS k FROM orders),
+pa AS (SELECT run || '/unwarp' || CASE WHEN k % 2 = 0 THEN '/' ELSE '' END AS folder, run, top, k FROM fo),
+tops AS (SELECT top, bool_or(k % 97 < 30) AS hot, bool_or(k % 97 < 60) AS warm FROM fo GROUP BY top)"""
+
+
+@query(SEARCH + """
+--
+SELECT folder, CASE WHEN k % 4 = 0 THEN run || '/r_cracker.par' WHEN k % 3 = 0 THEN run || '/a.par' WHEN k % 7 = 0 THEN run || '/unwarp/x_cracker.par' WHEN k % 5 = 0 THEN run || '/unwarp/b.par'
+ WHEN hot THEN top || '/g_cracker.par' WHEN warm THEN top || '/c.par' END AS path FROM pa JOIN tops USING (top)""", "", "", "folder path")
+def par_search(spark, sf):
+    return P.find_files(*X.run_folders(spark, sf))
+
+
+@query(UB + """, u AS (SELECT p_partkey AS id, p_size, (0.1 + (p_partkey % 50) * 0.001)::DOUBLE AS x, (0.7 + (p_partkey % 10) * 0.01)::DOUBLE AS w, p_partkey % 3 = 0 OR p_partkey % 5 <> 0 AS own FROM part)
+--
+SELECT 'f' || id AS file, own AS from_par, CASE WHEN id % 3 = 0 THEN p_size + 0.25 WHEN own THEN w / x ELSE a END AS a, CASE WHEN id % 3 = 0 THEN 6.5 WHEN own THEN w / 0.11 ELSE b END AS b,
+ CASE WHEN id % 3 = 0 THEN 7.125 WHEN own THEN w / 0.09 * sqrt(1 + (0.01 / 0.11) ** 2) ELSE c END AS c FROM ub JOIN u USING (id)""", "from_par", "a b c", "file")
+def cell_coalesce(spark, sf):
+    df, u = _cells(spark, sf)
+    heads = df.select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("file"), *[c.alias(n) for n, c in G.cell_from_ub(u, F.col("wl")).items()])
+    got = P.override_cells(heads, P.parse_cells(X.parameter_lines(spark, sf)))
+    return got.select("file", F.col("from_par").cast("int").alias("from_par"), "a", "b", "c")
+
+
+@query(UB + """, ly AS (SELECT *, 2 / (d_min * 4) AS sc, CASE WHEN id % 6 = 0 THEN 2 ELSE 1 END AS f, CASE id % 4 WHEN 0 THEN 'HK' WHEN 1 THEN 'HL' WHEN 2 THEN 'KL' ELSE CASE WHEN id % 8 = 3 THEN 'HL' ELSE 'KL' END END AS plane FROM inv),
+m AS (SELECT *, CASE plane WHEN 'HK' THEN hk00 WHEN 'HL' THEN hl00 ELSE kl00 END / f AS i00, CASE plane WHEN 'HK' THEN hk01 WHEN 'HL' THEN hl01 ELSE kl01 END / f AS i01, CASE plane WHEN 'HK' THEN hk11 WHEN 'HL' THEN hl11 ELSE kl11 END / f AS i11,
+ CASE plane WHEN 'HK' THEN 0.0 WHEN 'HL' THEN CASE WHEN id % 8 = 3 THEN 0.5 ELSE 0.0 END ELSE 1.5 END AS fixed_value FROM ly)
+--
+SELECT 'layer' || id || '.img' AS path, plane, fixed_value, fixed_value - 0.25 AS thickness_min, fixed_value + 0.25 AS thickness_max, sc * i00 AS step1, sc * i11 AS step2, pos // 4 AS row, pos % 4 AS col,
+ sc * (i00 * (pos % 4 + 1 - 2.5) + i01 * (pos // 4 + 1 - 2.5)) AS idx1, sc * i11 * (pos // 4 + 1 - 2.5) AS idx2, (id + pos) % 17 AS val FROM m, range(12) r(pos)""", "row col val", "fixed_value thickness_min thickness_max step1 step2 idx1 idx2", "path plane")
+def layer_read(spark, sf):
+    layers = S.layer_geometry(X.single_layers(spark, sf), F.col("other_ub"))
+    return S.layer_pixels(layers).join(layers.select("path", "plane", "fixed_value", "thickness_min", "thickness_max", "step1", "step2"), "path")
+
+
 LAYERS = """req AS (SELECT 'list' || s_suppkey AS name, (-(s_suppkey % 7))::DOUBLE AS l_min, (s_suppkey % 5 + 1)::DOUBLE AS l_max, CASE WHEN s_suppkey % 2 = 0 THEN 0.02 ELSE 0.025 END::DOUBLE AS st FROM supplier),
 n AS (SELECT *, ceil((l_max + st * 0.5 - l_min) / st)::BIGINT AS n FROM req), rows AS (SELECT name, n, unnest(range(n)) AS i, l_min, st FROM n)"""
 
@@ -518,6 +553,41 @@ def log_norm(spark, sf):
     return v.join(top, "vol").select("vol", *V.DIMS, G.log_norm(F.col("val"), F.lit(0.0), F.col("hi")).alias("norm"))
 
 
+@query("""ax AS (SELECT s_suppkey AS grp, i AS idx, s_suppkey % 9 - 6.0 + i * (0.5 + s_suppkey % 3 * 0.25) AS coord FROM supplier, range(20) r(i) WHERE i < 5 + s_suppkey % 12),
+e AS (SELECT grp, arg_min(coord, idx) AS lo, arg_max(coord, idx) AS hi, count(*) // 2 AS mid FROM ax GROUP BY grp),
+t AS (SELECT grp, CASE WHEN lo <= 0 AND hi >= 0 THEN 0.0 ELSE coord END AS target FROM e JOIN ax USING (grp) WHERE idx = mid)
+--
+SELECT grp, target, arg_min(idx, (abs(coord - target), idx)) AS idx FROM ax JOIN t USING (grp) GROUP BY grp, target""", "grp idx", "target")
+def default_slice_value(spark, sf):
+    k = F.col("s_suppkey")
+    axis = spark.read.parquet(f"{sf}/supplier.parquet").select(k.alias("grp"), F.explode(F.sequence(F.lit(0), (4 + k % 12).cast("int"))).alias("idx"))
+    grp = F.col("grp")
+    return display.default_slice(axis.select("grp", "idx", (grp % 9 - 6.0 + F.col("idx") * (0.5 + grp % 3 * 0.25)).alias("coord")))
+
+
+@query(UB + """, q AS (SELECT id, hk00, hk01, hk11, 0.4 AS x1, 0.3 AS y1, 0.4 * hk00 + 0.3 * abs(hk01) AS r1, 0.3 * hk11 AS r2 FROM inv)
+--
+SELECT id, 1 AS family, n, CASE WHEN abs(hk01) > 1e-12 THEN -x1 ELSE n / hk00 END AS x0, CASE WHEN abs(hk01) > 1e-12 THEN (n + hk00 * x1) / hk01 ELSE -y1 END AS y0,
+ CASE WHEN abs(hk01) > 1e-12 THEN x1 ELSE n / hk00 END AS x_end, CASE WHEN abs(hk01) > 1e-12 THEN (n - hk00 * x1) / hk01 ELSE y1 END AS y_end FROM (SELECT *, unnest(range(floor(-r1)::BIGINT, ceil(r1)::BIGINT + 1)) AS n FROM (SELECT * REPLACE (CASE WHEN abs(hk01) < 1e-3 THEN 0 ELSE hk01 END AS hk01) FROM q))
+UNION ALL SELECT id, 2, n, -x1, n / hk11, x1, n / hk11 FROM (SELECT *, unnest(range(floor(-r2)::BIGINT, ceil(r2)::BIGINT + 1)) AS n FROM q)""", "id family n", "x0 y0 x_end y_end")
+def grid_line_ends(spark, sf):
+    df, m = _inverse(spark, sf)
+    m["i01"] = F.when(F.abs(m["i01"]) < 1e-3, 0.0).otherwise(m["i01"])
+    lines = display.grid_lines(m, (F.lit(-0.4), F.lit(0.4)), (F.lit(-0.3), F.lit(0.3)))
+    return df.select("id", F.explode(lines).alias("l")).select("id", "l.*").withColumnsRenamed({"x1": "x_end", "y1": "y_end"})
+
+
+@query(emb_sql() + """, pt AS (SELECT event_id AS pid, user_id % 4 AS vol, (event_id * 7 % 1000) / 50.0 - 10.013 AS x, (event_id * 11 % 1000) / 50.0 - 9.987 AS y FROM events),
+px AS (SELECT *, round_even((x + 8) / 16 * 8 - 0.5, 0)::INT AS col, round_even((y + 8) / 16 * 8 - 0.5, 0)::INT AS row FROM pt)
+--
+SELECT px.vol, pid, row, col, x + 0.25 * y AS idx1, y AS idx2, coalesce(val, 0) AS val FROM px LEFT JOIN emb e ON e.vol = px.vol AND e.il = 3 AND e.ik = px.row AND e.ih = px.col WHERE row BETWEEN 0 AND 7 AND col BETWEEN 0 AND 7""", "vol pid row col val", "idx1 idx2")
+def point_readout(spark, sf):
+    e = F.col("event_id")
+    pts = spark.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") % 4).alias("vol"), e.alias("pid"), (e * 7 % 1000 / 50.0 - 10.013).alias("x"), (e * 11 % 1000 / 50.0 - 9.987).alias("y"))
+    image = slicing.native_slice(X.embedding_voxels(spark, sf), 0.0)[0]
+    return display.readout(image, pts, (8, 8), (-8.0, 8.0, -8.0, 8.0), [[1.0, 0.25], [0.0, 1.0]])
+
+
 # --- surfaces --------------------------------------------------------------------------------
 
 
@@ -568,7 +638,25 @@ def _iso_sql() -> str:
 @query(_iso_sql(), "vol dim ih ik il", "x y z")
 def iso_edge_vertices(spark, sf):
     v = V.densify(X.embedding_voxels(spark, sf, floats=True))
-    return surface.iso_crossings(v, surface.default_iso(v.voxels))
+    return surface.iso_crossings(v, surface.default_iso(v.voxels)).drop("iso")
+
+
+def _isosurface_sql(iso: str) -> str:
+    """The vertices above, within h >= -4 and k <= 3, for other levels."""
+    head, _, tail = _iso_sql().rpartition("\n--\n")
+    head = head.rpartition(", iso AS (")[0] + f", cut AS (SELECT vol, ih - 2 AS ih, ik, il, val FROM dense WHERE ih >= 2 AND ik <= 5), iso AS ({iso})"
+    tail = tail.replace("JOIN dense e", "JOIN cut e").replace("FROM dense d", "FROM cut d").replace("-7.0 + 2 * d.ih", "-3.0 + 2 * d.ih").replace("SELECT d.vol,", "SELECT d.vol, iso,")
+    return f"{head}\n--\n{tail}"
+
+
+@query(_isosurface_sql("SELECT vol, unnest([0.02, 0.1]::DOUBLE[]) AS iso FROM (SELECT DISTINCT vol FROM cut)"), "vol dim ih ik il", "iso x y z")
+def isosurface_levels(spark, sf):
+    return display.isosurface(V.densify(X.embedding_voxels(spark, sf, floats=True)), [0.02, 0.1], {0: (-4.0, 99.0), 1: (-99.0, 3.0)})
+
+
+@query(_isosurface_sql("SELECT vol, coalesce(median(val) FILTER (val > 0), 1.0) AS iso FROM cut GROUP BY vol"), "vol dim ih ik il", "iso x y z")
+def isosurface_default(spark, sf):
+    return display.isosurface(V.densify(X.embedding_voxels(spark, sf, floats=True)), None, {0: (-4.0, 99.0), 1: (-99.0, 3.0)})
 
 
 # --- the whole way ---------------------------------------------------------------------------

@@ -8,7 +8,9 @@ from __future__ import annotations
 import argparse
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxelmill.functions.laue import GENERATORS, slug
 from voxelmill.operators import symmetry, volume
@@ -27,23 +29,48 @@ def output_names(base: str, laue: str) -> tuple[str, str]:
     return f"{base}_raw", f"{base}_sym_{slug(laue)}"
 
 
-def load_folder(spark: SparkSession, folder: str) -> volume.Volume:
-    """Frames of a folder with axes from their headers: layers at their fixed values, pixels by the first frame."""
+def load_folder(spark: SparkSession, folder: str, bin_xy: int = 1, bin_z: int = 1) -> volume.Volume:
+    """Frames of a folder with axes from their headers: layers at their fixed values, pixels by the first frame.
+
+    Frames are binned while they are decoded.  The cell comes from the folder's
+    parameter file, else from the first header.
+    """
     from voxelmill.functions import geometry as G
-    from voxelmill.sources import frames
+    from voxelmill.sources import frames, parameters
 
+    ub = [F.col("ub")[i] for i in range(9)]
     heads = frames.scan_order(frames.read_headers(spark, folder))
-    first = heads.where("layer_idx = 0").first()
-    if first is None:
+    inv = {p: G.plane_inverse(ub, F.col("wavelength"), p) for p in G.PLANES}
+    pick = lambda n: F.when(F.col("plane") == "HL", inv["HL"][n]).when(F.col("plane") == "KL", inv["KL"][n]).otherwise(inv["HK"][n]).alias(n)
+    cell = F.struct(*[c.alias(n) for n, c in G.cell_from_ub(ub, F.col("wavelength")).items()]).alias("cell")
+    # one small row a frame
+    rows = heads.select("layer_idx", "fixed_value", "plane", "nx", "ny", "d_min", "wavelength", "ub", pick("i00"), pick("i01"), pick("i11"), G.pixel_scale(F.col("d_min"), F.col("nx")).alias("s"), cell).orderBy("layer_idx").collect()
+    if not rows:
         raise ValueError(f"no numbered frames in {folder}")
-    layers = tuple(r[0] for r in heads.orderBy("layer_idx").select("fixed_value").collect())
-    one = spark.createDataFrame([(first.nx, first.ny, first.d_min, first.wavelength, *first.ub)], "nx int, ny int, d_min double, wl double, " + ", ".join(f"u{i} double" for i in range(9)))
-    inv = G.plane_inverse([one[f"u{i}"] for i in range(9)], one["wl"], first.plane)
-    m = one.select(*[c.alias(k) for k, c in inv.items()], G.pixel_scale(one["d_min"], one["nx"]).alias("s")).first()
-    cx, cy = (first.nx + 1) // 2 + 0.5, (first.ny + 1) // 2 + 0.5
-    axes = (volume.affine(first.nx, m.i00 * m.s, m.i00 * (1 - cx) * m.s), volume.affine(first.ny, m.i11 * m.s, m.i11 * (1 - cy) * m.s), layers)
-    meta = {"s": m.s, "cx": cx, "cy": cy, "m_inv": [[m.i00, m.i01], [m.i10, m.i11]], "wavelength": first.wavelength, "d_min": first.d_min, "ub": list(first.ub), "source_folder": folder, "n_files": len(layers), "bin_xy": 1, "bin_z": 1}
-    return volume.Volume(frames.load_voxels(spark, folder), volume.Grid(axes, first.plane), meta)
+    m = rows[0]
+    cx, cy = (m.nx + 1) // 2 + 0.5, (m.ny + 1) // 2 + 0.5
+    full = volume.affine(m.nx, m.i00 * m.s, m.i00 * (1 - cx) * m.s), volume.affine(m.ny, m.i11 * m.s, m.i11 * (1 - cy) * m.s)
+    axes = (*[volume.bin_axis(a, bin_xy) if bin_xy > 1 else a for a in full], tuple(r.fixed_value for r in rows))
+    found = parameters.folder_cell(spark, folder) or m.cell.asDict()
+    meta = {"s": m.s, "cx": cx, "cy": cy, "m_inv": [[m.i00, m.i01], [0.0, m.i11]], "wavelength": m.wavelength, "d_min": m.d_min, "ub": list(m.ub), "cell": found, "source_folder": folder, "n_files": len(rows), "bin_xy": bin_xy, "bin_z": 1}
+    if bin_xy > 1:
+        meta |= {"s": m.s * bin_xy, "cx": (len(axes[0]) + 1) / 2, "cy": (len(axes[1]) + 1) / 2}
+    v = volume.Volume(frames.load_voxels(spark, folder, bin_xy=bin_xy), volume.Grid(axes, m.plane), meta)
+    return volume.bin_volume(v, 1, 1, bin_z)
+
+
+def read_any(spark: SparkSession, path: str) -> volume.Volume | DataFrame:
+    """A path by what it is: .img to a layer, a folder with a saved volume to that volume, any other folder to its frames."""
+    from voxelmill.sources import frames, store
+
+    if path.lower().endswith(".img"):
+        return frames.read_layers(spark, path)
+    try:
+        return store.load(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return load_folder(spark, path)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -59,11 +86,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--binl", type=int, default=1)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("voxelmill").getOrCreate()
-    v = load_folder(spark, a.folder)
+    v = load_folder(spark, a.folder, a.bin, a.binl)
     base = os.path.join(a.out or a.folder, os.path.basename(os.path.normpath(a.folder)))
     raw, sym = output_names(base, a.laue)
     store.save(v, raw)
-    store.save(process(store.load(spark, raw), a.laue, a.sigma, a.iter, a.bin, a.binl), sym)
+    store.save(process(store.load(spark, raw), a.laue, a.sigma, a.iter), sym)
 
 
 if __name__ == "__main__":

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelmill.functions.geometry import PLANES
 from voxelmill.operators.volume import DIMS, Volume
 
 #: Stored dimension that each view keeps fixed.
@@ -42,6 +43,19 @@ def _targets(volume: Volume, dim: int, target: float, width: float) -> tuple[lis
     return ([target] if width < 1e-6 else [volume.grid.axes[dim][i] for i in idx]), reported
 
 
+def plane_matrix(meta: dict, plane: str, stored: bool = True) -> list[list[float]]:
+    """Cartesian to Miller indices in ``plane``: the stored matrix, else by the orientation matrix (first, unless ``stored``), else one."""
+    given = meta.get("m_inv")
+    if meta.get("ub") is None or (stored and given):
+        return given or [[1.0, 0.0], [0.0, 1.0]]
+    ub, wl = meta["ub"], meta.get("wavelength") or 1.0
+    u, v = ([ub[3 * r + c] / wl for r in range(3)] for c in PLANES[plane])
+    m11 = math.hypot(*u)
+    m12 = sum(a * b for a, b in zip(u, v, strict=True)) / m11
+    m22 = math.sqrt(sum(b * b for b in v) - m12 * m12)
+    return [[1 / m11, -m12 / (m11 * m22)], [0.0, 1 / m22]]
+
+
 def oblique_slab(volume: Volume, view: str, target: float, width: float = 0.0) -> tuple[DataFrame, dict]:
     """The HL or KL slab by linear interpolation along the fixed axis: (vol, ix, iy, val).
 
@@ -53,7 +67,7 @@ def oblique_slab(volume: Volume, view: str, target: float, width: float = 0.0) -
     if dim == 2:
         raise ValueError("HK is the native view")
     values, reported = _targets(volume, dim, target, width)
-    inv = meta.get("m_inv") or [[1.0, 0.0], [0.0, 1.0]]
+    inv = plane_matrix(meta, grid.plane)
     s = meta.get("s") if meta.get("s") is not None else abs(grid.step(0) / inv[0][0])
     cy = meta.get("cy", (grid.shape[1] + 1) / 2)
     cross = inv[0][1] * s
@@ -113,12 +127,14 @@ def regrid(slab: DataFrame, at: dict, inv, out_n: int) -> DataFrame:
 
 
 def extract_slice(volume: Volume, view: str, target: float, width: float = 0.0, view_inverse=None) -> tuple[DataFrame, dict]:
-    """A plane of the volume: HK natively, HL and KL interpolated and put on a Cartesian grid; with its description."""
-    if view == "HK":
-        return native_slice(volume, target, width)
+    """A plane of the volume with its description: the stored plane natively, HL and KL interpolated and put on a Cartesian grid.
+
+    HK of frames that are stored as another plane is the one nearest layer, whatever the width.
+    """
+    if FIXED[view] == 2 or view == volume.grid.plane:
+        return native_slice(volume, target, width if view == volume.grid.plane else 0.0)
     slab, at = oblique_slab(volume, view, target, width)
-    inv = view_inverse or volume.meta.get("m_inv") or [[1.0, 0.0], [0.0, 1.0]]
-    return regrid(slab, at, inv, volume.grid.shape[0]), at
+    return regrid(slab, at, view_inverse or plane_matrix(volume.meta, view, stored=False), volume.grid.shape[0]), at
 
 
 def line_profile(image: DataFrame, shape: tuple[int, int], start: tuple[float, float], end: tuple[float, float], samples: int) -> DataFrame:

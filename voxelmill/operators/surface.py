@@ -67,7 +67,7 @@ def slider_range(voxels: DataFrame) -> DataFrame:
 
 
 def iso_crossings(volume: Volume, iso: DataFrame) -> DataFrame:
-    """Where grid edges of a dense volume cross ``iso(vol, iso)``: (vol, dim, ih, ik, il, x, y, z).
+    """Where grid edges of a dense volume cross ``iso(vol, iso)``, one or more a volume: (vol, iso, dim, ih, ik, il, x, y, z).
 
     The indices are the edge's lower end; x, y, z are axis values of the linear crossing.
     """
@@ -80,7 +80,7 @@ def iso_crossings(volume: Volume, iso: DataFrame) -> DataFrame:
         e = e.where((F.col("val") < F.col("iso")) != (F.col("nxt") < F.col("iso")))
         t = (F.col("iso") - F.col("val")) / (F.col("nxt") - F.col("val"))
         place = [at[i] + t * F.lit(volume.grid.step(d)) if i == d else at[i] for i in range(3)]
-        parts.append(e.select("vol", F.lit(d).alias("dim"), *DIMS, *[p.alias(n) for p, n in zip(place, "xyz", strict=True)]))
+        parts.append(e.select("vol", "iso", F.lit(d).alias("dim"), *DIMS, *[p.alias(n) for p, n in zip(place, "xyz", strict=True)]))
     return parts[0].union(parts[1]).union(parts[2])
 
 

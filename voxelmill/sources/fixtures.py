@@ -81,3 +81,29 @@ def layer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layer lists asked for, from suppliers."""
     k = F.col("s_suppkey")
     return _read(spark, sf_dir, "supplier").select(F.concat(F.lit("list"), k.cast("string")).alias("name"), (-(k % 7)).cast("double").alias("l_min"), (k % 5 + 1).cast("double").alias("l_max"), F.when(k % 2 == 0, 0.02).otherwise(0.025).alias("l_step"))
+
+
+def run_folders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A folder of frames for every order, some with a slash at the end, and parameter files in or above some of them."""
+    k = F.col("o_orderkey")
+    top = F.concat(F.lit("/exp/s"), (k % 97).cast("string"))
+    runs = _read(spark, sf_dir, "orders").select(k.alias("k"), top.alias("top"), F.concat(top, F.lit("/run"), k.cast("string")).alias("run"))
+    folders = runs.select(F.concat("run", F.lit("/unwarp"), F.when(F.col("k") % 2 == 0, "/").otherwise("")).alias("folder"))
+    n = F.col("k")
+    names = [("run", "/r_cracker.par", n % 4 == 0), ("run", "/a.par", n % 3 == 0), ("run", "/unwarp/b.par", n % 5 == 0), ("run", "/unwarp/x_cracker.par", n % 7 == 0), ("run", "/.h.par", n % 2 == 1), ("run", "/notes.txt", n > 0), ("top", "/g_cracker.par", n % 97 < 30), ("top", "/c.par", n % 97 < 60)]
+    paths = F.array_compact(F.array(*[F.when(on, F.concat(at, F.lit(name))) for at, name, on in names]))
+    return folders, runs.select(F.explode(paths).alias("path")).distinct()
+
+
+def single_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header rows of layers of 4 x 3 pixels with their payload; some with another orientation matrix to use."""
+    k = F.col("id")
+    on = lambda *r: (k % 4).isin(*r).cast("double")
+    fixed = {"h": F.lit(1.5), "k": F.when(k % 8 == 3, 0.5).otherwise(0.0), "l": F.lit(0.0)}
+    ub = [F.col(f"u{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)]
+    return cells(spark, sf_dir).select(
+        F.concat(F.lit("layer"), k.cast("string"), F.lit(".img")).alias("path"), F.lit(4).alias("nx"), F.lit(3).alias("ny"), "d_min", F.col("wl").alias("wavelength"), F.array(*ub).alias("ub"),
+        F.when(k % 6 == 0, F.array(*[2 * u for u in ub])).alias("other_ub"), on(0, 1).alias("x_h"), on(2).alias("x_k"), on(0).alias("y_k"), on(1, 2).alias("y_l"),
+        *[c.alias(f"fixed_{n}") for n, c in fixed.items()], *[(c - 0.25).alias(f"min_{n}") for n, c in fixed.items()], *[(c + 0.25).alias(f"max_{n}") for n, c in fixed.items()],
+        F.transform(F.sequence(F.lit(0), F.lit(11)), lambda p: ((k + p) % 17).cast("int")).alias("payload"),
+    )

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxelmill.functions.geometry import centre, pixel_indices, pixel_scale, plane_inverse
+
 HEADER_BYTES = 5120
 # Byte offsets of the header's fields.
 OFFSETS = {
@@ -80,6 +82,12 @@ def folder_summary(scanned: DataFrame) -> DataFrame:
 def read_headers(spark: SparkSession, folder: str) -> DataFrame:
     """Headers of a folder's frames; only the header's bytes go to the parser."""
     files = numbered(spark.read.format("binaryFile").option("pathGlobFilter", "*.[iI][mM][gG]").load(folder))
+    heads = _headers(files.select("path", F.substring("content", 1, HEADER_BYTES).alias("head")))
+    return heads.join(files.select("path", "prefix", "file_no"), "path")
+
+
+def _headers(heads: DataFrame) -> DataFrame:
+    """``heads(path, head)`` to header rows."""
 
     def run(batches):
         import pyarrow as pa
@@ -89,28 +97,80 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), *[(n, pa.int32() if f == "<H" else pa.float64()) for n, (_, f) in OFFSETS.items()], ("ub", pa.list_(pa.float64()))]))
 
-    heads = files.select("path", F.substring("content", 1, HEADER_BYTES).alias("head")).mapInArrow(run, HEADER_SCHEMA)
-    return heads.join(files.select("path", "prefix", "file_no"), "path")
+    return heads.mapInArrow(run, HEADER_SCHEMA)
 
 
-def load_voxels(spark: SparkSession, folder: str, codec: Callable = raw_int32, vol: int = 0) -> DataFrame:
-    """A folder's pixels as voxels: layers by fixed value, ih along a frame's rows, ik across them.
+def layer_geometry(headers: DataFrame, override: Column | None = None) -> DataFrame:
+    """Header rows with what a single layer needs: plane, fixed_value, thickness_min, thickness_max, i00, i01, i11, s, cx, cy, step1, step2.
 
-    Raises ValueError for a folder without frames.  Frames of another size than
-    the first are refused by the decoder's reshape.
+    ``override`` (array of nine, null: none) stands for the header's orientation matrix.
     """
-    scanned = scan_order(read_headers(spark, folder)).select("path", "layer_idx", "nx", "ny")
-    if scanned.limit(1).count() == 0:
-        raise ValueError(f"no numbered frames in {folder}")
+    rows = headers.withColumn("ub", F.coalesce(override, F.col("ub")) if override is not None else F.col("ub")).withColumn("plane", plane_type("layer"))
+    ub = [F.col("ub")[i] for i in range(9)]
+
+    def by_plane(pick: Callable[[str], Column]) -> Column:
+        return F.when(F.col("plane") == "HL", pick("HL")).when(F.col("plane") == "KL", pick("KL")).otherwise(pick("HK"))
+
+    fixed = {"HK": "l", "HL": "k", "KL": "h"}
+    inverse = {p: plane_inverse(ub, F.col("wavelength"), p) for p in fixed}
+    rows = rows.withColumns({n: by_plane(lambda p, n=n: inverse[p][n]) for n in ("i00", "i01", "i11")})
+    ends = {f"thickness_{e}": by_plane(lambda p, e=e: F.col(f"{e}_{fixed[p]}")) for e in ("min", "max")}
+    rows = rows.withColumns({"fixed_value": fixed_value(F.col("plane")), **ends, "s": pixel_scale(F.col("d_min"), F.col("nx")), "cx": centre(F.col("nx")), "cy": centre(F.col("ny"))})
+    return rows.withColumns({"step1": F.col("s") * F.col("i00"), "step2": F.col("s") * F.abs("i11")})
+
+
+def layer_pixels(layers: DataFrame) -> DataFrame:
+    """Layers with their ``payload`` to pixels with Miller indices: (path, row, col, idx1, idx2, val)."""
+    at = layers.select("path", "nx", "i00", "i01", "i11", "s", "cx", "cy", F.posexplode("payload").alias("pos", "val"))
+    at = at.withColumn("row", F.floor(F.col("pos") / F.col("nx")).cast("int")).withColumn("col", (F.col("pos") % F.col("nx")).cast("int"))
+    inv = {"i00": F.col("i00"), "i01": F.col("i01"), "i10": F.lit(0.0), "i11": F.col("i11")}
+    one, two = pixel_indices(inv, F.col("s"), F.col("col") + 1 - F.col("cx"), F.col("row") + 1 - F.col("cy"))
+    return at.select("path", "row", "col", one.alias("idx1"), two.alias("idx2"), "val")
+
+
+def read_layers(spark: SparkSession, path: str, ub: list[float] | None = None, codec: Callable = raw_int32) -> DataFrame:
+    """Layers (a file or a glob) with geometry and pixels in ``payload``, by the given orientation matrix if there is one."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    heads = _headers(files.select("path", F.substring("content", 1, HEADER_BYTES).alias("head")))
+    layers = layer_geometry(heads, F.array(*map(F.lit, ub)) if ub else None)
+    return layers.join(_payloads(files, codec), "path")
+
+
+def _payloads(files: DataFrame, codec: Callable, shapes: bool = False, bin_xy: int = 1) -> DataFrame:
+    """``files(path, content)``, with ``shapes`` also nx and ny, to (path, payload); block means (floor) of bin_xy pixels each way."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([codec(c).tolist()], pa.list_(pa.int32()))], names=["path", "payload"])
+            for i, (p, c) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                x = np.asarray(codec(c), np.int32).ravel()
+                if shapes:
+                    nx, ny = b.column(2)[i].as_py(), b.column(3)[i].as_py()
+                    x = x.reshape(ny, nx)[: ny // bin_xy * bin_xy, : nx // bin_xy * bin_xy]
+                    if bin_xy > 1:
+                        blocks = x.reshape(ny // bin_xy, bin_xy, nx // bin_xy, bin_xy).sum(axis=(1, 3), dtype=np.int64)
+                        x = (blocks // bin_xy**2).astype(np.int32)
+                    x = x.ravel()
+                values = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.string()), values], names=["path", "payload"])
+
+    return files.mapInArrow(run, "path string, payload array<int>")
+
+
+def load_voxels(spark: SparkSession, folder: str, codec: Callable = raw_int32, vol: int = 0, bin_xy: int = 1) -> DataFrame:
+    """A folder's pixels as voxels: layers by fixed value, ih along a frame's rows, ik across them.
 
+    With ``bin_xy`` frames are binned where they are decoded, so that full
+    resolution never becomes rows.  Raises ValueError for a folder without
+    frames.  Frames of another size than their header says fail.
+    """
+    scanned = scan_order(read_headers(spark, folder)).select("path", "layer_idx", "nx", "ny")
+    if scanned.limit(1).count() == 0:
+        raise ValueError(f"no numbered frames in {folder}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[iI][mM][gG]").load(folder).select("path", "content")
-    frames = files.join(scanned.select("path"), "path", "left_semi").mapInArrow(run, "path string, payload array<int>").join(scanned, "path")
-    pixels = frames.select("layer_idx", "nx", F.posexplode("payload").alias("pos", "val"))
+    frames = _payloads(files.join(scanned, "path").select("path", "content", "nx", "ny"), codec, True, bin_xy).join(scanned, "path")
+    width = F.floor(F.col("nx") / bin_xy)
+    pixels = frames.select("layer_idx", width.alias("nx"), F.posexplode("payload").alias("pos", "val"))
     return pixels.select(F.lit(vol).cast("long").alias("vol"), (F.col("pos") % F.col("nx")).cast("int").alias("ih"), F.floor(F.col("pos") / F.col("nx")).cast("int").alias("ik"), F.col("layer_idx").alias("il"), "val")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.functions.geometry import cell_from_ub
@@ -41,6 +42,52 @@ def parse_cells(lines: DataFrame) -> DataFrame:
     return files.select("file", *[F.coalesce(F.col("cell")[i], from_ub[n]).alias(n) for i, n in enumerate(CELL)])
 
 
+def find_files(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """``folders(folder)`` and ``files(path)`` to the parameter file of each folder: (folder, path), null if there is none.
+
+    The parent is searched first, then the folder, then the parent's parent; in
+    each a name ending in _cracker.par comes before other .par files, then the
+    smallest path wins.  Hidden files do not count.  A directory's files are cut
+    to its best one before the join, so that one directory of many folders stays a row.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    place = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    rank = F.struct((~name.endswith("_cracker.par")).alias("plain"), F.col("path"))
+    best = files.where(name.endswith(".par") & ~name.startswith(".")).groupBy(place.alias("place")).agg(F.min(rank).alias("best"))
+    up = lambda c: F.regexp_replace(c, r"/[^/]*$", "")
+    home = F.regexp_replace("folder", r"/+$", "")
+    places = F.array(up(home), home, up(up(home)))
+    wanted = folders.select("folder").distinct().select("folder", F.posexplode(places).alias("turn", "place"))
+    got = wanted.join(best, "place", "left").groupBy("folder").agg(F.min_by("best.path", F.when(F.col("best").isNotNull(), F.col("turn"))).alias("path"))
+    return got.select("folder", "path")
+
+
+def override_cells(cells: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Cells from headers, ``(file, a .. gamma)``, replaced as a whole where the parameter file of that name gives one; from_par says which."""
+    par = parsed.where("a is not null").select("file", F.struct(*CELL).alias("par"))
+    rows = cells.select("file", F.struct(*CELL).alias("own")).join(par, "file", "left")
+    return rows.select("file", F.coalesce("par", "own").alias("cell"), F.col("par").isNotNull().alias("from_par")).select("file", "cell.*", "from_par")
+
+
+def folder_cell(spark: SparkSession, folder: str) -> dict | None:
+    """The cell of a folder's parameter file, found as in ``find_files``; None without a file or a cell in it."""
+    home = folder.rstrip("/")
+    parent = home.rpartition("/")[0]
+    for place in (parent, home, parent.rpartition("/")[0]):
+        for name in ("*_cracker.par", "*.par"):
+            try:
+                files = spark.read.format("binaryFile").load(f"{place}/{name}")
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                continue
+            first = files.select(F.min("path").alias("file"))
+            text = files.join(F.broadcast(first), files["path"] == first["file"]).select("file", F.decode("content", "ISO-8859-1").alias("text"))
+            row = parse_cells(text.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))).first()
+            return row and row["a"] is not None and {n: row[n] for n in CELL} or None
+    return None
+
+
 def first_orientation(lines: DataFrame) -> DataFrame:
     """The first orientation matrix of each file; an error for a file without one."""
     ub = F.when(F.trim("line").startswith("CRYSTALLOGRAPHY UB "), _after("UB", 9))
