@@ -64,9 +64,10 @@ def find_files(folders: DataFrame, files: DataFrame) -> DataFrame:
 
 def override_cells(cells: DataFrame, parsed: DataFrame) -> DataFrame:
     """Cells from headers, ``(file, a .. gamma)``, replaced as a whole where the parameter file of that name gives one; from_par says which."""
-    par = parsed.where("a is not null").select("file", F.struct(*CELL).alias("par"))
-    rows = cells.select("file", F.struct(*CELL).alias("own")).join(par, "file", "left")
-    return rows.select("file", F.coalesce("par", "own").alias("cell"), F.col("par").isNotNull().alias("from_par")).select("file", "cell.*", "from_par")
+    par = parsed.where("a is not null").select("file", *[F.col(c).alias(f"par_{c}") for c in CELL])
+    rows = cells.select("file", *CELL).join(par, "file", "left")
+    found = F.col("par_a").isNotNull()
+    return rows.select("file", *[F.when(found, F.col(f"par_{c}")).otherwise(F.col(c)).alias(c) for c in CELL], found.alias("from_par"))
 
 
 def folder_cell(spark: SparkSession, folder: str) -> dict | None:
