@@ -204,9 +204,18 @@ def test_classifier_learns_on_held_out_rows(spark):
     assert got and all(r.predicted == y[r.doc_id] and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
 
 
-def test_isotonic_rises():
-    knots, levels = classifier.isotonic([3, 1, 2, 2, 5, 4], [1, 0, 1, 0, 1, 0])
-    assert knots == sorted(knots) and all(a <= b + 0.2 for a, b in itertools.pairwise(levels))
+def test_isotonic_by_brute_force():
+    """Levels are the least-squares rising fit, by its max-min formula over all runs of rows."""
+    rng = np.random.default_rng(15)
+    for n in [1, 2, 6, *rng.integers(3, 40, 30)]:
+        x, y = rng.integers(0, 12, n).astype(float), rng.integers(0, 2, n).astype(float)
+        knots, levels = classifier.isotonic(x, y)
+        assert all(a < b for a, b in itertools.pairwise(knots)) and all(a < b for a, b in itertools.pairwise(levels))
+        at = np.unique(x)
+        mean = lambda i, j: y[(x >= at[i]) & (x <= at[j])].mean()  # noqa: B023, E731
+        want = [max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+        least = 0.5 / (n + 1)
+        assert np.allclose(levels, np.unique(np.round(np.clip(want, least, 1 - least), 12)))
 
 
 def test_alignment_by_brute_force():

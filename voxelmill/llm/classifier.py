@@ -97,18 +97,19 @@ def fourier(x, model_mean, model_scale):
 
 
 def isotonic(scores, labels):
-    """Pool adjacent violators: rising knots (scores) and levels (label means)."""
+    """Pool adjacent violators: rising knots (scores) and rising levels (label means, kept half a row's weight off 0 and 1)."""
     import numpy as np
 
-    order = np.argsort(scores, kind="stable")
+    at, group = np.unique(np.asarray(scores, float), return_inverse=True)
+    ones, rows = np.bincount(group, np.asarray(labels, float)), np.bincount(group)
     blocks: list[list[float]] = []
-    for s, y in zip(np.asarray(scores)[order], np.asarray(labels, float)[order], strict=True):
-        blocks.append([s, y, 1])
-        while len(blocks) > 1 and (blocks[-2][0] == blocks[-1][0] or blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]):
+    for s, y, n in zip(at.tolist(), ones.tolist(), rows.tolist(), strict=True):
+        blocks.append([s, y, n])
+        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             s0, y0, n0 = blocks.pop()
             blocks[-1] = [(blocks[-1][0] * blocks[-1][2] + s0 * n0) / (blocks[-1][2] + n0), blocks[-1][1] + y0, blocks[-1][2] + n0]
-    # one pseudo-count of either label keeps the ends off 0 and 1
-    return [b[0] for b in blocks], [(b[1] + 0.5) / (b[2] + 1) for b in blocks]
+    least = 0.5 / (len(group) + 1)
+    return [b[0] for b in blocks], [min(max(b[1] / b[2], least), 1 - least) for b in blocks]
 
 
 def fold(doc_id: Column) -> Column:
