@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.functions.geometry import PLANES
-from voxelmill.operators.volume import DIMS, Volume
+from voxelmill.operators.ranking import percentiles
+from voxelmill.operators.volume import DIMS, Volume, positives
 
 #: Stored dimension that each view keeps fixed.
 FIXED = {"HK": 2, "HL": 1, "KL": 0}
@@ -169,12 +170,12 @@ def montage(volume: Volume, targets: list[float], share: float = 0.99) -> DataFr
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, ts in by_layer.items() for t in ts])
     v = volume.voxels.where(F.col("il").isin(list(by_layer)))
     v = v.select("vol", F.explode(F.filter(pairs, lambda p: p["i"] == F.col("il"))).alias("p"), "ik", "ih", "val").select("vol", F.col("p.t").alias("target"), F.col("ik").alias("row"), F.col("ih").alias("col"), "val")
-    top = v.where("val > 0").groupBy("vol", "target").agg(F.percentile("val", F.lit(share)).alias("vmax"))
+    top = percentiles(positives(v, "target"), ["vol", "target"], [share]).select("vol", "target", F.col("p")[0].alias("vmax"))
     return v.join(top, ["vol", "target"], "left")
 
 
 def auto_range(image: DataFrame) -> DataFrame:
     """Display limits of each image: 1st percentile of its positives (0 if none) and 99.5th of all."""
-    return image.groupBy("vol").agg(
-        F.coalesce(F.percentile(F.when(F.col("val") > 0, F.col("val")), F.lit(0.01)), F.lit(0.0)).alias("vmin"), F.percentile("val", F.lit(0.995)).alias("vmax")
-    )
+    low = percentiles(positives(image), ["vol"], [0.01]).select("vol", F.col("p")[0].alias("vmin"))
+    high = percentiles(image.select("vol", F.col("val").alias("x")), ["vol"], [0.995]).select("vol", F.col("p")[0].alias("vmax"))
+    return high.join(low, "vol", "left").select("vol", F.coalesce("vmin", F.lit(0.0)).alias("vmin"), "vmax")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxelmill.operators.volume import DIMS, Grid, Volume, coordinate
+from voxelmill.operators.ranking import percentiles
+from voxelmill.operators.volume import DIMS, Grid, Volume, coordinate, positives
 
 
 def kernel(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -57,12 +58,12 @@ def rescale_uint16(voxels: DataFrame) -> DataFrame:
 
 def default_iso(voxels: DataFrame) -> DataFrame:
     """Median of the positive values of each volume."""
-    return voxels.where("val > 0").groupBy("vol").agg(F.median("val").alias("iso"))
+    return percentiles(positives(voxels), ["vol"], [0.5]).select("vol", F.col("p")[0].alias("iso"))
 
 
 def slider_range(voxels: DataFrame) -> DataFrame:
     """Logarithmic limits of an iso-value slider from percentiles of the positives."""
-    p = voxels.where("val > 0").groupBy("vol").agg(F.percentile("val", F.array(F.lit(0.5), F.lit(0.9999))).alias("p"))
+    p = percentiles(positives(voxels), ["vol"], [0.5, 0.9999])
     return p.select("vol", (F.log10(F.greatest(F.col("p")[0], F.lit(0.5))) - 1).alias("log_low"), F.log10(F.greatest(F.col("p")[1], F.lit(1.0))).alias("log_high"))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.functions.laue import usable
+from voxelmill.operators.ranking import percentiles
 from voxelmill.operators.volume import DIMS, Grid, Volume, densify, lattice
-from voxelmill.sources.store import cut
+from voxelmill.sources.scratch import cut
 
 #: Half-steps that a centred coordinate may have to either side, for packed keys.
 HALF = 1 << 20
@@ -193,18 +194,20 @@ def outlier_stats(volume: Volume, group: str) -> DataFrame:
     sym = symmetrize(volume, group).voxels.withColumnRenamed("val", "sym")
     raw = densify(volume).voxels
     r = raw.join(sym, ["vol", *DIMS]).select("vol", (F.coalesce("val", F.lit(0)) - F.col("sym")).alias("r")).where("r <> 0")
-    centre = r.groupBy("vol").agg(F.median("r").alias("median"))
+    r = cut(r)
+    middle = lambda x, name: percentiles(r.select("vol", x.alias("x")), ["vol"], [0.5]).select("vol", F.col("p")[0].alias(name))
+    centre = middle(F.col("r"), "median")
     r = r.join(centre, "vol")
-    spread = r.groupBy("vol").agg(F.median(F.abs(F.col("r") - F.col("median"))).alias("mad"))
+    spread = middle(F.abs(F.col("r") - F.col("median")), "mad")
     a = r.join(spread, "vol").withColumn("abs_r", F.abs("r")).withColumn("std", F.col("mad") * MAD_SCALE)
     out = a.groupBy("vol").agg(
         F.first("median").alias("median"),
         F.first("mad").alias("mad"),
         F.first("std").alias("robust_std"),
-        F.percentile("abs_r", F.array(*map(F.lit, (0.9, 0.95, 0.99, 0.999)))).alias("p"),
         F.max("abs_r").alias("max_abs"),
         *[F.count_if(F.col("abs_r") > k * F.col("std")).alias(f"n_over_{k}") for k in (2, 3, 5)],
         F.count("*").alias("n_total"),
     )
+    out = out.join(percentiles(a.select("vol", F.col("abs_r").alias("x")), ["vol"], [0.9, 0.95, 0.99, 0.999]), "vol")
     names = ("p90", "p95", "p99", "p99_9")
     return out.select("vol", "median", "mad", "robust_std", *[F.col("p")[i].alias(n) for i, n in enumerate(names)], "max_abs", "n_over_2", "n_over_3", "n_over_5", "n_total", (F.col("n_over_3") / F.col("n_total")).alias("share_over_3"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.functions.geometry import floor_mean
+from voxelmill.operators.ranking import percentiles
 
 DIMS = ("ih", "ik", "il")
 
@@ -167,9 +168,14 @@ def info(voxels: DataFrame, size: int) -> DataFrame:
     )
 
 
+def positives(voxels: DataFrame, *group: str) -> DataFrame:
+    """The positive values as x, by volume and ``group``."""
+    return voxels.where("val > 0").select("vol", *group, F.col("val").alias("x"))
+
+
 def positive_percentiles(voxels: DataFrame, shares: list[float]) -> DataFrame:
     """Exact percentiles (linear interpolation) of the positive values of each volume, one column each."""
-    p = voxels.where("val > 0").groupBy("vol").agg(F.percentile("val", F.array(*map(F.lit, shares))).alias("p"))
+    p = percentiles(positives(voxels), ["vol"], shares)
     return p.select("vol", *[F.col("p")[i].alias("p" + f"{100 * s:g}".replace(".", "_")) for i, s in enumerate(shares)])
 
 

@@ -6,10 +6,11 @@ import struct
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelmill.functions.geometry import centre, pixel_indices, pixel_scale, plane_inverse
+from voxelmill.operators.ranking import ranked
+from voxelmill.sources.scratch import cut
 
 HEADER_BYTES = 5120
 # Byte offsets of the header's fields.
@@ -67,8 +68,7 @@ def fixed_value(plane: Column) -> Column:
 def scan_order(frames: DataFrame) -> DataFrame:
     """Layer index by (fixed value, file number) within a prefix; equal values are all kept."""
     rows = frames.withColumn("plane", plane_type()).withColumn("fixed_value", fixed_value(F.col("plane")))
-    order = W.partitionBy("prefix").orderBy("fixed_value", "file_no", "path")
-    return rows.withColumn("layer_idx", F.row_number().over(order) - 1)
+    return ranked(rows, ["prefix"], ["fixed_value", "file_no", "path"], "layer_idx")
 
 
 def folder_summary(scanned: DataFrame) -> DataFrame:
@@ -80,10 +80,10 @@ def folder_summary(scanned: DataFrame) -> DataFrame:
 
 
 def read_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """Headers of a folder's frames; only the header's bytes go to the parser."""
+    """Headers of a folder's frames, read once and written; only the header's bytes go to the parser."""
     files = numbered(spark.read.format("binaryFile").option("pathGlobFilter", "*.[iI][mM][gG]").load(folder))
     heads = _headers(files.select("path", F.substring("content", 1, HEADER_BYTES).alias("head")))
-    return heads.join(files.select("path", "prefix", "file_no"), "path")
+    return cut(heads.join(files.select("path", "prefix", "file_no"), "path"))
 
 
 def _headers(heads: DataFrame) -> DataFrame:

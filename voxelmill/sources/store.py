@@ -1,27 +1,14 @@
-"""Volumes in Parquet, and a reliable cut of long lineages."""
+"""Volumes in Parquet."""
 
 from __future__ import annotations
 
 import json
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from voxelmill.operators import volume as _volume
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of spark.checkpoint.dir; a local one only where that is unset and Spark runs locally."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
-
-
 def save(volume: _volume.Volume, path: str) -> None:
     """Voxels partitioned by volume and sorted by layer, so that a slice reads few row groups; axes and metadata beside them."""
     v = volume.voxels
