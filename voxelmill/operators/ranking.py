@@ -14,7 +14,8 @@ from voxelmill.sources.scratch import cut
 WHOLE = 1_000_000
 
 
-def _largest(rows: DataFrame, group: list[str]) -> int:
+def largest(rows: DataFrame, group: list[str]) -> int:
+    """Rows of the largest group."""
     return rows.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
@@ -37,7 +38,7 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], name: str, whole
     Groups of over ``whole`` rows are dealt in ranges: a place is the rows of
     earlier ranges and the place in its own.
     """
-    if _largest(rows, group) <= whole:
+    if largest(rows, group) <= whole:
         return rows.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1)
     dealt, sizes = _ranges(rows, group, order, F.lit(1))
     at = F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order)) - 1
@@ -48,15 +49,15 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], name: str, whole
     return out.select(*rows.columns, (F.col("_before") + F.col("_at")).cast("int").alias(name))
 
 
-def percentiles(values: DataFrame, group: list[str], shares: Sequence[float], whole: int = WHOLE) -> DataFrame:
+def percentiles(values: DataFrame, group: list[str], shares: Sequence[float], whole: int = WHOLE, size: int | None = None) -> DataFrame:
     """``values(*group, x)`` to ``(*group, p)``: exact percentiles with linear interpolation, an array in the order of ``shares``.
 
     Groups of nulls only get a null array; groups without rows are absent.
-    Where a group has over ``whole`` rows, equal values are counted first and
+    Where a group has over ``whole`` rows (``size``: the largest one's, if known), equal values are counted first and
     dealt in ranges by value; running counts of whole ranges tell which hold
     the wanted places, and only those (two a share and group at most) are sorted.
     """
-    if _largest(values, group) <= whole:
+    if (largest(values, group) if size is None else size) <= whole:
         return values.groupBy(*group).agg(F.percentile("x", F.array(*[F.lit(float(s)) for s in shares])).alias("p"))
     counts = values.where("x is not null").groupBy(*group, F.col("x").cast("double").alias("x")).agg(F.count("*").alias("_n"))
     dealt, sizes = _ranges(counts, group, ["x"], F.col("_n"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.functions.laue import usable
-from voxelmill.operators.ranking import percentiles
+from voxelmill.operators.ranking import largest, percentiles
 from voxelmill.operators.volume import DIMS, Grid, Volume, densify, lattice
 from voxelmill.sources.scratch import cut
 
@@ -195,7 +195,8 @@ def outlier_stats(volume: Volume, group: str) -> DataFrame:
     raw = densify(volume).voxels
     r = raw.join(sym, ["vol", *DIMS]).select("vol", (F.coalesce("val", F.lit(0)) - F.col("sym")).alias("r")).where("r <> 0")
     r = cut(r)
-    middle = lambda x, name: percentiles(r.select("vol", x.alias("x")), ["vol"], [0.5]).select("vol", F.col("p")[0].alias(name))
+    size = largest(r, ["vol"])
+    middle = lambda x, name: percentiles(r.select("vol", x.alias("x")), ["vol"], [0.5], size=size).select("vol", F.col("p")[0].alias(name))
     centre = middle(F.col("r"), "median")
     r = r.join(centre, "vol")
     spread = middle(F.abs(F.col("r") - F.col("median")), "mad")
@@ -208,6 +209,6 @@ def outlier_stats(volume: Volume, group: str) -> DataFrame:
         *[F.count_if(F.col("abs_r") > k * F.col("std")).alias(f"n_over_{k}") for k in (2, 3, 5)],
         F.count("*").alias("n_total"),
     )
-    out = out.join(percentiles(a.select("vol", F.col("abs_r").alias("x")), ["vol"], [0.9, 0.95, 0.99, 0.999]), "vol")
+    out = out.join(percentiles(a.select("vol", F.col("abs_r").alias("x")), ["vol"], [0.9, 0.95, 0.99, 0.999], size=size), "vol")
     names = ("p90", "p95", "p99", "p99_9")
     return out.select("vol", "median", "mad", "robust_std", *[F.col("p")[i].alias(n) for i, n in enumerate(names)], "max_abs", "n_over_2", "n_over_3", "n_over_5", "n_total", (F.col("n_over_3") / F.col("n_total")).alias("share_over_3"))
