@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm import classifier, decontamination, extraction, line_crf, packing, privacy, quotes, sharding, simhash, wordpiece
+from voxelmill.llm import classifier, decontamination, extraction, line_crf, minhash, packing, periodic, privacy, quotes, sharding, simhash, whitening, wordpiece
 from voxelmill.llm.common import table
 
 SHARDS = 16
@@ -66,9 +66,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.similar_classes(table(spark, sf_dir, "documents"), ngram=2, similarity=0.8)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     own = (op1_html_extraction, op2_quality_rules, op3_quality_classifier, op4_decontamination, op5_pii)
     own += (op6_token_counts, op7_packing, op8_quotation_linking, op9_simhash, op10_sharding)
+    own += (op11_whitening, op12_minhash, op13_periodic_runs)
     return {f.__name__: f for f in own}
 
 
