@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.functions import geometry as G
-from voxelmill.functions.laue import GENERATORS, operations, slug, usable
+from voxelmill.functions.laue import GENERATORS, operations, slug, stored_operations, usable
 from voxelmill.operators import display, slicing, surface, symmetry
 from voxelmill.operators import volume as V
 from voxelmill.sources import fixtures as X
@@ -86,9 +86,19 @@ EQUIV = """eq AS (SELECT s.vol, s.ih, s.ik, s.il, e.val FROM src s JOIN dense e
 SYM = "sym AS (SELECT d.vol, d.ih, d.ik, d.il, coalesce(m.m, 0) AS val FROM dense d LEFT JOIN (SELECT vol, ih, ik, il, avg(val) AS m FROM eq GROUP BY ALL) m USING (vol, ih, ik, il))"
 
 
-def reject_sql(src: str, out: str, tag: str) -> str:
+def full_source_sql(group: str, grid: V.Grid, table: str = "dense") -> str:
+    """Each target's source on a grid by all operations of a group, by operation; nearest points, ties to even."""
+    ops = ", ".join(f"({i}, {', '.join(str(x) for row in op for x in row)})" for i, op in enumerate(stored_operations(group, full=True)))
+    start, step = [[float(a[0]) for a in grid.axes], [float(grid.step(d)) for d in range(3)]]
+    image = lambda t: " + ".join(f"m{t}{d} * ({start[d]}::DOUBLE + {step[d]}::DOUBLE * {n})" for d, n in enumerate(("ih", "ik", "il")))
+    at = ", ".join(f"round_even(({image(t)} - ({start[t]}::DOUBLE)) / {step[t]}::DOUBLE, 0)::INT AS x{t}" for t in range(3))
+    names = ", ".join(f"m{t}{d}" for t in range(3) for d in range(3))
+    return f"src AS (SELECT vol, ih, ik, il, op, {at} FROM {table}, (VALUES {ops}) o(op, {names}))"
+
+
+def reject_sql(src: str, out: str, tag: str, source: Callable[[str], str] = source_sql) -> str:
     """One round of outlier rejection from table ``src`` (vol, ih, ik, il, val, replaced)."""
-    s = source_sql(src).replace("src AS", f"s{tag} AS", 1)
+    s = source(src).replace("src AS", f"s{tag} AS", 1)
     return f"""{s},
 e{tag} AS (SELECT s.vol, s.ih, s.ik, s.il, e.val FROM s{tag} s JOIN {src} e ON e.vol = s.vol AND e.ih = s.x0 AND e.ik = s.x1 AND e.il = s.x2 WHERE e.val <> 0),
 m{tag} AS (SELECT vol, ih, ik, il, median(val::DOUBLE) AS med FROM e{tag} GROUP BY ALL),
@@ -210,6 +220,33 @@ def _register_groups() -> None:
 
 
 _register_groups()
+
+
+def _register_full() -> None:
+    """Trigonal and hexagonal groups with all their operations: on lattice points by orbits, between points by maps of two dimensions."""
+    emb = ", ".join((emb_sql(hot=True), DENSE))
+    for g in ("-3", "-3m", "6/m", "6/mmm"):
+        key = slug(g)
+        query(f"{emb}, {full_source_sql(g, X.HEX_GRID)}, {EQUIV}, {SYM}\n--\nSELECT * FROM sym", IDX, "val", name=f"symmetrize_full_{key}")(
+            lambda spark, sf, g=g: symmetry.symmetrize(X.hexagonal_voxels(spark, sf), g, full=True).voxels
+        )
+        query(f"{emb}, {START}, {reject_sql('r0', 'r1', '1', lambda t, g=g: full_source_sql(g, X.EMB_GRID, t))}\n--\nSELECT * FROM r1", IDX + " replaced", "val", name=f"reject_outliers_full_{key}")(
+            lambda spark, sf, g=g: symmetry.reject_outliers(X.embedding_voxels(spark, sf, hot=True), g, SIGMA, full=True).voxels
+        )
+    query(f"{emb}, {full_source_sql('6/mmm', X.EMB_GRID)}, {EQUIV}, {SYM}\n--\nSELECT * FROM sym", IDX, "val", name="symmetrize_full_gather_6mmm")(
+        lambda spark, sf: symmetry.symmetrize(X.embedding_voxels(spark, sf, hot=True), "6/mmm", full=True).voxels
+    )
+    query(f"{emb}, {START}, {reject_sql('r0', 'r1', '1', lambda t: full_source_sql('6/mmm', X.HEX_GRID, t))}, {reject_sql('r1', 'r2', '2', lambda t: full_source_sql('6/mmm', X.HEX_GRID, t))}\n--\nSELECT * FROM r2", IDX + " replaced", "val", name="reject_outliers_full_iter2_6mmm")(
+        lambda spark, sf: symmetry.reject_outliers(X.hexagonal_voxels(spark, sf), "6/mmm", SIGMA, 2, full=True).voxels
+    )
+    wide = """emb AS (SELECT 0 AS vol, l_quantity::INT - 1 AS ih, l_partkey % 50 AS ik, round_even(l_discount * 100, 0)::INT AS il, count(*) AS val FROM lineitem GROUP BY ALL),
+dense AS (SELECT 0 AS vol, h.i AS ih, k.i AS ik, l.i AS il, coalesce(e.val, 0) AS val FROM range(50) h(i) CROSS JOIN range(50) k(i) CROSS JOIN range(11) l(i) LEFT JOIN emb e ON e.ih = h.i AND e.ik = k.i AND e.il = l.i)"""
+    query(f"{wide}, {full_source_sql('6/mmm', X.WIDE_GRID)}, {EQUIV}, {SYM}\n--\nSELECT * FROM sym", IDX, "val", name="symmetrize_full_wide_6mmm")(
+        lambda spark, sf: symmetry.symmetrize(X.wide_voxels(spark, sf), "6/mmm", full=True).voxels
+    )
+
+
+_register_full()
 MMM = ", ".join((emb_sql(hot=True), DENSE, ops_sql("mmm")))
 M3M = ", ".join((emb_sql(hot=True), DENSE, ops_sql("m-3m")))
 

@@ -72,6 +72,21 @@ def usable(group: str, plane: str = "HK") -> list[tuple[tuple[int, int], ...]]:
     return [p for op in operations(group) if (p := on_axes(op, plane)) is not None]
 
 
+def on_stored(op: Matrix, plane: str = "HK") -> Matrix:
+    """``op`` as a matrix on the stored dimensions' coordinates."""
+    stored = STORED.get(plane, STORED["HK"])
+    return tuple(tuple(op[i][j] for j in stored) for i in stored)
+
+
+def stored_operations(group: str, plane: str = "HK", full: bool = False) -> list[Matrix]:
+    """Operations on stored dimensions: all of them (``full``), or those that mix no indices.
+
+    They differ for the trigonal and hexagonal groups only, whose threefold and
+    sixfold rotations send (h, k) to sums of both.
+    """
+    return [on_stored(op, plane) for op in operations(group) if full or on_axes(op, plane) is not None]
+
+
 def slug(group: str) -> str:
     """The group's name in file names."""
     return group.replace("/", "").replace("-", "bar")

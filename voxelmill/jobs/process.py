@@ -37,9 +37,10 @@ def load_folder(spark: SparkSession, folder: str, bin_xy: int = 1, bin_z: int =
     """
     from voxelmill.functions import geometry as G
     from voxelmill.sources import frames, parameters
+    from voxelmill.sources.scratch import cut
 
     ub = [F.col("ub")[i] for i in range(9)]
-    heads = frames.scan_order(frames.read_headers(spark, folder))
+    heads = cut(frames.scan_order(frames.read_headers(spark, folder)))
     inv = {p: G.plane_inverse(ub, F.col("wavelength"), p) for p in G.PLANES}
     pick = lambda n: F.when(F.col("plane") == "HL", inv["HL"][n]).when(F.col("plane") == "KL", inv["KL"][n]).otherwise(inv["HK"][n]).alias(n)
     cell = F.struct(*[c.alias(n) for n, c in G.cell_from_ub(ub, F.col("wavelength")).items()]).alias("cell")
@@ -55,16 +56,18 @@ def load_folder(spark: SparkSession, folder: str, bin_xy: int = 1, bin_z: int =
     meta = {"s": m.s, "cx": cx, "cy": cy, "m_inv": [[m.i00, m.i01], [0.0, m.i11]], "wavelength": m.wavelength, "d_min": m.d_min, "ub": list(m.ub), "cell": found, "source_folder": folder, "n_files": len(rows), "bin_xy": bin_xy, "bin_z": 1}
     if bin_xy > 1:
         meta |= {"s": m.s * bin_xy, "cx": (len(axes[0]) + 1) / 2, "cy": (len(axes[1]) + 1) / 2}
-    v = volume.Volume(frames.load_voxels(spark, folder, bin_xy=bin_xy), volume.Grid(axes, m.plane), meta)
+    v = volume.Volume(frames.load_voxels(spark, folder, bin_xy=bin_xy, scanned=heads), volume.Grid(axes, m.plane), meta)
     return volume.bin_volume(v, 1, 1, bin_z)
 
 
 def read_any(spark: SparkSession, path: str) -> volume.Volume | DataFrame:
-    """A path by what it is: .img to a layer, a folder with a saved volume to that volume, any other folder to its frames."""
+    """A path by what it is: .img to a layer, .cbf to a frame by its pixels, a folder with a saved volume to that volume, any other folder to its frames."""
     from voxelmill.sources import frames, store
 
     if path.lower().endswith(".img"):
         return frames.read_layers(spark, path)
+    if path.lower().endswith(".cbf"):
+        return frames.read_cbf(spark, path)
     try:
         return store.load(spark, path)
     except AnalysisException as e:

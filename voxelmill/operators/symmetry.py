@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.functions.laue import usable
+from voxelmill.functions.laue import ORDERS, STORED, stored_operations, times, usable
 from voxelmill.operators.ranking import largest, percentiles
-from voxelmill.operators.volume import DIMS, Grid, Volume, densify, lattice
+from voxelmill.operators.volume import DIMS, Grid, Volume, axis_values, densify, lattice
 from voxelmill.sources.scratch import cut
 
-#: Half-steps that a centred coordinate may have to either side, for packed keys.
+#: Half-steps that a centred coordinate or a sum of two may have to either side, for packed keys.
 HALF = 1 << 20
+#: Rows of a map of two dimensions that are broadcast (24 bytes each); more are joined by a shuffle.
+BROADCAST_MAP = 1_000_000
 MAD_SCALE = 1.4826
 MAD_FLOOR = 1e-10
 
@@ -22,25 +24,37 @@ def half_steps(grid: Grid) -> list[list[int]] | None:
     out = []
     for d in range(3):
         c = [2 * x / grid.step(d) for x in grid.axes[d]]
-        if any(abs(x - round(x)) > 1e-6 or abs(x) >= HALF for x in c):
+        if any(abs(x - round(x)) > 1e-6 or 2 * abs(x) >= HALF for x in c):
             return None
         out.append([round(x) for x in c])
     return out
 
 
-def commensurate(grid: Grid, group: str) -> bool:
-    """Whether every usable operation takes grid points onto grid points (or outside)."""
+def commensurate(grid: Grid, group: str, full: bool = False) -> bool:
+    """Whether every operation in use takes grid points onto grid points (or outside)."""
     half = half_steps(grid)
     if half is None:
         return False
-    for op in usable(group, grid.plane):
-        for t, (s, _) in enumerate(op):
-            if abs(grid.step(t) - grid.step(s)) > 1e-9 or (half[t][0] - half[s][0]) % 2:
+    for op in stored_operations(group, grid.plane, full):
+        for t, row in enumerate(op):
+            if any(m and abs(grid.step(t) - grid.step(s)) > 1e-9 for s, m in enumerate(row)):
+                return False
+            if (sum(m * half[s][0] for s, m in enumerate(row)) - half[t][0]) % 2:
                 return False
     return True
 
 
-def orbit_key(grid: Grid, group: str) -> Column:
+def _image(row, c: list[Column]) -> Column:
+    """A coordinate of an image: the sum of the source's coordinates by a matrix row of small integers."""
+    terms = [(m, c[s]) for s, m in enumerate(row) if m]
+    scaled = lambda m, x: x if abs(m) == 1 else F.lit(abs(m)) * x
+    out = scaled(*terms[0]) if terms[0][0] > 0 else -scaled(*terms[0])
+    for m, x in terms[1:]:
+        out = out + scaled(m, x) if m > 0 else out - scaled(m, x)
+    return out
+
+
+def orbit_key(grid: Grid, group: str, full: bool = False) -> Column:
     """A long that is equal for exactly the equivalent voxels: the largest packed image over the operations.
 
     Groups with all three mirror planes need the absolute coordinates and the
@@ -48,31 +62,68 @@ def orbit_key(grid: Grid, group: str) -> Column:
     """
     half = half_steps(grid)
     c = [F.round(F.col(n) * 2 + half[d][0]).cast("long") for d, n in enumerate(DIMS)]
-    ops = usable(group, grid.plane)
-    signs = {tuple(s for _, s in op) for op in ops if all(d == i for i, (d, _) in enumerate(op))}
-    if len(signs) == 8:
+    ops = stored_operations(group, grid.plane, full)
+    signs = {tuple(op[i][i] for i in range(3)) for op in ops if all(op[i][i] for i in range(3)) and sum(map(abs, sum(op, ()))) == 3}
+    if len(signs) == 8 and all(sum(map(abs, sum(op, ()))) == 3 for op in ops):
         c = [F.abs(x) for x in c]
-        ops = [[(d, 1) for d in p] for p in sorted({tuple(d for d, _ in op) for op in ops})]
+        ops = sorted({tuple(tuple(map(abs, row)) for row in op) for op in ops})
 
     def packed(op) -> Column:
-        x, y, z = ((c[d] if s > 0 else -c[d]) + F.lit(HALF) for d, s in op)
+        x, y, z = (_image(row, c) + F.lit(HALF) for row in op)
         return F.shiftleft(x, 42) + F.shiftleft(y, 21) + z
 
     images = [packed(op) for op in ops]
-    return F.greatest(*images) if len(images) > 1 else images[0]
+    # never null: else Spark would infer filters from what is made of the key and compute it twice
+    return F.coalesce(F.greatest(*images) if len(images) > 1 else images[0], F.lit(0).cast("long"))
+
+
+def _stabilisers(ops: list) -> tuple[list[tuple[int, ...]], list[int], list[int]]:
+    """What tells which operations leave a point as it is, from few tests.
+
+    Linear forms (up to sign) that are zero where an operation keeps a
+    coordinate; for each pattern of zero forms the operations, as bits, that
+    keep the point; and for each operation g those s for which g s comes before
+    g.  If one of them keeps the point, g repeats an earlier image.
+    """
+    place = {op: i for i, op in enumerate(ops)}
 
+    def forms_of(op):
+        rows = [tuple(m - (t == s) for s, m in enumerate(row)) for t, row in enumerate(op)]
+        return {max(r, tuple(-x for x in r)) for r in rows if any(r)}
 
-def orbit_members(grid: Grid, group: str, key: Column) -> Column:
-    """The distinct grid points of an orbit, from its key, as packed indices (ih * nk + ik) * nl + il."""
-    half, (_, nk, nl) = half_steps(grid), grid.shape
-    mask = F.lit((1 << 21) - 1)
+    forms = sorted(set().union(*map(forms_of, ops)))
+    bits = [sum(1 << forms.index(f) for f in forms_of(op)) for op in ops]
+    kept = [sum(1 << i for i, b in enumerate(bits) if b & pattern == b) for pattern in range(1 << len(forms))]
+    earlier = [sum(1 << place[s] for s in ops if place[times(g, s)] < place[g]) for g in ops]
+    return forms, kept, earlier
+
+
+def orbit_members(means: DataFrame, grid: Grid, group: str, full: bool = False) -> DataFrame:
+    """``means(vol, _o, val)`` by orbit to the distinct grid points of each orbit: (vol, ih, ik, il, val).
+
+    The operations are a small constant array.  An image is left out if an
+    operation that keeps the orbit's own point makes it equal to an earlier
+    one, and if it is off the grid.  All of it is arithmetic on columns.
+    """
+    half, ops = half_steps(grid), stored_operations(group, grid.plane, full)
+    forms, kept, earlier = _stabilisers(ops)
+    mask, key = F.lit((1 << 21) - 1), F.col("_o")
     c = [F.shiftright(key, 42) - HALF, F.shiftright(key, 21).bitwiseAND(mask) - HALF, key.bitwiseAND(mask) - HALF]
-    points = []
-    for op in usable(group, grid.plane):
-        at = [F.shiftright((c[d] if sign > 0 else -c[d]) - half[t][0], 1) for t, (d, sign) in enumerate(op)]
-        inside = [x.between(0, n - 1) for x, n in zip(at, grid.shape, strict=True)]
-        points.append(F.when(inside[0] & inside[1] & inside[2], (at[0] * nk + at[1]) * nl + at[2]).otherwise(F.lit(-1)))
-    return F.filter(F.array_distinct(F.array(*points)), lambda x: x >= 0)
+    rows = means.select("vol", "val", *[x.cast("int").alias(f"_c{d}") for d, x in enumerate(c)])
+    c = [F.col(f"_c{d}") for d in range(3)]
+    pattern = F.lit(0)
+    for i, form in enumerate(forms):
+        pattern = pattern.bitwiseOR(F.when(_image(form, c) == 0, F.lit(1 << i)).otherwise(F.lit(0)))
+    # never null: else Spark would infer a filter from the test below and compute all this before the aggregation, too
+    rows = rows.select("*", F.coalesce(F.get(F.lit(kept).cast("array<long>"), pattern), F.lit(0).cast("long")).alias("_k"))
+    names = [f"m{t}{d}" for t in range(3) for d in range(3)]
+    table = F.array(*[F.struct(*[F.lit(m).alias(n) for n, m in zip(names, sum(op, ()), strict=True)], F.lit(e).cast("long").alias("e")) for op, e in zip(ops, earlier, strict=True)])
+    rows = rows.select("vol", "val", *c, "_k", F.explode(table).alias("_g")).where(F.col("_k").bitwiseAND(F.col("_g.e")) == 0)
+    at = [F.shiftright(sum((F.col(f"_g.m{t}{d}") * c[d] for d in range(3)), F.lit(-half[t][0])), 1).alias(n) for t, n in enumerate(DIMS)]
+    rows = rows.select("vol", *at, "val")
+    for n, size in zip(DIMS, grid.shape, strict=True):
+        rows = rows.where((F.col(n) >= 0) & (F.col(n) < size))
+    return rows
 
 
 def index_maps(grid: Grid, group: str) -> list[tuple[int, int, int, int, int]]:
@@ -89,12 +140,55 @@ def index_maps(grid: Grid, group: str) -> list[tuple[int, int, int, int, int]]:
     return rows
 
 
-def gather(volume: Volume, group: str) -> DataFrame:
+def plane_maps(spark: SparkSession, grid: Grid, group: str) -> tuple[tuple[int, int, int], DataFrame]:
+    """For all operations of a trigonal or hexagonal group: the stored dimensions (a, b, c) of h, k and l, and rows (op, sa, sb, ta, tb, sign).
+
+    An operation sends (h, k) to sums of both and l to itself or its opposite.
+    The target at (ta, tb) reads the source nearest to its image, on each axis
+    by itself, ties to even; images off the axes have no row.  Made on the
+    executors, from the two axes: operations times the plane's points.
+    """
+    stored = STORED.get(grid.plane, STORED["HK"])
+    a, b, c = (stored.index(i) for i in range(3))
+    ops = [(o, *(op[i][j] for i in (a, b) for j in (a, b)), op[c][c]) for o, op in enumerate(stored_operations(group, grid.plane, True))]
+    na, nb = grid.shape[a], grid.shape[b]
+    at = spark.range(na * nb).select(F.floor(F.col("id") / nb).cast("int").alias("ta"), (F.col("id") % nb).cast("int").alias("tb"))
+    at = at.join(F.broadcast(axis_values(spark, grid, a, "ta", "xa")), "ta").join(F.broadcast(axis_values(spark, grid, b, "tb", "xb")), "tb")
+    at = at.join(F.broadcast(spark.createDataFrame(ops, "op int, m00 int, m01 int, m10 int, m11 int, sign int")))
+    image = lambda i: F.col(f"m{i}0") * F.col("xa") + F.col(f"m{i}1") * F.col("xb")
+    near = lambda i, d: F.rint((image(i) - F.lit(float(grid.axes[d][0]))) / F.lit(float(grid.step(d)))).cast("int")
+    at = at.select("op", near(0, a).alias("sa"), near(1, b).alias("sb"), "ta", "tb", "sign")
+    return (a, b, c), at.where(F.col("sa").between(0, na - 1) & F.col("sb").between(0, nb - 1))
+
+
+def gather_full(volume: Volume, group: str) -> DataFrame:
+    """``gather`` over all operations of a trigonal or hexagonal group, those that mix h and k included.
+
+    A measured voxel's plane place is looked up in the map of two dimensions,
+    which is broadcast up to BROADCAST_MAP rows and joined by a shuffle beyond,
+    and its third index in that of one.
+    """
+    spark, grid = volume.voxels.sparkSession, volume.grid
+    (a, b, c), plane = plane_maps(spark, grid, group)
+    rows = len(stored_operations(group, grid.plane, True)) * grid.shape[a] * grid.shape[b]
+    plane = F.broadcast(plane) if rows <= BROADCAST_MAP else plane
+    axis = np.asarray(grid.axes[c])
+    third = [(s, int(i), j) for s in (-1, 1) for j, i in enumerate(np.rint((s * axis - axis[0]) / grid.step(c)).astype(int)) if 0 <= i < len(axis)]
+    third = F.broadcast(spark.createDataFrame(third, "sign int, sc int, tc int"))
+    v = volume.voxels.where("val is not null and val <> 0").select("vol", *[F.col(DIMS[d]).alias(f"s{n}") for d, n in ((a, "a"), (b, "b"), (c, "c"))], "val")
+    v = v.join(plane, ["sa", "sb"]).join(third, ["sign", "sc"])
+    names = {a: "ta", b: "tb", c: "tc"}
+    return v.select("vol", *[F.col(names[d]).alias(n) for d, n in enumerate(DIMS)], "val")
+
+
+def gather(volume: Volume, group: str, full: bool = False) -> DataFrame:
     """Measured equivalents of each target voxel: (vol, ih, ik, il, val), a row for each operation that hits one.
 
     Each operation reads the target's source along three axes; the maps hold at
     most a few hundred thousand rows by construction and are broadcast.
     """
+    if full and len(usable(group, volume.grid.plane)) < ORDERS[group]:
+        return gather_full(volume, group)
     spark = volume.voxels.sparkSession
     maps = spark.createDataFrame(index_maps(volume.grid, group), "op int, t int, s int, src int, tgt int")
     sets = maps.groupBy("op", "s", "src").agg(F.first("t").alias("t"), F.collect_list("tgt").alias("tgts"))
@@ -108,30 +202,29 @@ def gather(volume: Volume, group: str) -> DataFrame:
     return v.select("vol", *[pick(t).alias(n) for t, n in enumerate(DIMS)], "val")
 
 
-def symmetrize(volume: Volume, group: str, strategy: str | None = None) -> Volume:
+def symmetrize(volume: Volume, group: str, strategy: str | None = None, full: bool = False) -> Volume:
     """Each voxel becomes the mean of its measured equivalents, 0 if there is none.
 
     Where the axes are commensurate the equivalents are the voxel's orbit
     (strategy "orbit"): voxels and, unless the volume is dense, all grid points are summed
     by the orbit's key, within a task first, and each orbit then gives its
     members, with no sort and no join.  Else values are gathered over index maps
-    ("gather").  The result is dense.
+    ("gather").  ``full``: trigonal and hexagonal groups use all operations,
+    not only those that mix no indices.  The result is dense.
     """
-    strategy = strategy or ("orbit" if commensurate(volume.grid, group) else "gather")
+    strategy = strategy or ("orbit" if commensurate(volume.grid, group, full) else "gather")
     if strategy == "orbit":
-        key, (_, nk, nl) = orbit_key(volume.grid, group).alias("_o"), volume.grid.shape
+        key = orbit_key(volume.grid, group, full).alias("_o")
         v = volume.voxels.select("vol", key, F.nullif(F.col("val"), F.lit(0)).alias("val"))
         if not volume.meta.get("dense"):
             v = v.union(lattice(volume).select("vol", key, F.lit(None).cast(v.schema["val"].dataType)))
         means = v.groupBy("vol", "_o").agg(F.coalesce(F.avg("val"), F.lit(0.0)).alias("val"))
-        at = means.select("vol", "val", F.explode(orbit_members(volume.grid, group, F.col("_o"))).alias("_p"))
-        index = (F.floor(F.col("_p") / (nk * nl)), F.floor(F.col("_p") / nl) % nk, F.col("_p") % nl)
-        out = at.select("vol", *[i.cast("int").alias(d) for i, d in zip(index, DIMS, strict=True)], "val")
+        out = orbit_members(means, volume.grid, group, full)
     else:
-        full = densify(volume).voxels
-        means = gather(volume, group).groupBy("vol", *DIMS).agg((F.sum("val") / F.count("val")).cast("double").alias("_m"))
-        out = full.join(means, ["vol", *DIMS], "left").select("vol", *DIMS, F.coalesce("_m", F.lit(0.0)).alias("val"))
-    return volume.with_voxels(out, laue_group=group, dense=True)
+        grid_points = densify(volume).voxels
+        means = gather(volume, group, full).groupBy("vol", *DIMS).agg((F.sum("val") / F.count("val")).cast("double").alias("_m"))
+        out = grid_points.join(means, ["vol", *DIMS], "left").select("vol", *DIMS, F.coalesce("_m", F.lit(0.0)).alias("val"))
+    return volume.with_voxels(out, laue_group=group, dense=True, **({"all_operations": True} if full else {}))
 
 
 def let(value: Column, body) -> Column:
@@ -155,19 +248,20 @@ def _mend(a: Column, sigma: float) -> Column:
     return let(F.filter(a, lambda x: x.isNotNull()), lambda k: let(array_median(k), lambda m: let(spread(k, m), lambda d: mended(m, d))))
 
 
-def reject_outliers(volume: Volume, group: str, sigma: float = 3.0, n_iter: int = 1, strategy: str | None = None) -> Volume:
+def reject_outliers(volume: Volume, group: str, sigma: float = 3.0, n_iter: int = 1, strategy: str | None = None, full: bool = False) -> Volume:
     """Replace measured voxels that lie over ``sigma`` scaled MADs from the median of their equivalents by it.
 
     The result is dense and has a column ``replaced`` (how often a voxel was).
     Equivalents of a voxel are at most 48 values, so an orbit is one short
     array: with commensurate axes all rounds take a single shuffle.  Otherwise
-    each round gathers anew from the mended values.
+    each round gathers anew from the mended values.  ``full`` is that of
+    ``symmetrize``.
     """
-    strategy = strategy or ("orbit" if commensurate(volume.grid, group) else "gather")
-    full = densify(volume).voxels.withColumn("val", F.nullif(F.col("val").cast("double"), F.lit(0.0)))
+    strategy = strategy or ("orbit" if commensurate(volume.grid, group, full) else "gather")
+    points = densify(volume).voxels.withColumn("val", F.nullif(F.col("val").cast("double"), F.lit(0.0)))
     if strategy == "orbit":
         at = F.struct(*DIMS, "val")
-        o = full.withColumn("_o", orbit_key(volume.grid, group)).groupBy("vol", "_o").agg(F.collect_list(at).alias("at"))
+        o = points.withColumn("_o", orbit_key(volume.grid, group, full)).groupBy("vol", "_o").agg(F.collect_list(at).alias("at"))
         o = o.select("vol", "at", F.transform("at", lambda x: x["val"]).alias("a"), F.transform("at", lambda x: F.lit(0)).alias("r"))
         for _ in range(n_iter):
             o = o.withColumn("b", _mend(F.col("a"), sigma))
@@ -176,9 +270,9 @@ def reject_outliers(volume: Volume, group: str, sigma: float = 3.0, n_iter: int
         rows = o.select("vol", F.explode(F.arrays_zip("at", "a", "r")).alias("x"))
         out = rows.select("vol", *[F.col(f"x.at.{d}").alias(d) for d in DIMS], F.col("x.a").alias("val"), F.col("x.r").alias("replaced"))
     else:
-        out = full.withColumn("replaced", F.lit(0))
+        out = points.withColumn("replaced", F.lit(0))
         for i in range(n_iter):
-            near = gather(volume.with_voxels(out.select("vol", *DIMS, "val")), group).groupBy("vol", *DIMS).agg(F.collect_list("val").alias("e"))
+            near = gather(volume.with_voxels(out.select("vol", *DIMS, "val")), group, full).groupBy("vol", *DIMS).agg(F.collect_list("val").alias("e"))
             spread = let(array_median(F.col("e")), lambda m: F.struct(m.alias("med"), (F.lit(MAD_SCALE) * array_median(F.transform("e", lambda x: F.abs(x - m)))).alias("mad")))
             near = near.select("vol", *DIMS, spread.alias("m")).select("vol", *DIMS, "m.*")
             bad = F.coalesce((F.col("mad") > MAD_FLOOR) & (F.abs(F.col("val") - F.col("med")) > F.lit(float(sigma)) * F.col("mad")), F.lit(False))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.functions.geometry import floor_mean
@@ -65,6 +65,12 @@ def axis_table(volume: Volume) -> DataFrame:
     return volume.voxels.sparkSession.createDataFrame(rows, "dim int, idx int, coord double")
 
 
+def axis_values(spark: SparkSession, grid: Grid, dim: int, index: str, value: str) -> DataFrame:
+    """One axis as rows of its ``index`` (int) and ``value`` (double)."""
+    rows = [(i, float(x)) for i, x in enumerate(grid.axes[dim])]
+    return spark.createDataFrame(rows, f"{index} int, {value} double")
+
+
 def coordinate(grid: Grid, dim: int) -> Column:
     """The axis value at a voxel's index."""
     return F.get(F.array(*[F.lit(float(x)) for x in grid.axes[dim]]), F.col(DIMS[dim]))

@@ -10,6 +10,10 @@ from voxelmill.operators.volume import Grid, Volume, affine, densify
 EMB_GRID = Grid((affine(8, 2.0, -7.0),) * 3)
 LI_GRID = Grid((affine(50, 0.5, -12.25), affine(11, 1.0, -5.0), affine(9, 1.0, -4.0)))
 
+#: Points at whole indices, so that threefold and sixfold images of points are points; l is at half ones.
+HEX_GRID = Grid((affine(8, 1.0, -3.0), affine(8, 1.0, -3.0), affine(8, 1.0, -3.5)))
+WIDE_GRID = Grid((affine(50, 1.0, -24.0), affine(50, 1.0, -24.0), affine(11, 1.0, -5.0)))
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,6 +40,18 @@ def lineitem_voxels(spark: SparkSession, sf_dir: str) -> Volume:
     return Volume(_read(spark, sf_dir, "lineitem").groupBy(F.lit(0).cast("bigint").alias("vol"), *at).agg(F.count("*").alias("val")), LI_GRID)
 
 
+def hexagonal_voxels(spark: SparkSession, sf_dir: str) -> Volume:
+    """The embedding volumes on the points of a hexagonal lattice."""
+    v = embedding_voxels(spark, sf_dir, hot=True)
+    return Volume(v.voxels, HEX_GRID, v.meta)
+
+
+def wide_voxels(spark: SparkSession, sf_dir: str) -> Volume:
+    """Order lines counted by quantity, part and discount: 50 x 50 x 11 points of a hexagonal lattice."""
+    at = ((F.col("l_quantity").cast("int") - 1).alias("ih"), (F.col("l_partkey") % 50).cast("int").alias("ik"), F.rint(F.col("l_discount") * 100).cast("int").alias("il"))
+    return Volume(_read(spark, sf_dir, "lineitem").groupBy(F.lit(0).cast("bigint").alias("vol"), *at).agg(F.count("*").alias("val")), WIDE_GRID)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit cells, wavelengths and orientation matrices (u11..u33) from part keys."""
     k = F.col("p_partkey")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import struct
+import glob
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,29 +10,11 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions.geometry import centre, pixel_indices, pixel_scale, plane_inverse
 from voxelmill.operators.ranking import ranked
+from voxelmill.sources.codecs import HEADER_BYTES, cbf_pixels, frame_pixels
+from voxelmill.sources.frame_source import HEADER_SCHEMA, OFFSETS, UB_OFFSET, FrameSource, filesystem, frame_row, frame_schema
 from voxelmill.sources.scratch import cut
 
-HEADER_BYTES = 5120
-# Byte offsets of the header's fields.
-OFFSETS = {
-    "nx": (278, "<H"), "ny": (280, "<H"), "fixed_h": (864, "<d"), "fixed_k": (872, "<d"), "fixed_l": (880, "<d"), "x_h": (896, "<d"), "x_k": (904, "<d"),
-    "y_k": (936, "<d"), "y_l": (944, "<d"), "min_h": (960, "<d"), "min_k": (968, "<d"), "min_l": (976, "<d"), "max_h": (992, "<d"), "max_k": (1000, "<d"),
-    "max_l": (1008, "<d"), "d_min": (1024, "<d"), "wavelength": (2104, "<d"),
-}
-UB_OFFSET = 2256
-HEADER_SCHEMA = "path string, " + ", ".join(f"{n} {'int' if f == '<H' else 'double'}" for n, (_, f) in OFFSETS.items()) + ", ub array<double>"
-
-
-def parse_header(head: bytes) -> dict:
-    out = {n: struct.unpack_from(f, head, at)[0] for n, (at, f) in OFFSETS.items()}
-    return out | {"ub": list(struct.unpack_from("<9d", head, UB_OFFSET))}
-
-
-def raw_int32(content: bytes):
-    """Pixels that follow the header uncompressed."""
-    import numpy as np
-
-    return np.frombuffer(content, "<i4", offset=HEADER_BYTES)
+__all__ = ["HEADER_BYTES", "HEADER_SCHEMA", "OFFSETS", "UB_OFFSET"]
 
 
 def numbered(paths: DataFrame) -> DataFrame:
@@ -40,6 +22,7 @@ def numbered(paths: DataFrame) -> DataFrame:
 
     Adds name, prefix and file_no.  The winner is one row, joined by broadcast.
     """
+    paths = paths.drop("file_no")
     name = F.element_at(F.split("path", "/"), -1)
     rows = paths.withColumn("name", name).where(F.col("name").rlike(r"(?i)_\d+\.img$"))
     rows = rows.withColumn("prefix", F.regexp_extract("name", r"^(.*)_[^_]*$", 1)).withColumn("file_no", F.regexp_extract("name", r"(?i)_(\d+)\.img$", 1).cast("long"))
@@ -79,25 +62,44 @@ def folder_summary(scanned: DataFrame) -> DataFrame:
     return g.select("prefix", "n_files", "first_value", "last_value", ((F.col("hi") - F.col("lo")) / F.greatest(F.col("n_files") - 1, F.lit(1))).alias("l_step"))
 
 
-def read_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """Headers of a folder's frames, read once and written; only the header's bytes go to the parser."""
-    files = numbered(spark.read.format("binaryFile").option("pathGlobFilter", "*.[iI][mM][gG]").load(folder))
-    heads = _headers(files.select("path", F.substring("content", 1, HEADER_BYTES).alias("head")))
-    return cut(heads.join(files.select("path", "prefix", "file_no"), "path"))
+def read_frames(spark: SparkSession, folder: str, payload: bool = False, bin_xy: int = 1, pattern: str = "*.img", codec: Callable = frame_pixels) -> DataFrame:
+    """Rows of ``FrameSource``: with ``payload`` False the first 2,330 bytes of each file are read.
+
+    Spark reads whole files where Python has no file system for the folder.
+    """
+    try:
+        filesystem(folder)
+    except ValueError:
+        return _whole_frames(spark, folder, payload, bin_xy, pattern, codec)
+    spark.dataSource.register(type("Frames", (FrameSource,), {"codec": staticmethod(codec)}))
+    filters = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("frames").options(payload=str(payload).lower(), bin=bin_xy, pattern=pattern, filters=filters).load(folder)
 
 
-def _headers(heads: DataFrame) -> DataFrame:
-    """``heads(path, head)`` to header rows."""
+def _whole_frames(spark: SparkSession, folder: str, payload: bool, bin_xy: int, pattern: str, codec: Callable) -> DataFrame:
+    any_case = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", any_case).load(folder).select("path", "content")
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = [{"path": p} | parse_header(c) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), *[(n, pa.int32() if f == "<H" else pa.float64()) for n, (_, f) in OFFSETS.items()], ("ub", pa.list_(pa.float64()))]))
+            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist([frame_row(p, c, payload, bin_xy, codec)], schema=frame_schema(payload))
 
-    return heads.mapInArrow(run, HEADER_SCHEMA)
+    return files.mapInArrow(run, FrameSource({"payload": str(payload)}).schema())
+
+
+def read_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Headers of the frames of a folder's most frequent prefix, written; only the header's bytes are read.
+
+    ValueError where one of these files is too short for a header.
+    """
+    heads = cut(numbered(read_frames(spark, folder)))
+    bad = heads.where("nx is null").agg(F.min("path")).first()[0]
+    if bad:
+        raise ValueError(f"{bad} is too short for a header")
+    return heads
 
 
 def layer_geometry(headers: DataFrame, override: Column | None = None) -> DataFrame:
@@ -128,49 +130,54 @@ def layer_pixels(layers: DataFrame) -> DataFrame:
     return at.select("path", "row", "col", one.alias("idx1"), two.alias("idx2"), "val")
 
 
-def read_layers(spark: SparkSession, path: str, ub: list[float] | None = None, codec: Callable = raw_int32) -> DataFrame:
-    """Layers (a file or a glob) with geometry and pixels in ``payload``, by the given orientation matrix if there is one."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    heads = _headers(files.select("path", F.substring("content", 1, HEADER_BYTES).alias("head")))
-    layers = layer_geometry(heads, F.array(*map(F.lit, ub)) if ub else None)
-    return layers.join(_payloads(files, codec), "path")
-
-
-def _payloads(files: DataFrame, codec: Callable, shapes: bool = False, bin_xy: int = 1) -> DataFrame:
-    """``files(path, content)``, with ``shapes`` also nx and ny, to (path, payload); block means (floor) of bin_xy pixels each way."""
+def read_layers(spark: SparkSession, path: str, ub: list[float] | None = None, codec: Callable = frame_pixels) -> DataFrame:
+    """Layers (a file or a glob in a folder) with geometry and pixels in ``payload``, by the given orientation matrix if there is one."""
+    folder, _, pattern = path.rpartition("/")
+    return layer_geometry(read_frames(spark, folder or ".", True, pattern=pattern, codec=codec), F.array(*map(F.lit, ub)) if ub else None)
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        for b in batches:
-            for i, (p, c) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                x = np.asarray(codec(c), np.int32).ravel()
-                if shapes:
-                    nx, ny = b.column(2)[i].as_py(), b.column(3)[i].as_py()
-                    x = x.reshape(ny, nx)[: ny // bin_xy * bin_xy, : nx // bin_xy * bin_xy]
-                    if bin_xy > 1:
-                        blocks = x.reshape(ny // bin_xy, bin_xy, nx // bin_xy, bin_xy).sum(axis=(1, 3), dtype=np.int64)
-                        x = (blocks // bin_xy**2).astype(np.int32)
-                    x = x.ravel()
-                values = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.string()), values], names=["path", "payload"])
-
-    return files.mapInArrow(run, "path string, payload array<int>")
-
-
-def load_voxels(spark: SparkSession, folder: str, codec: Callable = raw_int32, vol: int = 0, bin_xy: int = 1) -> DataFrame:
+def load_voxels(spark: SparkSession, folder: str, codec: Callable = frame_pixels, vol: int = 0, bin_xy: int = 1, scanned: DataFrame | None = None) -> DataFrame:
     """A folder's pixels as voxels: layers by fixed value, ih along a frame's rows, ik across them.
 
-    With ``bin_xy`` frames are binned where they are decoded, so that full
-    resolution never becomes rows.  Raises ValueError for a folder without
-    frames.  Frames of another size than their header says fail.
+    Each frame is opened once for its pixels, which are binned where they are
+    decoded, so that full resolution never becomes rows.  ``scanned``: the
+    frames in scan order, if headers were read before; there is one row a layer
+    of the grid, which the driver holds as an axis, so they are broadcast.
+    Raises ValueError for a folder without frames.  Frames of another size than
+    their header says fail.
     """
-    scanned = scan_order(read_headers(spark, folder)).select("path", "layer_idx", "nx", "ny")
-    if scanned.limit(1).count() == 0:
+    scanned = scan_order(read_headers(spark, folder)) if scanned is None else scanned
+    first = scanned.select("prefix").first()
+    if first is None:
         raise ValueError(f"no numbered frames in {folder}")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[iI][mM][gG]").load(folder).select("path", "content")
-    frames = _payloads(files.join(scanned, "path").select("path", "content", "nx", "ny"), codec, True, bin_xy).join(scanned, "path")
+    frames = read_frames(spark, folder, True, bin_xy, glob.escape(first.prefix) + "_*.img", codec)
+    frames = frames.select("path", "nx", "payload").join(F.broadcast(scanned.select("path", "layer_idx")), "path")
     width = F.floor(F.col("nx") / bin_xy)
     pixels = frames.select("layer_idx", width.alias("nx"), F.posexplode("payload").alias("pos", "val"))
     return pixels.select(F.lit(vol).cast("long").alias("vol"), (F.col("pos") % F.col("nx")).cast("int").alias("ih"), F.floor(F.col("pos") / F.col("nx")).cast("int").alias("ik"), F.col("layer_idx").alias("il"), "val")
+
+
+def read_cbf(spark: SparkSession, path: str) -> DataFrame:
+    """CBF frames (a file or a glob) as ``(path, nx, ny, payload)``, pixels as doubles; ValueError for a damaged file."""
+    return cbf_frames(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def cbf_frames(files: DataFrame) -> DataFrame:
+    """``files(path, content)`` of CBF frames as ``(path, nx, ny, payload)``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = pa.schema([("path", pa.string()), ("nx", pa.int32()), ("ny", pa.int32()), ("payload", pa.list_(pa.float64()))])
+        for b in batches:
+            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = cbf_pixels(c)
+                yield pa.RecordBatch.from_pylist([{"path": p, "nx": x.shape[1], "ny": x.shape[0], "payload": x.ravel().astype(float)}], schema=kinds)
+
+    return files.mapInArrow(run, "path string, nx int, ny int, payload array<double>")
+
+
+def frame_image(frames: DataFrame) -> DataFrame:
+    """Frames with nx and ``payload`` to pixels by their own axes: (path, row, col, val)."""
+    at = frames.select("path", "nx", F.posexplode("payload").alias("pos", "val"))
+    return at.select("path", F.floor(F.col("pos") / F.col("nx")).cast("int").alias("row"), (F.col("pos") % F.col("nx")).cast("int").alias("col"), "val")
