@@ -152,8 +152,8 @@ def test_signatures_estimate_the_similarity():
     half = minhash.PERMUTATIONS
     assert [int(v) for v in a[:2]] == [min((int(h) ^ m) * f % 2**64 for h in x) for m, f in pairs]
     assert [int(v) for v in a[half : half + 2]] == [max((int(h) ^ m) * f % 2**64 for h in x) for m, f in pairs]
-    differ = sum(int(p ^ q).bit_count() for p, q in zip(minhash.sketch(a), minhash.sketch(b), strict=True))
-    assert differ <= minhash.allowed_bits(0.8) < 40 and len(minhash.bands(a)) == 2 * half // minhash.ROWS
+    differ = sum((int(p ^ q) % 2**64).bit_count() for p, q in zip(minhash.sketch(a), minhash.sketch(b), strict=True))
+    assert differ <= minhash.allowed_bits(0.8) < 80 and len(minhash.bands(a)) == 2 * half // minhash.ROWS
 
 
 # --- periodic runs --------------------------------------------------------------------------

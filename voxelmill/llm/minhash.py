@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.llm.common import materialise, slices, text_of
@@ -14,8 +14,11 @@ from voxelmill.llm.simhash import _few, _lists, _texts, shingle_hashes
 #: Permutations, each giving a minimum and a maximum, and values to a band.  Two sets of similarity 0.8 share none of the
 #: 2 * 80 / 4 = 40 bands with a chance of (1 - 0.8^4)^40 < 1e-9.
 PERMUTATIONS, ROWS = 80, 4
-#: One-bit hashes of the 160 values, in longs of 32 bits: sketches whose equal bits estimate the similarity.
-SKETCH = 2 * PERMUTATIONS // 32
+#: Two-bit hashes of the 160 values, in longs: sketches whose equal bits estimate the similarity.
+BITS, SKETCH = 2, 2 * 2 * PERMUTATIONS // 64
+#: Longs of a set's parity bits: bit h mod 1024 flips with each entry h, so two sets differ in at least as many entries as
+#: their parities differ in bits.
+PARITY = 16
 #: A sketch may differ from that of a set with the wanted similarity by its expectation and this many standard errors.
 ERRORS = 6
 #: Texts of one bucket that take one part of it on one side.
@@ -57,21 +60,35 @@ def bands(values):
 
 
 def sketch(values):
-    """A bit of a hash of every value, 32 to a long."""
+    """BITS bits of a hash of every value, 64 to a long."""
     import numpy as np
 
-    bit = ((values * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.uint8).reshape(SKETCH, 32)
-    return np.packbits(bit, axis=1, bitorder="little").view(np.uint32).ravel().astype(np.int64)
+    h = values * np.uint64(0xD6E8FEB86659FD93)
+    bit = np.stack([(h >> np.uint64(63 - k)) & np.uint64(1) for k in range(BITS)]).astype(np.uint8)
+    return np.packbits(bit.reshape(SKETCH, 64), axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def parity(h):
+    """For each of 64 * PARITY places whether an odd number of the hashes falls there."""
+    import numpy as np
+
+    odd = (np.bincount((h & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
 
 
 def allowed_bits(similarity: float) -> int:
-    """Bits in which the sketches of two sets of at least that similarity may differ, up to ERRORS standard errors."""
-    n, p = 2 * PERMUTATIONS, (1 - similarity) / 2
-    return int(n * p + ERRORS * (n * p * (1 - p)) ** 0.5) + 1
+    """Bits in which the sketches of two sets of at least that similarity may differ, up to ERRORS standard errors.
+
+    Each of n values differs with chance 1 - similarity, and then each of its
+    bits with one half.
+    """
+    n, q = 2 * PERMUTATIONS, 1 - similarity
+    mean, var = n * q * BITS / 2, n * (q * BITS / 4 + q * (1 - q) * BITS**2 / 4)
+    return int(mean + ERRORS * var**0.5) + 1
 
 
 def signatures(docs: DataFrame, ngram: int) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, th, sid, n_shingles, bands, sketch)``; digests of the text and of the set, the latter null for an empty one."""
+    """``docs(doc_id, text)`` to ``(doc_id, th, sid, n_shingles, bands, sketch)``, minima's and maxima's sketch and parity in one array; digests of the text and of the set, the latter null for an empty one."""
 
     def run(batches):
         import numpy as np
@@ -88,7 +105,7 @@ def signatures(docs: DataFrame, ngram: int) -> DataFrame:
                 pa.array([xxhash.xxh3_128_hexdigest(h.tobytes()) if len(h) else None for h in sets], pa.string()),
                 pa.array([len(h) for h in sets], pa.int64()),
                 _lists([none if v is None else bands(v) for v in values]),
-                _lists([none if v is None else sketch(v) for v in values]),
+                _lists([none if v is None else np.concatenate([sketch(v), parity(h)]) for v, h in zip(values, sets, strict=True)]),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "sid", "n_shingles", "bands", "sketch"])
 
@@ -142,31 +159,42 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return named.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
 
 
-def _pairs_apart(buckets: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of different classes that share a bucket, by sizes as close as the similarity needs.
+def _bits(first: int, last: int) -> Column:
+    """Bits in which the longs s{first} to s{last - 1} of two rows, suffixed a and b, differ."""
+    return reduce(lambda p, q: p + q, [F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(first, last)])
+
+
+def _close(similarity: float) -> Column:
+    """Whether rows with m and sketch columns, suffixed a and b, may reach the similarity.
 
-    One class of a bucket, that of its lowest node, is met by the others only
-    and not by itself; the others are dealt in parts of about SALT, and each
-    part meets the whole bucket.
+    By sizes, by sketches up to their error, and by parities: sets of that
+    similarity differ in at most (1 - s) / (1 + s) of all their entries.
     """
-    named = buckets.join(_few(comp), "node", "left").select("band", "key", "node", "m", F.coalesce("component", "node").alias("c"))
-    mixed = named.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by("c", "node").alias("main")).where("c0 <> c1").select("band", "key", "main")
-    named = materialise(named.join(mixed, ["band", "key"]))
+    alike = F.least("ma", "mb") >= F.lit(similarity) * F.greatest("ma", "mb") - 1e-6
+    few = _bits(SKETCH, SKETCH + PARITY) <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("ma") + F.col("mb")) + 1e-6
+    return alike & (_bits(0, SKETCH) <= allowed_bits(similarity)) & few
+
+
+def _pairs_apart(buckets: DataFrame, nodes: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, d)``: pairs of different classes that share a bucket and may reach the similarity, and their differing bits.
+
+    One class of a bucket, that of its centre, is met by the others only and
+    not by itself; the others are dealt in parts of about SALT, and each part
+    meets the whole bucket.  Sizes, sketches and parities are tried within the join.
+    """
+    named = buckets.join(_few(comp), "node", "left").select("band", "key", "node", "centre", F.coalesce("component", "node").alias("c"))
+    mixed = named.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.when(F.col("node") == F.col("centre"), F.col("c"))).alias("main")).where("c0 <> c1").select("band", "key", "main")
+    sketches = nodes.select("node", "m", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH + PARITY)])
+    named = materialise(named.drop("centre").join(mixed, ["band", "key"]).join(sketches, "node"))
     parts = named.where("c <> main").groupBy("band", "key").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts")).where("parts > 1")
     named = named.join(_few(materialise(parts)), ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    side = lambda df, x: df.select("band", "key", "salt", *[F.col(k).alias(f"{k}{x}") for k in ("node", "m", "c")], *(["main"] if x == "b" else []))
+    side = lambda df, x: df.select("band", "key", "salt", *[F.col(k).alias(f"{k}{x}") for k in ("node", "m", "c", *[f"s{i}" for i in range(SKETCH + PARITY)])], *(["main"] if x == "b" else []))
     left = side(named.where("c <> main").withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")), "a")
     right = side(named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b")
-    alike = F.least("ma", "mb") >= F.lit(similarity) * F.greatest("ma", "mb") - 1e-6
-    met = left.join(right, ["band", "key", "salt"]).where("ca <> cb and (cb = main or nodea < nodeb)").where(alike)
-    return met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
-
-
-def _sketches_allow(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b, d)``: the pairs whose sketches differ in no more bits than the similarity allows, and how many those are."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
-    d = reduce(lambda p, q: p + q, [F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH)])
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", d.alias("d")).where(F.col("d") <= allowed_bits(similarity))
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("nodea") < F.col("nodeb")))
+    same = reduce(lambda p, q: p & q, [left[k] == right[k] for k in ("band", "key", "salt")])
+    met = left.join(right, same & apart & _close(similarity))
+    return met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"), _bits(0, SKETCH).alias("d")).distinct()
 
 
 def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -174,10 +202,11 @@ def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) ->
 
     Equal sets are one node.  Each permutation gives two signature values, its
     minimum and its maximum; nodes with an equal band of values share a bucket.
-    First each node is verified against one centre, the lowest node of a bucket,
-    taken from the bucket that most of its bands agree on; then every pair of
-    different classes in every bucket, filtered by set sizes and by the bits of
-    the sketches: first the closest pair of each two classes, then those still
+    First each node is verified against one centre, that of most of its buckets;
+    a bucket's centre is the node that meets most others in all its own buckets,
+    in a group of edited copies the original.  Then every pair of different
+    classes in every bucket is tried, filtered by set sizes, sketches and parities:
+    first the closest pair of each two classes, then those still
     apart.  The full sets decide every link.
 
     A text of fewer than n words is one shingle.  Null texts and texts without
@@ -190,14 +219,18 @@ def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) ->
     found = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("low"), F.first("n_shingles").alias("m"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     found = found.select("sid", F.col("low.doc_id").alias("low"), F.col("low.th").alias("th"), "m", "bands", "sketch")
     nodes = materialise(found.withColumn("node", F.monotonically_increasing_id()))
-    dealt = nodes.select("node", "m", F.posexplode("bands").alias("band", "key"))
-    shared = dealt.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
-    buckets = materialise(dealt.join(shared, ["band", "key"]))
+    dealt = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialise(dealt.join(shared, ["band", "key"]))
+    meets = materialise(met.groupBy("node").agg(F.sum("n").alias("meets")))
+    met = met.join(_few(meets), "node")
+    centres = met.groupBy("band", "key").agg(F.max_by("node", F.struct("meets", "node")).alias("centre"))
+    buckets = materialise(met.join(centres, ["band", "key"]))
 
     nearest = buckets.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("b"))
     links = _similar(docs, nodes, materialise(nearest.select(F.col("node").alias("a"), "b")), ngram, similarity)
     comp = materialise(components(links))
-    near = materialise(_sketches_allow(materialise(_pairs_apart(buckets, comp, similarity)), nodes, similarity))
+    near = materialise(_pairs_apart(buckets, nodes, comp, similarity))
     best = _apart(near, comp).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("p"))
     best = materialise(best.select("p.a", "p.b"))
     if not best.isEmpty():
