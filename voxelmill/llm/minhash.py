@@ -180,21 +180,24 @@ def _pairs_apart(buckets: DataFrame, nodes: DataFrame, comp: DataFrame, similari
 
     One class of a bucket, that of its centre, is met by the others only and
     not by itself; the others are dealt in parts of about SALT, and each part
-    meets the whole bucket.  Sizes, sketches and parities are tried within the join.
+    meets the whole bucket.  Sizes, sketches and parities are tried within the join,
+    and a pair stays in the first of its buckets only.
     """
     named = buckets.join(_few(comp), "node", "left").select("band", "key", "node", "centre", F.coalesce("component", "node").alias("c"))
     mixed = named.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.when(F.col("node") == F.col("centre"), F.col("c"))).alias("main")).where("c0 <> c1").select("band", "key", "main")
-    sketches = nodes.select("node", "m", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH + PARITY)])
+    sketches = nodes.select("node", "m", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH + PARITY)])
     named = materialise(named.drop("centre").join(mixed, ["band", "key"]).join(sketches, "node"))
     parts = named.where("c <> main").groupBy("band", "key").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts")).where("parts > 1")
     named = named.join(_few(materialise(parts)), ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    side = lambda df, x: df.select("band", "key", "salt", *[F.col(k).alias(f"{k}{x}") for k in ("node", "m", "c", *[f"s{i}" for i in range(SKETCH + PARITY)])], *(["main"] if x == "b" else []))
+    side = lambda df, x: df.select("band", "key", "salt", *[F.col(k).alias(f"{k}{x}") for k in ("node", "m", "c", "bands", *[f"s{i}" for i in range(SKETCH + PARITY)])], *(["main"] if x == "b" else []))
     left = side(named.where("c <> main").withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")), "a")
     right = side(named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b")
     apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("nodea") < F.col("nodeb")))
     same = reduce(lambda p, q: p & q, [left[k] == right[k] for k in ("band", "key", "salt")])
-    met = left.join(right, same & apart & _close(similarity))
-    return met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"), _bits(0, SKETCH).alias("d")).distinct()
+    before = [F.slice(f"bands{x}", F.lit(1), left["band"]) for x in "ab"]
+    again = F.exists(F.zip_with(*before, lambda x, y: x == y), lambda x: x)  # the pair has met in an earlier band
+    met = left.join(right, same & apart & _close(similarity) & ~again)
+    return met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"), _bits(0, SKETCH).alias("d"))
 
 
 def similar_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
