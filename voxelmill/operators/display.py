@@ -77,7 +77,7 @@ def isosurface(volume: Volume, isovalues: Sequence[float] | None = None, ranges:
     v = crop(volume, ranges or {})
     if isovalues is None:
         vols = v.voxels.select("vol").distinct()
-        iso = vols.join(surface.default_iso(v.voxels), "vol", "left").select("vol", F.coalesce("iso", F.lit(1.0)).alias("iso"))
+        iso = vols.join(surface.default_iso(v), "vol", "left").select("vol", F.coalesce("iso", F.lit(1.0)).alias("iso"))
     else:
         levels = F.array(*[F.lit(float(i)) for i in isovalues])
         iso = v.voxels.select("vol").distinct().select("vol", F.explode(levels).alias("iso"))

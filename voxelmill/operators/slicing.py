@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.functions.geometry import PLANES
-from voxelmill.operators.ranking import percentiles
+from voxelmill.operators.ranking import largest, percentiles
 from voxelmill.operators.volume import DIMS, Volume, positives
 
 #: Stored dimension that each view keeps fixed.
@@ -32,7 +32,9 @@ def native_slice(volume: Volume, target: float, width: float = 0.0) -> tuple[Dat
     The layers become a filter on il, which reaches a Parquet scan.
     """
     idx = volume.grid.window(2, target, width)
-    rows = volume.voxels.where(F.col("il").isin(idx) if len(idx) < 64 else F.col("il").between(idx[0], idx[-1]))
+    rows = volume.within({2: (idx[0], idx[-1])})
+    if idx != list(range(idx[0], idx[-1] + 1)):
+        rows = rows.where(F.col("il").isin(idx))
     out = rows.groupBy("vol", F.col("ik").alias("row"), F.col("ih").alias("col")).agg(F.sum("val").alias("val"))
     return out, {"actual": volume.grid.axes[2][idx[len(idx) // 2]], "n_slices": len(idx)}
 
@@ -88,12 +90,12 @@ def oblique_slab(volume: Volume, view: str, target: float, width: float = 0.0) -
         w = w + weight(tv)
     # only neighbouring layers: a range that reaches the scan, for KL then row by row
     ends = [place(tv, k) for tv in values for k in ((0, grid.shape[1] - 1) if dim == 0 else (0,))]
-    near = F.col(DIMS[dim]).between(math.floor(min(ends)), math.ceil(max(ends)))
+    near = F.lit(True)
     if dim == 0 and cross:
         mine = [F.greatest(F.lit(0.0), F.least(F.lit(float(last)), (F.lit(tv) - F.lit(cross) * (F.col("ik") + 1 - F.lit(cy)) - F.lit(start)) / F.lit(step))) for tv in values]
         near = near & (F.least(*[F.abs(F.col("ih") - m) for m in mine]) < 1 if len(mine) > 1 else F.abs(F.col("ih") - mine[0]) < 1)
     x, y = ("ik", "il") if dim == 0 else ("ih", "il")
-    slab = volume.voxels.where(near).groupBy("vol", F.col(x).alias("ix"), F.col(y).alias("iy")).agg(F.sum(F.col("val") * w).alias("val"))
+    slab = volume.within({dim: (math.floor(min(ends)), math.ceil(max(ends)))}).where(near).groupBy("vol", F.col(x).alias("ix"), F.col(y).alias("iy")).agg(F.sum(F.col("val") * w).alias("val"))
     shift = 0.0
     if dim == 1:
         shift = cross * ((sum(values) / len(values) - start) / step + 1 - cy)
@@ -154,9 +156,7 @@ def sample_count(start: tuple[float, float], end: tuple[float, float], pixel: fl
 
 def axis_profile(volume: Volume, along: int, at: dict[int, float]) -> DataFrame:
     """Values along a stored dimension at the nearest points of the other two: (vol, idx, val)."""
-    v = volume.voxels
-    for d, value in at.items():
-        v = v.where(F.col(DIMS[d]) == volume.grid.nearest(d, value))
+    v = volume.within({d: (i, i) for d, value in at.items() for i in [volume.grid.nearest(d, value)]})
     return v.select("vol", F.col(DIMS[along]).alias("idx"), "val")
 
 
@@ -170,12 +170,14 @@ def montage(volume: Volume, targets: list[float], share: float = 0.99) -> DataFr
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, ts in by_layer.items() for t in ts])
     v = volume.voxels.where(F.col("il").isin(list(by_layer)))
     v = v.select("vol", F.explode(F.filter(pairs, lambda p: p["i"] == F.col("il"))).alias("p"), "ik", "ih", "val").select("vol", F.col("p.t").alias("target"), F.col("ik").alias("row"), F.col("ih").alias("col"), "val")
-    top = percentiles(positives(v, "target"), ["vol", "target"], [share]).select("vol", "target", F.col("p")[0].alias("vmax"))
+    layer = volume.grid.shape[0] * volume.grid.shape[1]
+    top = percentiles(positives(v, "target"), ["vol", "target"], [share], size=layer).select("vol", "target", F.col("p")[0].alias("vmax"))
     return v.join(top, ["vol", "target"], "left")
 
 
-def auto_range(image: DataFrame) -> DataFrame:
-    """Display limits of each image: 1st percentile of its positives (0 if none) and 99.5th of all."""
-    low = percentiles(positives(image), ["vol"], [0.01]).select("vol", F.col("p")[0].alias("vmin"))
-    high = percentiles(image.select("vol", F.col("val").alias("x")), ["vol"], [0.995]).select("vol", F.col("p")[0].alias("vmax"))
+def auto_range(image: DataFrame, pixels: int | None = None) -> DataFrame:
+    """Display limits of each image: 1st percentile of its positives (0 if none) and 99.5th of all; ``pixels`` of an image, if known."""
+    size = largest(image, ["vol"]) if pixels is None else pixels
+    low = percentiles(positives(image), ["vol"], [0.01], size=size).select("vol", F.col("p")[0].alias("vmin"))
+    high = percentiles(image.select("vol", F.col("val").alias("x")), ["vol"], [0.995], size=size).select("vol", F.col("p")[0].alias("vmax"))
     return high.join(low, "vol", "left").select("vol", F.coalesce("vmin", F.lit(0.0)).alias("vmin"), "vmax")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.functions.laue import ORDERS, STORED, stored_operations, times, usable
-from voxelmill.operators.ranking import largest, percentiles
+from voxelmill.operators.ranking import percentiles
 from voxelmill.operators.volume import DIMS, Grid, Volume, axis_values, densify, lattice
 from voxelmill.sources.scratch import cut
 
@@ -289,7 +289,7 @@ def outlier_stats(volume: Volume, group: str) -> DataFrame:
     raw = densify(volume).voxels
     r = raw.join(sym, ["vol", *DIMS]).select("vol", (F.coalesce("val", F.lit(0)) - F.col("sym")).alias("r")).where("r <> 0")
     r = cut(r)
-    size = largest(r, ["vol"])
+    size = volume.grid.points
     middle = lambda x, name: percentiles(r.select("vol", x.alias("x")), ["vol"], [0.5], size=size).select("vol", F.col("p")[0].alias(name))
     centre = middle(F.col("r"), "median")
     r = r.join(centre, "vol")

@@ -29,6 +29,10 @@ class Grid:
     def shape(self) -> tuple[int, int, int]:
         return tuple(map(len, self.axes))
 
+    @property
+    def points(self) -> int:
+        return len(self.axes[0]) * len(self.axes[1]) * len(self.axes[2])
+
     def step(self, dim: int) -> float:
         a = self.axes[dim]
         return a[1] - a[0] if len(a) > 1 else 1.0
@@ -51,12 +55,60 @@ def affine(n: int, step: float, start: float) -> tuple[float, ...]:
 
 @dataclass(frozen=True)
 class Volume:
+    """``bricks``, if there, holds the same voxels as arrays of small boxes (``to_bricks``)."""
+
     voxels: DataFrame
     grid: Grid
     meta: dict = field(default_factory=dict)
+    bricks: DataFrame | None = None
 
     def with_voxels(self, voxels: DataFrame, **meta) -> Volume:
-        return replace(self, voxels=voxels, meta=self.meta | meta)
+        return replace(self, voxels=voxels, meta=self.meta | meta, bricks=None)
+
+    def within(self, ranges: dict[int, tuple[int, int]]) -> DataFrame:
+        """Voxels whose indices lie in inclusive ranges by dimension; of bricks only those that meet the ranges are opened."""
+        rows = self.voxels
+        if self.bricks is not None:
+            near = self.bricks
+            for d, (first, last) in ranges.items():
+                near = near.where((F.col(f"{BOX[d]}0") <= last) & (F.col(f"{BOX[d]}1") >= first))
+            rows = from_bricks(near)
+        for d, (first, last) in ranges.items():
+            rows = rows.where(F.col(DIMS[d]).between(first, last))
+        return rows
+
+
+#: Names of a brick's place and of its first and last index, by dimension: bh, h0, h1 and so on.
+BOX = ("h", "k", "l")
+#: Points along a brick's edges: at most 4,096 values in a row.
+EDGE = 16
+
+
+def to_bricks(volume: Volume, edge: int = EDGE) -> DataFrame:
+    """Voxels as rows of boxes: (vol, edge, bh, bk, bl, h0, h1, k0, k1, l0, l1, z, pos, val).
+
+    The first and last index of the voxels that a brick has are its ranges.
+    ``z`` interleaves the bits of its place, so that bricks near in space are
+    near in order; ``pos`` are packed places within the brick, rising.
+    """
+    place = [F.floor(F.col(d) / edge).cast("int") for d in DIMS]
+    offset = [F.col(d) % edge for d in DIMS]
+    rows = volume.voxels.select("vol", *[p.alias(f"b{b}") for p, b in zip(place, BOX, strict=True)], *DIMS, ((offset[0] * edge + offset[1]) * edge + offset[2]).cast("int").alias("pos"), "val")
+    ends = [f(d).alias(f"{b}{i}") for d, b in zip(DIMS, BOX, strict=True) for i, f in enumerate((F.min, F.max))]
+    out = rows.groupBy("vol", "bh", "bk", "bl").agg(*ends, F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("v"))
+    z = F.lit(0).cast("long")
+    for bit in range(max(1, (max(volume.grid.shape) // edge).bit_length())):
+        for d, b in enumerate(BOX):
+            z = z.bitwiseOR(F.shiftleft(F.shiftright(F.col(f"b{b}"), bit).bitwiseAND(F.lit(1)).cast("long"), 3 * bit + 2 - d))
+    return out.select("vol", F.lit(edge).alias("edge"), "bh", "bk", "bl", *[f"{b}{i}" for b in BOX for i in (0, 1)], z.alias("z"), F.col("v.pos").alias("pos"), F.col("v.val").alias("val"))
+
+
+def from_bricks(bricks: DataFrame) -> DataFrame:
+    """Bricks back to voxels: (vol, ih, ik, il, val)."""
+    each = bricks.select("vol", "edge", "bh", "bk", "bl", F.explode(F.arrays_zip("pos", "val")).alias("v")).select("vol", "edge", "bh", "bk", "bl", "v.pos", "v.val")
+    e, pos = F.col("edge"), F.col("pos")
+    within = (F.floor(pos / (e * e)), F.floor(pos / e) % e, pos % e)
+    return each.select("vol", *[(F.col(f"b{b}") * e + w).cast("int").alias(d) for b, w, d in zip(BOX, within, DIMS, strict=True)], "val")
 
 
 def axis_table(volume: Volume) -> DataFrame:
@@ -71,9 +123,12 @@ def axis_values(spark: SparkSession, grid: Grid, dim: int, index: str, value: st
     return spark.createDataFrame(rows, f"{index} int, {value} double")
 
 
-def coordinate(grid: Grid, dim: int) -> Column:
-    """The axis value at a voxel's index."""
-    return F.get(F.array(*[F.lit(float(x)) for x in grid.axes[dim]]), F.col(DIMS[dim]))
+def coordinate(grid: Grid, dim: int, at: Column | None = None) -> Column:
+    """The axis value at a voxel's index, or at ``at``: start and step of an even axis, else its values."""
+    a, step, at = grid.axes[dim], grid.step(dim), F.col(DIMS[dim]) if at is None else at
+    if all(abs(x - (a[0] + step * i)) <= 1e-12 * max(abs(x), abs(step)) for i, x in enumerate(a)):
+        return F.lit(float(a[0])) + F.lit(float(step)) * at
+    return F.get(F.array(*[F.lit(float(x)) for x in a]), at)
 
 
 def lattice(volume: Volume) -> DataFrame:
@@ -149,12 +204,12 @@ def bin_volume(volume: Volume, bh: int, bk: int, bl: int) -> Volume:
 
 def crop(volume: Volume, ranges: dict[int, tuple[float, float]]) -> Volume:
     """Voxels with axis values inside inclusive ranges by dimension; indices start anew.  Filters reach the scan."""
-    axes, v = list(volume.grid.axes), volume.voxels
+    axes, ends = list(volume.grid.axes), {}
     for d, (lo, hi) in ranges.items():
         inside = [i for i, x in enumerate(axes[d]) if lo <= x <= hi]
         axes[d] = tuple(axes[d][i] for i in inside)
-        first, last = (inside[0], inside[-1]) if inside else (0, -1)
-        v = v.where(F.col(DIMS[d]).between(first, last)).withColumn(DIMS[d], F.col(DIMS[d]) - F.lit(first))
+        ends[d] = (inside[0], inside[-1]) if inside else (0, -1)
+    v = volume.within(ends).withColumns({DIMS[d]: F.col(DIMS[d]) - F.lit(first) for d, (first, _) in ends.items()}) if ends else volume.voxels
     return Volume(v, Grid(tuple(axes), volume.grid.plane), volume.meta)
 
 
@@ -179,9 +234,9 @@ def positives(voxels: DataFrame, *group: str) -> DataFrame:
     return voxels.where("val > 0").select("vol", *group, F.col("val").alias("x"))
 
 
-def positive_percentiles(voxels: DataFrame, shares: list[float]) -> DataFrame:
+def positive_percentiles(volume: Volume, shares: list[float]) -> DataFrame:
     """Exact percentiles (linear interpolation) of the positive values of each volume, one column each."""
-    p = percentiles(positives(voxels), ["vol"], shares)
+    p = percentiles(positives(volume.voxels), ["vol"], shares, size=volume.grid.points)
     return p.select("vol", *[F.col("p")[i].alias("p" + f"{100 * s:g}".replace(".", "_")) for i, s in enumerate(shares)])
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of spark.checkpoint.dir; a local one only where that is unset and Spark runs locally."""
+    """Written to the folder of spark.checkpoint.dir and read back, computed once; a local folder only where that is unset and Spark runs locally."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         if not spark.sparkContext.master.startswith("local["):
@@ -16,4 +17,6 @@ def cut(df: DataFrame) -> DataFrame:
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/voxelmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
