@@ -511,3 +511,20 @@ def test_quotes_of_repeated_lines(spark):
     docs = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.turn): (r.reply_to, r.branch_turn, r.n_linked) for r in quotes.link_quotes(docs).collect()}
     assert (got[1, 3], got[2, 3], got[2, 4]) == ((2, 2, 2), (2, 2, 1), (0, 0, 3))
+
+
+def test_repeated_words_do_not_multiply_seeds():
+    """An item of one word against texts of that word: time and memory follow the text."""
+    import tracemalloc
+
+    item = " ".join(["w"] * 400)
+    index = decontamination.build_index([(1, item)])
+    assert decontamination.leaks_in(["w".encode()] * 2000, index)[0][:2] == (1, 1.0)
+    words = [b"w"] * 1_000_000
+    tracemalloc.start()
+    started = time.process_time()
+    found = decontamination.leaks_in(words, index)
+    took, peak = time.process_time() - started, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0][:2] == (1, 1.0) and found[0][4] == 397 * 999_997
+    assert took < 120 and peak < 600e6, (took, peak)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
@@ -27,23 +28,25 @@ def tokens(text: str) -> list[bytes]:
 
 
 def build_index(items: list[tuple[int, str]]) -> dict:
-    """Word ids, for each n-gram key its places (item, position), and the lengths of keys (a short item is one key)."""
+    """Word ids, for each n-gram key the items that have it with their first and last place and number of places, and the lengths of keys (a short item is one key)."""
     ids: dict[bytes, int] = {}
     seqs = {}
     for item, text in items:
         seqs[item] = [ids.setdefault(w, len(ids)) for w in tokens(text)]
-    places = defaultdict(list)
+    places = defaultdict(dict)
     for item, s in seqs.items():
         n = min(NGRAM, len(s))
         for i in range(len(s) - n + 1 if s else 0):
-            places[tuple(s[i : i + n])].append((item, i))
+            mine = places[tuple(s[i : i + n])]
+            first, _, times = mine.get(item, (i, i, 0))
+            mine[item] = (first, i, times + 1)
     return {"sizes": sorted({len(k) for k in places}), "ids": ids, "seqs": {k: v for k, v in seqs.items() if v}, "bags": {k: Counter(v) for k, v in seqs.items() if v}, "places": dict(places)}
 
 
-def hits(a, index) -> list[tuple[int, tuple]]:
-    """(position, key) of the n-grams of a document's word ids that are in an item."""
+def hits(a, index):
+    """(position, key) of each n-gram of a document's word ids that is in an item, one after the other."""
     wanted, sizes = index["places"], index["sizes"]
-    out, run = [], 0
+    run = 0
     for i, x in enumerate(a):
         run = run + 1 if x >= 0 else 0
         for n in sizes:
@@ -51,8 +54,7 @@ def hits(a, index) -> list[tuple[int, tuple]]:
                 break
             key = tuple(a[i - n + 1 : i + 1])
             if key in wanted:
-                out.append((i - n + 1, key))
-    return out
+                yield i - n + 1, key
 
 
 def align(item, window):
@@ -95,18 +97,24 @@ def leaks_in(words, index, min_score=MIN_SCORE):
 
     Every n-gram of an item is a seed, however many documents have it.  Items
     and passages whose words cannot reach the score are not aligned (exact).
+    An n-gram that an item repeats stands for all diagonals from its last to
+    its first place, so that memory and time grow with the document's seeds,
+    not with their product with the item's places.
     """
     get = index["ids"].get
     a = [get(w, -1) for w in words]
-    by_item = defaultdict(list)
+    by_item, seeds = defaultdict(lambda: (array("q"), array("q"))), Counter()
     for at, key in hits(a, index):
-        for item, pos in index["places"][key]:
-            by_item[item].append(at - pos)
+        for item, (first, last, times) in index["places"][key].items():
+            lows, highs = by_item[item]
+            lows.append(at - last)
+            highs.append(at - first)
+            seeds[item] += times
     out = []
     if not by_item:
         return out
     bag = Counter(a)
-    for item, diagonals in by_item.items():
+    for item, (lows, highs) in by_item.items():
         seq = index["seqs"][item]
         least = min_score * len(seq) - 1e-9
         if overlap(index["bags"][item], bag) < least:
@@ -116,12 +124,12 @@ def leaks_in(words, index, min_score=MIN_SCORE):
         # passages: runs of nearby diagonals
         lo = hi = None
         spans = []
-        for d in sorted(set(diagonals)):
-            if lo is None or d > hi + slack:
+        for first, last in sorted(set(zip(lows, highs, strict=True))):
+            if lo is None or first > hi + slack:
                 if lo is not None:
                     spans.append((lo, hi))
-                lo = d
-            hi = d
+                lo, hi = first, last
+            hi = max(hi, last)
         spans.append((lo, hi))
         for lo, hi in spans:
             s, e = max(0, lo - slack), min(len(a), hi + n + slack)
@@ -131,7 +139,7 @@ def leaks_in(words, index, min_score=MIN_SCORE):
             if got / (MATCH * n) > best[0]:
                 best = (got / (MATCH * n), s + i, s + j)
         if best[0] >= min_score:
-            out.append((item, best[0], best[1], best[2], len(diagonals)))
+            out.append((item, best[0], best[1], best[2], seeds[item]))
     return out
 
 
@@ -140,8 +148,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
 
     Returns a row per document and item at ``min_score`` or more: doc_id,
     item_id, score (alignment score over the item's best possible), first_word,
-    end_word (word places of the best passage), n_seeds (places of the item's
-    n-grams in the document, by diagonal).  A copy needs one intact n-gram.
+    end_word (word places of the best passage), n_seeds (pairs of equal
+    n-grams of the item and the document).  A copy needs one intact n-gram.
 
     The benchmark goes to the tasks in blocks of at most BLOCK_ITEMS items and
     BLOCK_WORDS words, so its broadcast index is bounded at any size; documents
