@@ -7,7 +7,7 @@ import pytest
 from voxelmill import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["flagship", "densify", "bin_volume_int", "bin_double_floor", "symmetrize_6mmm", "symmetrize_unequal_axes_m3m", "reject_outliers_mmm", "outlier_stats", "cell_from_ub", "pixel_index_grid", "frame_scan_order", "par_cell_parse", "layer_list_text", "slice_integrated_kl", "regrid_hl", "line_profile_free", "gaussian_smooth", "iso_edge_vertices", "pipeline_full", "par_search", "cell_coalesce", "layer_read", "default_slice_value", "grid_line_ends", "point_readout", "isosurface_levels", "isosurface_default"]
+SOME = ["flagship", "densify", "bin_volume_int", "bin_double_floor", "symmetrize_6mmm", "symmetrize_unequal_axes_m3m", "reject_outliers_mmm", "outlier_stats", "cell_from_ub", "pixel_index_grid", "frame_scan_order", "par_cell_parse", "layer_list_text", "slice_integrated_kl", "regrid_hl", "line_profile_free", "gaussian_smooth", "iso_edge_vertices", "pipeline_full", "par_search", "cell_coalesce", "layer_read", "default_slice_value", "grid_line_ends", "point_readout", "isosurface_levels", "isosurface_default", "symmetrize_full_6mmm", "reject_outliers_full_bar3m", "iso_triangles", "bricks_of_one_plane", "compressed_frame_pixels", "cbf_frame_pixels", "window_lookup", "nearest_lookup"]
 
 
 @pytest.fixture(scope="module")

@@ -145,6 +145,65 @@ def test_binning_while_loading_and_cell_of_the_parameter_file(spark, tmp_path):
     assert over.count() == 4 and over.first().i00 == pytest.approx(one.i00 / 2)
 
 
+def test_saved_volumes_tell_how_many_voxels_were_replaced(spark, tmp_path):
+    from voxelmill.jobs.process import process
+
+    rng = np.random.default_rng(8)
+    data = 100 + rng.normal(size=(4, 4, 4))
+    data[0, 1, 2] = data[3, 3, 1] = 9000
+    v = build(spark, data)
+    want = sum(r.replaced for r in symmetry.reject_outliers(v, "mmm", 5.0, 2).voxels.collect())
+    store.save(process(v, "mmm", 5.0, 2), str(tmp_path / "v"))
+    assert want >= 2 and store.load(spark, str(tmp_path / "v")).meta["n_outliers_replaced"] == want
+    store.save_bricks(process(v, "mmm", 5.0, 2), str(tmp_path / "b"))
+    assert store.load(spark, str(tmp_path / "b")).meta["n_outliers_replaced"] == want
+    store.save(process(v, "mmm", None), str(tmp_path / "w"))
+    assert "n_outliers_replaced" not in store.load(spark, str(tmp_path / "w")).meta
+
+
+HEXAGONAL = volume.Grid((volume.affine(5, 1.0, -2.0), volume.affine(5, 1.0, -2.0), volume.affine(4, 1.0, -1.5)))
+
+
+@pytest.mark.parametrize("group", ["-3", "-3m", "6/m", "6/mmm"])
+@pytest.mark.parametrize("plane", ["HK", "HL"])
+def test_all_operations_of_trigonal_and_hexagonal_groups(spark, group, plane):
+    """Orbits and gathering agree with brute force where axes are commensurate; between points gathering takes the nearest, ties to even."""
+    order = {"HK": (0, 1, 2), "HL": (0, 2, 1)}[plane]
+    ops = laue.stored_operations(group, plane, True)
+    assert len(ops) == laue.ORDERS[group] > len(laue.stored_operations(group, plane))
+    for shift in (0.0, 0.5):
+        axes = tuple(HEXAGONAL.axes[d] if d == 2 else tuple(x + shift for x in HEXAGONAL.axes[d]) for d in order)
+        grid = volume.Grid(axes, plane)
+        shape = grid.shape
+        rng = np.random.default_rng(len(ops))
+        data = np.where(rng.random(shape) < 0.2, 0, rng.integers(1, 99, shape)).astype(float)
+        total, n = np.zeros(shape), np.zeros(shape)
+        for op in ops:
+            for t in itertools.product(*map(range, shape)):
+                x = [axes[d][i] for d, i in enumerate(t)]
+                at = tuple(int(np.rint((sum(m * v for m, v in zip(row, x, strict=True)) - axes[d][0]) / 1.0)) for d, row in enumerate(op))
+                if all(0 <= i < k for i, k in zip(at, shape, strict=True)) and data[at]:
+                    total[t] += data[at]
+                    n[t] += 1
+        want = np.divide(total, n, out=np.zeros(shape), where=n > 0)
+        v = build(spark, data, grid)
+        assert symmetry.commensurate(grid, group, True) == (shift == 0.0)
+        assert np.allclose(array(symmetry.symmetrize(v, group, "gather", True), shape), want)
+        if not shift:
+            once = symmetry.symmetrize(v, group, full=True)
+            assert np.allclose(array(once, shape), want) and once.meta["all_operations"]
+            hot = lambda s: sorted((r.ih, r.ik, r.il, round(r.val, 9), r.replaced) for r in symmetry.reject_outliers(v, group, 1.5, 2, s, True).voxels.collect())
+            assert hot("orbit") == hot("gather")
+
+
+def test_maps_of_two_dimensions_join_alike_by_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = build(spark, rng.integers(0, 9, HEXAGONAL.shape), HEXAGONAL)
+    want = array(symmetry.symmetrize(v, "6/mmm", full=True), HEXAGONAL.shape)
+    monkeypatch.setattr(symmetry, "BROADCAST_MAP", 0)
+    assert np.allclose(array(symmetry.symmetrize(v, "6/mmm", "gather", True), HEXAGONAL.shape), want)
+
+
 def test_plane_matrix_from_the_orientation_matrix():
     cubic = {"ub": [0.1, 0, 0, 0, 0.1, 0, 0, 0, 0.1], "wavelength": 0.7}
     assert np.allclose(slicing.plane_matrix(cubic, "KL"), np.eye(2) * 7)

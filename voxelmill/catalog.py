@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions import geometry as G
 from voxelmill.functions.laue import GENERATORS, operations, slug, stored_operations, usable
-from voxelmill.operators import display, slicing, surface, symmetry
+from voxelmill.operators import display, matching, slicing, surface, symmetry
 from voxelmill.operators import volume as V
 from voxelmill.sources import fixtures as X
 from voxelmill.sources import frames as S
@@ -505,6 +505,33 @@ def slice_empty_window_fallback(spark, sf):
     return slicing.native_slice(X.lineitem_voxels(spark, sf), 9.75, 0.5)[0]
 
 
+@query(emb_sql() + "\n--\nSELECT vol, -7.0::DOUBLE + 2 * ih AS h, -7.0::DOUBLE + 2 * ik AS k, -7.0::DOUBLE + 2 * il AS l, val FROM emb WHERE val <> 0", "vol val", "h k l")
+def measured_points(spark, sf):
+    """Measured voxels by their axis values."""
+    v = X.embedding_voxels(spark, sf)
+    return v.voxels.where("val <> 0").select("vol", *[V.coordinate(v.grid, d).alias(n) for d, n in enumerate("hkl")], "val")
+
+
+@query(LI + "\n--\nSELECT vol, -12.25::DOUBLE + 0.5 * ih AS h, -5.0::DOUBLE + ik AS k, -4.0::DOUBLE + il AS l, val FROM li WHERE ik = 7", "vol val", "h k l")
+def bricks_of_one_plane(spark, sf):
+    """Voxels of one k by their axis values, from bricks that meet it."""
+    v = X.lineitem_voxels(spark, sf)
+    b = V.to_bricks(v, 4)
+    rows = V.Volume(V.from_bricks(b), v.grid, v.meta, b).within({1: (7, 7)})
+    return rows.select("vol", *[V.coordinate(v.grid, d).alias(n) for d, n in enumerate("hkl")], "val")
+
+
+@query("SELECT 'v_' || vec_id || '.img' AS path, pos // 8 AS row, pos % 8 AS col, round_even(x::DOUBLE * 1e6, 0)::BIGINT AS val FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)".join(("\n--\n", "")), "row col val", "", "path")
+def compressed_frame_pixels(spark, sf):
+    """Pixels of compressed frames, by their headers."""
+    return S.frame_image(S.frame_rows(X.frame_files(spark, sf, "compressed")))
+
+
+@query("SELECT 'v_' || vec_id || '.cbf' AS path, pos // 8 AS row, pos % 8 AS col, round_even(x::DOUBLE * 1e6, 0) AS val FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)".join(("\n--\n", "")), "row col", "val", "path")
+def cbf_frame_pixels(spark, sf):
+    return S.frame_image(S.cbf_frames(X.frame_files(spark, sf, "cbf")))
+
+
 def _slab_sql(view: str, values: list[float]) -> str:
     # s = 2, inverse [[1, 0.25], [0, 1]]: cross term 0.5; cy = 4.5
     at = [f"(({v}) - 0.5 * (ik + 1 - 4.5) + 7) / 2.0" if view == "KL" else f"(({v}) + 7) / 2.0" for v in values]
@@ -573,7 +600,7 @@ SELECT n.grp, n.target, n.idx FROM n WHERE r = 1""".replace("round_even(value, 1
 def nearest_lookup(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") % 8).alias("grp"), (F.col("user_id") % 37 - 18).cast("double").alias("target")).distinct()
     axis = e.select("grp").distinct().withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return slicing.nearest_rows(axis.select("grp", "idx", (F.lit(-7.0) + 2 * F.col("idx") + F.col("grp") * 0.5).alias("coord")), e)
+    return matching.nearest_rows(axis.select("grp", "idx", (F.lit(-7.0) + 2 * F.col("idx") + F.col("grp") * 0.5).alias("coord")), e)
 
 
 @query(emb_sql() + """, m AS (SELECT vol, t.target, ik AS row, ih AS col, val FROM emb JOIN (VALUES (-6.0, 0), (0.0, 3), (5.5, 6)) t(target, i) ON il = t.i)
@@ -630,6 +657,21 @@ def point_readout(spark, sf):
     return display.readout(image, pts, (8, 8), (-8.0, 8.0, -8.0, 8.0), [[1.0, 0.25], [0.0, 1.0]])
 
 
+@query("""ax AS (SELECT s_suppkey % 10 AS grp, s_suppkey AS idx, (s_suppkey * 37 % 101) / 4.0::DOUBLE AS coord FROM supplier),
+w AS (SELECT o_orderkey AS wid, o_custkey % 12 AS grp, (o_orderkey * 13 % 449) / 16.0::DOUBLE AS target, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE (o_orderkey % 7) / 8.0::DOUBLE END AS width FROM orders),
+f AS (SELECT w.grp, wid, idx FROM w JOIN ax ON ax.grp = w.grp AND width > 1e-6 AND coord BETWEEN target - width AND target + width),
+n AS (SELECT w.grp, wid, idx, row_number() OVER (PARTITION BY w.grp, wid ORDER BY abs(coord - target), idx) AS r FROM w JOIN ax USING (grp) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.grp = w.grp AND f.wid = w.wid))
+--
+SELECT * FROM f UNION ALL SELECT grp, wid, idx FROM n WHERE r = 1""", "grp wid idx")
+def window_lookup(spark, sf):
+    """Windows of orders on axes of suppliers, with the nearest value where a window is empty."""
+    k, o = F.col("s_suppkey"), F.col("o_orderkey")
+    axis = spark.read.parquet(f"{sf}/supplier.parquet").select((k % 10).alias("grp"), k.alias("idx"), (k * 37 % 101 / 4.0).alias("coord"))
+    width = F.when(o % 5 == 0, 0.0).otherwise(o % 7 / 8.0)
+    windows = spark.read.parquet(f"{sf}/orders.parquet").select(o.alias("wid"), (F.col("o_custkey") % 12).alias("grp"), (o * 13 % 449 / 16.0).alias("target"), width.alias("width"))
+    return matching.window_rows(axis, windows)
+
+
 # --- surfaces --------------------------------------------------------------------------------
 
 
@@ -683,6 +725,34 @@ def iso_edge_vertices(spark, sf):
     return surface.iso_crossings(v, surface.default_iso(v)).drop("iso")
 
 
+def _triangles_sql() -> str:
+    """The tetrahedra of every cell with all corners, by tables of their corners and cases."""
+    corner = lambda c: " AND ".join(f"c{c}.{n} = d.{n} + {c >> i & 1}" for i, n in enumerate(("ih", "ik", "il")))
+    joins = " ".join(f"JOIN dense c{c} ON c{c}.vol = d.vol AND {corner(c)}" for c in range(1, 8))
+    tets = ", ".join(f"({int(surface._odd(t))}, [{', '.join(map(str, t))}])" for t in surface.TETRAHEDRA)
+    cases = [(odd, mask, *sum(tri[::-1] if odd else tri, ())) for odd in (0, 1) for mask, tris in enumerate(surface.tetrahedron_cases()) for tri in tris]
+    inside = " + ".join(f"{1 << i} * (v[t[{i + 1}] + 1] >= iso)::INT" for i in range(4))
+    ends = ", ".join(f"least(t[i{n} + 1], t[o{n} + 1]) AS a{n}, greatest(t[i{n} + 1], t[o{n} + 1]) AS b{n}" for n in range(3))
+    out = []
+    for n in range(3):
+        at = [f"({name} + (a{n} >> {d} & 1))" for d, name in enumerate(("ih", "ik", "il"))]
+        out.append(f"(({at[0]} * 8 + {at[1]}) * 8 + {at[2]}) * 8 + xor(a{n}, b{n}) AS e{n}")
+        out += [f"-7.0::DOUBLE + 2 * {at[d]} + 2 * (iso - v[a{n} + 1]) / (v[b{n} + 1] - v[a{n} + 1]) * (xor(a{n}, b{n}) >> {d} & 1) AS {x}{n}" for d, x in enumerate("xyz")]
+    return f"""{FLOATS}, iso AS (SELECT vol, median(val) AS iso FROM dense WHERE val > 0 GROUP BY vol),
+cell AS (SELECT d.vol, d.ih, d.ik, d.il, [d.val, {', '.join(f'c{c}.val' for c in range(1, 8))}] AS v FROM dense d {joins}),
+tet AS (SELECT * FROM (VALUES {tets}) t(odd, t)), cs AS (SELECT * FROM (VALUES {', '.join(map(str, cases))}) c(odd, mask, i0, o0, i1, o1, i2, o2)),
+hit AS (SELECT vol, iso, ih, ik, il, v, t, odd, {inside} AS mask FROM cell JOIN iso USING (vol), tet),
+tri AS (SELECT hit.*, {ends} FROM hit JOIN cs USING (odd, mask))
+--
+SELECT vol, {', '.join(out)} FROM tri"""
+
+
+@query(_triangles_sql(), "vol e0 e1 e2", "x0 y0 z0 x1 y1 z1 x2 y2 z2")
+def iso_triangles(spark, sf):
+    v = V.densify(X.embedding_voxels(spark, sf, floats=True))
+    return surface.triangles(v, surface.default_iso(v)).drop("iso")
+
+
 def _isosurface_sql(iso: str) -> str:
     """The vertices above, within h >= -4 and k <= 3, for other levels."""
     head, _, tail = _iso_sql().rpartition("\n--\n")

@@ -7,22 +7,29 @@ from __future__ import annotations
 
 import argparse
 import os
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.functions.laue import GENERATORS, slug
 from voxelmill.operators import symmetry, volume
 
 
-def process(v: volume.Volume, laue: str | None, sigma: float | None = 3.0, n_iter: int = 1, bin_xy: int = 1, bin_z: int = 1) -> volume.Volume:
-    """One lazy plan: bin, reject (no sigma: skip), symmetrise (no group: skip)."""
+def process(v: volume.Volume, laue: str | None, sigma: float | None = 3.0, n_iter: int = 1, bin_xy: int = 1, bin_z: int = 1, full: bool = False) -> volume.Volume:
+    """One lazy plan: bin, reject (no sigma: skip), symmetrise (no group: skip).
+
+    How many voxels were replaced is counted as the plan runs; a saved volume
+    has it in its metadata as n_outliers_replaced.
+    """
     v = volume.bin_volume(v, bin_xy, bin_xy, bin_z)
     if laue and sigma:
-        v = symmetry.reject_outliers(v, laue, sigma, n_iter)
-        v = v.with_voxels(v.voxels.drop("replaced"))
-    return symmetry.symmetrize(v, laue) if laue else v
+        v = symmetry.reject_outliers(v, laue, sigma, n_iter, full=full)
+        seen = Observation()
+        counted = v.voxels.observe(seen, F.coalesce(F.sum("replaced"), F.lit(0)).alias("n_outliers_replaced"))
+        v = replace(v.with_voxels(counted.drop("replaced")), observed=(*v.observed, seen))
+    return symmetry.symmetrize(v, laue, full=full) if laue else v
 
 
 def output_names(base: str, laue: str) -> tuple[str, str]:
@@ -87,13 +94,14 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--iter", type=int, default=1)
     p.add_argument("--bin", type=int, default=1)
     p.add_argument("--binl", type=int, default=1)
+    p.add_argument("--full", action="store_true", help="all operations of trigonal and hexagonal groups")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("voxelmill").getOrCreate()
     v = load_folder(spark, a.folder, a.bin, a.binl)
     base = os.path.join(a.out or a.folder, os.path.basename(os.path.normpath(a.folder)))
     raw, sym = output_names(base, a.laue)
     store.save(v, raw)
-    store.save(process(store.load(spark, raw), a.laue, a.sigma, a.iter), sym)
+    store.save(process(store.load(spark, raw), a.laue, a.sigma, a.iter, full=a.full), sym)
 
 
 if __name__ == "__main__":

@@ -15,12 +15,6 @@ from voxelmill.operators.volume import DIMS, Volume, positives
 FIXED = {"HK": 2, "HL": 1, "KL": 0}
 
 
-def nearest_rows(axis: DataFrame, targets: DataFrame) -> DataFrame:
-    """``axis(grp, idx, coord)`` and ``targets(grp, target)`` to the nearest index of each target, the lowest on a tie."""
-    best = F.min(F.struct(F.abs(F.col("coord") - F.col("target")).alias("d"), F.col("idx"))).alias("b")
-    return targets.join(axis, "grp").groupBy("grp", "target").agg(best).select("grp", "target", F.col("b.idx").alias("idx"))
-
-
 def hat(distance: Column) -> Column:
     """Weight of a neighbour in linear interpolation."""
     return F.greatest(F.lit(0.0), 1 - F.abs(distance))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.functions.geometry import floor_mean
@@ -55,12 +55,17 @@ def affine(n: int, step: float, start: float) -> tuple[float, ...]:
 
 @dataclass(frozen=True)
 class Volume:
-    """``bricks``, if there, holds the same voxels as arrays of small boxes (``to_bricks``)."""
+    """``bricks``, if there, holds the same voxels as arrays of small boxes (``to_bricks``).
+
+    ``observed`` are counts that the voxels' plan makes on its way; they are
+    known once the voxels have been written, and go into the metadata then.
+    """
 
     voxels: DataFrame
     grid: Grid
     meta: dict = field(default_factory=dict)
     bricks: DataFrame | None = None
+    observed: tuple[Observation, ...] = ()
 
     def with_voxels(self, voxels: DataFrame, **meta) -> Volume:
         return replace(self, voxels=voxels, meta=self.meta | meta, bricks=None)

@@ -52,6 +52,38 @@ def wide_voxels(spark: SparkSession, sf_dir: str) -> Volume:
     return Volume(_read(spark, sf_dir, "lineitem").groupBy(F.lit(0).cast("bigint").alias("vol"), *at).agg(F.count("*").alias("val")), WIDE_GRID)
 
 
+def frame_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Every embedding as a file of 8 x 8 pixels: (path, content), ``kind`` compressed or cbf."""
+    from voxelmill.sources import codecs, frame_source
+
+    pixels = F.transform("embedding", lambda x: F.rint(x.cast("double") * 1e6).cast("int"))
+    rows = _read(spark, sf_dir, "embeddings").select(F.concat(F.lit("v_"), F.col("vec_id").cast("string"), F.lit(".cbf" if kind == "cbf" else ".img")).alias("path"), pixels.alias("pixels"))
+
+    def content(x):
+        import struct
+
+        import numpy as np
+
+        if kind == "cbf":
+            return codecs.encode_cbf(np.array(x).reshape(8, 8))
+        body, short, long = codecs.encode_differences(x)
+        head = bytearray(codecs.HEADER_BYTES)
+        text = f"OD SAPPHIRE  4.0\r\nCOMPRESSION=TY1\r\nNX=   8 NY=   8 OI={short:7d} OL={long:7d} \r\n".encode()
+        head[: len(text)] = text
+        for name, value in (("nx", 8), ("ny", 8)):
+            at, kind_ = frame_source.OFFSETS[name]
+            struct.pack_into(kind_, head, at, value)
+        return bytes(head) + body
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(content, b.column(1).to_pylist()), pa.binary())], names=["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit cells, wavelengths and orientation matrices (u11..u33) from part keys."""
     k = F.col("p_partkey")

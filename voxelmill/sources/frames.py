@@ -78,7 +78,11 @@ def read_frames(spark: SparkSession, folder: str, payload: bool = False, bin_xy:
 
 def _whole_frames(spark: SparkSession, folder: str, payload: bool, bin_xy: int, pattern: str, codec: Callable) -> DataFrame:
     any_case = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", any_case).load(folder).select("path", "content")
+    return frame_rows(spark.read.format("binaryFile").option("pathGlobFilter", any_case).load(folder).select("path", "content"), payload, bin_xy, codec)
+
+
+def frame_rows(files: DataFrame, payload: bool = True, bin_xy: int = 1, codec: Callable = frame_pixels) -> DataFrame:
+    """``files(path, content)`` of frames as rows of ``FrameSource``."""
 
     def run(batches):
         import pyarrow as pa

@@ -31,7 +31,8 @@ def save_bricks(volume: _volume.Volume, path: str, edge: int = _volume.EDGE, gro
 
 def _beside(volume: _volume.Volume, path: str) -> None:
     _volume.axis_table(volume).coalesce(1).write.mode("overwrite").parquet(f"{path}/axis")
-    meta = json.dumps(volume.meta | {"plane": volume.grid.plane}, sort_keys=True)
+    counts = {k: v for o in volume.observed for k, v in o.get.items()}
+    meta = json.dumps(volume.meta | counts | {"plane": volume.grid.plane}, sort_keys=True)
     volume.voxels.sparkSession.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
