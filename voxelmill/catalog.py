@@ -88,7 +88,7 @@ SYM = "sym AS (SELECT d.vol, d.ih, d.ik, d.il, coalesce(m.m, 0) AS val FROM dens
 
 def full_source_sql(group: str, grid: V.Grid, table: str = "dense") -> str:
     """Each target's source on a grid by all operations of a group, by operation; nearest points, ties to even."""
-    ops = ", ".join(f"({i}, {', '.join(str(x) for row in op for x in row)})" for i, op in enumerate(stored_operations(group, full=True)))
+    ops = ", ".join(f"({i}, {', '.join(str(x) for row in op for x in row)})" for i, op in enumerate(stored_operations(group, grid.plane, full=True)))
     start, step = [[float(a[0]) for a in grid.axes], [float(grid.step(d)) for d in range(3)]]
     image = lambda t: " + ".join(f"m{t}{d} * ({start[d]}::DOUBLE + {step[d]}::DOUBLE * {n})" for d, n in enumerate(("ih", "ik", "il")))
     at = ", ".join(f"round_even(({image(t)} - ({start[t]}::DOUBLE)) / {step[t]}::DOUBLE, 0)::INT AS x{t}" for t in range(3))
@@ -239,6 +239,11 @@ def _register_full() -> None:
     query(f"{emb}, {START}, {reject_sql('r0', 'r1', '1', lambda t: full_source_sql('6/mmm', X.HEX_GRID, t))}, {reject_sql('r1', 'r2', '2', lambda t: full_source_sql('6/mmm', X.HEX_GRID, t))}\n--\nSELECT * FROM r2", IDX + " replaced", "val", name="reject_outliers_full_iter2_6mmm")(
         lambda spark, sf: symmetry.reject_outliers(X.hexagonal_voxels(spark, sf), "6/mmm", SIGMA, 2, full=True).voxels
     )
+    for plane, group in (("KL", "4/m"), ("HL", "4/mmm"), ("KL", "6/m")):
+        grid = V.Grid(X.HEX_GRID.axes if group == "6/m" else X.EMB_GRID.axes, plane)
+        query(f"{emb}, {full_source_sql(group, grid)}, {EQUIV}, {SYM}\n--\nSELECT * FROM sym", IDX, "val", name=f"symmetrize_{plane.lower()}_stack_{slug(group)}")(
+            lambda spark, sf, grid=grid, group=group: symmetry.symmetrize(V.Volume(X.embedding_voxels(spark, sf, hot=True).voxels, grid), group, full=True).voxels
+        )
     wide = """emb AS (SELECT 0 AS vol, l_quantity::INT - 1 AS ih, l_partkey % 50 AS ik, round_even(l_discount * 100, 0)::INT AS il, count(*) AS val FROM lineitem GROUP BY ALL),
 dense AS (SELECT 0 AS vol, h.i AS ih, k.i AS ik, l.i AS il, coalesce(e.val, 0) AS val FROM range(50) h(i) CROSS JOIN range(50) k(i) CROSS JOIN range(11) l(i) LEFT JOIN emb e ON e.ih = h.i AND e.ik = k.i AND e.il = l.i)"""
     query(f"{wide}, {full_source_sql('6/mmm', X.WIDE_GRID)}, {EQUIV}, {SYM}\n--\nSELECT * FROM sym", IDX, "val", name="symmetrize_full_wide_6mmm")(
@@ -290,7 +295,7 @@ def symmetrize_unequal_axes_m3m(spark, sf):
 STATS = """r AS (SELECT vol, d.val - s.val AS r FROM dense d JOIN sym s USING (vol, ih, ik, il) WHERE d.val - s.val <> 0),
 c AS (SELECT vol, median(r) AS med FROM r GROUP BY vol), m AS (SELECT vol, med, median(abs(r - med)) AS mad FROM r JOIN c USING (vol) GROUP BY ALL)
 --
-SELECT vol, med AS median, mad, round(mad * 1.4826, 3) AS robust_std, quantile_cont(abs(r), 0.9) AS p90, quantile_cont(abs(r), 0.95) AS p95, quantile_cont(abs(r), 0.99) AS p99,
+SELECT vol, med AS median, mad, floor(mad * 1.4826 * 1e6 + 0.5) / 1e6 AS robust_std, quantile_cont(abs(r), 0.9) AS p90, quantile_cont(abs(r), 0.95) AS p95, quantile_cont(abs(r), 0.99) AS p99,
  quantile_cont(abs(r), 0.999) AS p99_9, max(abs(r)) AS max_abs, count(*) FILTER (abs(r) > 2 * mad * 1.4826) AS n_over_2, count(*) FILTER (abs(r) > 3 * mad * 1.4826) AS n_over_3,
  count(*) FILTER (abs(r) > 5 * mad * 1.4826) AS n_over_5, count(*) AS n_total, count(*) FILTER (abs(r) > 3 * mad * 1.4826) / count(*) AS share_over_3 FROM r JOIN m USING (vol) GROUP BY vol, med, mad"""
 
@@ -298,7 +303,8 @@ SELECT vol, med AS median, mad, round(mad * 1.4826, 3) AS robust_std, quantile_c
 @query(f"{MMM}, {source_sql()}, {EQUIV}, {SYM}, {STATS}", "vol n_over_2 n_over_3 n_over_5 n_total", "median mad robust_std p90 p95 p99 p99_9 max_abs share_over_3")
 def outlier_stats(spark, sf):
     s = symmetry.outlier_stats(X.embedding_voxels(spark, sf, hot=True), "mmm")
-    return s.withColumn("robust_std", F.round("robust_std", 3))
+    # six digits by one arithmetic on both sides: ties round alike
+    return s.withColumn("robust_std", F.floor(F.col("robust_std") * 1e6 + 0.5) / 1e6)
 
 
 # --- geometry --------------------------------------------------------------------------------
@@ -427,6 +433,14 @@ def plane_type_detect(spark, sf):
     return X.frames(spark, sf).select("path", S.plane_type("scan").alias("scan_plane"), S.plane_type("layer").alias("layer_plane"))
 
 
+@query("\n--\nSELECT 'f' || p_partkey AS file, (0.1 + (p_partkey % 50) * 0.001)::DOUBLE AS u11, 0.11 AS u22, 0.01 AS u32, 0.09 AS u33, 0 AS others FROM part", "others", "u11 u22 u32 u33", "file")
+def par_orientation(spark, sf):
+    """Orientation matrices of parameter files."""
+    u = lambda i: F.col("ub")[i]
+    rest = F.abs(u(1)) + F.abs(u(2)) + F.abs(u(3)) + F.abs(u(5)) + F.abs(u(6))
+    return P.first_orientation(X.parameter_lines(spark, sf)).select("file", u(0).alias("u11"), u(4).alias("u22"), u(7).alias("u32"), u(8).alias("u33"), rest.cast("int").alias("others"))
+
+
 @query("""u AS (SELECT p_partkey AS k, p_size, (0.1 + (p_partkey % 50) * 0.001)::DOUBLE AS x, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE (0.7 + (p_partkey % 10) * 0.01)::DOUBLE END AS wl FROM part)
 --
 SELECT 'f' || k AS file, CASE WHEN k % 3 = 0 THEN p_size + 0.25 ELSE wl / x END AS a, CASE WHEN k % 3 = 0 THEN 6.5 ELSE wl / 0.11 END AS b,
@@ -495,6 +509,13 @@ def slice_native(spark, sf):
     return slicing.native_slice(X.embedding_voxels(spark, sf), 0.0)[0]
 
 
+@query(emb_sql() + "\n--\nSELECT vol, ik AS row, ih AS col, sum(val) AS val FROM emb WHERE il = 4 GROUP BY ALL", "vol row col val")
+def slice_hk_of_kl_stack(spark, sf):
+    """HK of frames stored as KL: the one nearest layer, whatever the width."""
+    v = X.embedding_voxels(spark, sf)
+    return slicing.extract_slice(V.Volume(v.voxels, V.Grid(v.grid.axes, "KL"), v.meta), "HK", 0.6, 5.0)[0]
+
+
 @query(LI + "\n--\nSELECT vol, ik AS row, ih AS col, sum(val) AS val FROM li WHERE -4.0 + il BETWEEN -1.5 AND 2.5 GROUP BY ALL", "vol row col val")
 def slice_native_integrated(spark, sf):
     return slicing.native_slice(X.lineitem_voxels(spark, sf), 0.5, 2.0)[0]
