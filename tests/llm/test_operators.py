@@ -63,10 +63,10 @@ def test_every_operator_takes_odd_rows_and_empty_tables(spark, odd, none, labels
 
 
 def test_stages_keep_columns_whatever_their_names(spark, labels):
-    extra = "_key", "_th", "_th0", "_id", "_spans", "node", "key", "row", "new", "terms", "id", "base", "level"
+    extra = "a.b", "c`d", "_key", "_th", "_th0", "_id", "_spans", "node", "key", "row", "new", "terms", "id", "base", "level"
     texts = ["a b c d e f g h i j k l m", "mail joe@site.example.org now", None, "A b c d e f g h i j k l m"]
     rows = [(i, t, 1, *[f"{c}{i}" for c in extra]) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, n_chars int, " + ", ".join(f"{c} string" for c in extra))
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, n_chars int, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in extra))
     clean = privacy.sanitise(docs)
     assert clean.columns == docs.columns
     got = sorted(map(tuple, clean.collect()))

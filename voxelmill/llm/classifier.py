@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.llm.common import materialise, slices, text_of
+from voxelmill.llm.common import filtered, materialise, slices, text_of
 
 #: Labelled documents that the model is fitted on at most.
 FIT_DOCUMENTS = 40_000
@@ -227,7 +227,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that score THRESHOLD or more, with all their columns as they were."""
+    """The rows of ``docs`` that score THRESHOLD or more, with all their columns as they were.
+
+    Null texts score as empty ones; repeated rows stay or go together; a score
+    of THRESHOLD stays; a null doc_id does not matter; an empty table gives none.
+    """
     at = docs.columns.index("text")
 
     def run(batches):
@@ -236,4 +240,4 @@ def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
         for part in slices(batches):
             yield part.filter(pa.array(scores([t or "" for t in part.column(at).to_pylist()], model) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)

@@ -38,6 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def whole_row(df: DataFrame):
+    """All columns as a struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def filtered(df: DataFrame, run) -> DataFrame:
+    """``mapInArrow`` of a function that keeps whole rows; columns may have any names."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def text_of(df: DataFrame):
     """The text column with null as the empty text."""
     return F.coalesce(df["text"].cast("string"), F.lit(""))

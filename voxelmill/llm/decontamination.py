@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelmill.llm.common import slices, text_of
+from voxelmill.llm.common import filtered, slices, text_of
 
 NGRAM = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -204,7 +204,12 @@ def _search(rows: DataFrame, items, min_score: float, schema) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a leak, with all their columns; documents are not shuffled."""
+    """The rows of ``docs`` without a leak, with all their columns; documents are not shuffled.
+
+    Null texts have no words and stay, as all rows do where the benchmark is
+    empty; repeated rows stay or go together; a score of MIN_SCORE is a leak; a
+    null doc_id does not matter; an empty table gives none.
+    """
     at = docs.columns.index("text")
     for block in _blocks(benchmark):
         if not block:
@@ -217,5 +222,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for part in slices(batches):
                 yield part.filter(pa.array([not leaks_in(tokens(t or ""), index.value) for t in part.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = filtered(docs, run)
     return docs

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.llm.common import materialise, text_of
+from voxelmill.llm.common import materialise, text_of, whole_row
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Equal to the plain patterns' leftmost matches, but linear: a match can start only where a run of its first class starts
@@ -259,7 +259,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     of their disclosing terms is too large to broadcast.
     """
     terms = terms_by_text(docs)[1].withColumnRenamed("th", "th0")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), text_of(docs).alias("text"), F.md5(text_of(docs)).alias("th"))
+    rows = docs.select(whole_row(docs).alias("row"), text_of(docs).alias("text"), F.md5(text_of(docs)).alias("th"))
     rows = rows.join(_few(terms), F.col("th") == F.col("th0"), "left").select("row", "text", "terms", _plain(base_spans(F.col("text"))).alias("base"))
     more = F.when(F.col("terms").isNull(), F.array().cast(PLACES)).otherwise(mentions(F.col("text"), F.col("base"), F.col("terms")))
     rows = rows.select("row", "text", F.array_sort(F.concat("base", more)).alias("spans"))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.llm.common import materialise, slices, text_of
+from voxelmill.llm.common import materialise, slices, text_of, whole_row
 from voxelmill.llm.graph import components
 
 SEED = 42
@@ -483,7 +483,7 @@ def one_of_each(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> Dat
     classes = materialise(similar_classes(docs, ngram, similarity).groupBy("class", "doc_id", "th").agg(F.count("*").alias("n")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "n")).alias("best")
     keep = materialise(classes.groupBy("class").agg(best).select(F.col("best.doc_id").alias("id"), F.col("best.th").alias("th0"), F.col("best.n").alias("n")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.md5(text_of(docs)).alias("th"), docs["doc_id"].alias("doc_id"))
+    rows = docs.select(whole_row(docs).alias("row"), F.md5(text_of(docs)).alias("th"), docs["doc_id"].alias("doc_id"))
     on = lambda k: rows.join(k, (F.col("th") == F.col("th0")) & F.col("doc_id").eqNullSafe(F.col("id")))
     kept = on(keep.where("n = 1")).select("row")
     repeated = keep.where("n > 1")
