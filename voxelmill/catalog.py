@@ -481,7 +481,7 @@ SELECT 'layer' || id || '.img' AS path, plane, fixed_value, fixed_value - 0.25 A
  sc * (i00 * (pos % 4 + 1 - 2.5) + i01 * (pos // 4 + 1 - 2.5)) AS idx1, sc * i11 * (pos // 4 + 1 - 2.5) AS idx2, (id + pos) % 17 AS val FROM m, range(12) r(pos)""", "row col val", "fixed_value thickness_min thickness_max step1 step2 idx1 idx2", "path plane")
 def layer_read(spark, sf):
     layers = S.layer_geometry(X.single_layers(spark, sf), F.col("other_ub"))
-    return S.layer_pixels(layers).join(layers.select("path", "plane", "fixed_value", "thickness_min", "thickness_max", "step1", "step2"), "path")
+    return S.layer_pixels(layers, "plane", "fixed_value", "thickness_min", "thickness_max", "step1", "step2")
 
 
 LAYERS = """req AS (SELECT 'list' || s_suppkey AS name, (-(s_suppkey % 7))::DOUBLE AS l_min, (s_suppkey % 5 + 1)::DOUBLE AS l_max, CASE WHEN s_suppkey % 2 = 0 THEN 0.02 ELSE 0.025 END::DOUBLE AS st FROM supplier),

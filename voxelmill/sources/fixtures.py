@@ -149,7 +149,9 @@ def single_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     on = lambda *r: (k % 4).isin(*r).cast("double")
     fixed = {"h": F.lit(1.5), "k": F.when(k % 8 == 3, 0.5).otherwise(0.0), "l": F.lit(0.0)}
     ub = [F.col(f"u{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)]
-    return cells(spark, sf_dir).select(
+    # parts are small rows in few files: dealt over all tasks before the geometry of each
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return cells(spark, sf_dir).repartition(tasks, "id").select(
         F.concat(F.lit("layer"), k.cast("string"), F.lit(".img")).alias("path"), F.lit(4).alias("nx"), F.lit(3).alias("ny"), "d_min", F.col("wl").alias("wavelength"), F.array(*ub).alias("ub"),
         F.when(k % 6 == 0, F.array(*[2 * u for u in ub])).alias("other_ub"), on(0, 1).alias("x_h"), on(2).alias("x_k"), on(0).alias("y_k"), on(1, 2).alias("y_l"),
         *[c.alias(f"fixed_{n}") for n, c in fixed.items()], *[(c - 0.25).alias(f"min_{n}") for n, c in fixed.items()], *[(c + 0.25).alias(f"max_{n}") for n, c in fixed.items()],

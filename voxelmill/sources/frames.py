@@ -125,13 +125,17 @@ def layer_geometry(headers: DataFrame, override: Column | None = None) -> DataFr
     return rows.withColumns({"step1": F.col("s") * F.col("i00"), "step2": F.col("s") * F.abs("i11")})
 
 
-def layer_pixels(layers: DataFrame) -> DataFrame:
-    """Layers with their ``payload`` to pixels with Miller indices: (path, row, col, idx1, idx2, val)."""
-    at = layers.select("path", "nx", "i00", "i01", "i11", "s", "cx", "cy", F.posexplode("payload").alias("pos", "val"))
+def layer_pixels(layers: DataFrame, *keep: str) -> DataFrame:
+    """Layers with their ``payload`` to pixels with Miller indices: (path, row, col, idx1, idx2, val), and the columns ``keep`` of their layer.
+
+    What is kept goes with the pixels, so that no table of layers is joined to them.
+    """
+    layers = layers.select("path", "nx", "i00", "i01", "i11", "s", "cx", "cy", "payload", *keep)
+    at = layers.select("*", F.posexplode("payload").alias("pos", "val"))
     at = at.withColumn("row", F.floor(F.col("pos") / F.col("nx")).cast("int")).withColumn("col", (F.col("pos") % F.col("nx")).cast("int"))
     inv = {"i00": F.col("i00"), "i01": F.col("i01"), "i10": F.lit(0.0), "i11": F.col("i11")}
     one, two = pixel_indices(inv, F.col("s"), F.col("col") + 1 - F.col("cx"), F.col("row") + 1 - F.col("cy"))
-    return at.select("path", "row", "col", one.alias("idx1"), two.alias("idx2"), "val")
+    return at.select("path", "row", "col", one.alias("idx1"), two.alias("idx2"), "val", *keep)
 
 
 def read_layers(spark: SparkSession, path: str, ub: list[float] | None = None, codec: Callable = frame_pixels) -> DataFrame:
