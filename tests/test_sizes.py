@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from voxelmill import catalog
 from voxelmill.sources import frames as S
+from voxelmill.sources import parameters as P
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +20,20 @@ def test_pixels_carry_what_their_layer_has(spark):
     assert got.columns == ["path", "row", "col", "idx1", "idx2", "val", "plane"]
     assert sorted(got.select("path", "row", "col", "val", "plane").collect()) == [("a", 0, 0, 7, "HK"), ("a", 0, 1, 8, "HK"), ("a", 1, 0, 9, "HK")]
     assert "Join" not in plan(catalog.QUERIES["layer_read"](spark, SF))
+
+
+def test_one_long_layer_list_is_made_by_many_tasks(spark):
+    """A single request is dealt as files; rows, numbers and lines are those of the whole list."""
+    wanted = spark.createDataFrame([("a", -3.0, 40.0, 0.02), ("b", 1.0, 0.0, 0.5), ("c", 0.0, 0.0, 0.5), ("d", 0.0, 4.99, 0.01)], "name string, l_min double, l_max double, l_step double").coalesce(1)
+    rows = P.layer_rows(wanted)
+    assert rows.where("name = 'a'").select(F.spark_partition_id()).distinct().count() > 1
+    n = {"a": 2151, "c": 1, "d": 500}
+    start, step = {"a": -3.0, "c": 0.0, "d": 0.0}, {"a": 0.02, "c": 0.5, "d": 0.01}
+    got = sorted(map(tuple, rows.collect()))
+    assert got == sorted((k, i // 500, i % 500 + 1, round((start[k] + i * step[k]) * 1e6) / 1e6, -(-n[k] // 500)) for k in n for i in range(n[k]))
+    lines = {(r.file, r.row_no): r.line for r in P.layer_lines(rows, 0.75).collect()}
+    assert len(lines) == len(got)
+    for k, file, row, l, files in got:
+        name = f"{k}.dcunwarp" if files == 1 else f"{k}_{file + 1:03d}.dcunwarp"
+        z, one = f"{0:10.6f}", f"{1:10.6f}"
+        assert lines[name, row] == f'"{row}"   {z}   {z}  {l:10.6f}     {one}   {z}   {z}     {z}   {one}   {z}        {0.75:10.6f}       0       0'

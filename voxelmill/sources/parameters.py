@@ -103,23 +103,31 @@ def layer_rows(requests: DataFrame) -> DataFrame:
     LAYERS_PER_FILE rows, and row numbers start anew in each.
     """
     n = F.ceil((F.col("l_max") + F.col("l_step") * 0.5 - F.col("l_min")) / F.col("l_step"))
-    rows = requests.withColumn("n", n).where("n > 0").select("name", "l_min", "l_step", "n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
+    last = F.floor((F.col("n") - 1) / LAYERS_PER_FILE).cast("int")
+    files = requests.withColumn("n", n).where("n > 0").select("name", "l_min", "l_step", "n", F.explode(F.sequence(F.lit(0), last)).alias("file_idx"))
+    # requests are few and small: dealt over all tasks as files before they become rows
+    files = files.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name", "file_idx")
+    held = F.least(F.lit(LAYERS_PER_FILE), F.col("n") - F.col("file_idx") * LAYERS_PER_FILE).cast("int")
+    rows = files.withColumn("row_no", F.explode(F.sequence(F.lit(1), held)))
+    i = F.col("file_idx") * LAYERS_PER_FILE + F.col("row_no") - 1
     return rows.select(
         "name",
-        F.floor(F.col("i") / LAYERS_PER_FILE).cast("int").alias("file_idx"),
-        (F.col("i") % LAYERS_PER_FILE + 1).cast("int").alias("row_no"),
-        (F.rint((F.col("l_min") + F.col("i") * F.col("l_step")) * 1e6) / 1e6 + F.lit(0.0)).alias("l"),
+        "file_idx",
+        "row_no",
+        (F.rint((F.col("l_min") + i * F.col("l_step")) * 1e6) / 1e6 + F.lit(0.0)).alias("l"),
         F.ceil(F.col("n") / LAYERS_PER_FILE).cast("int").alias("n_files"),
     )
 
 
 def layer_lines(rows: DataFrame, resolution: float = 0.8) -> DataFrame:
-    """Text of each layer row and the file it belongs to: (file, row_no, line)."""
+    """Text of each layer row and the file it belongs to: (file, row_no, line).
+
+    Zeros and ones, which are the same in all lines, are formatted once, here.
+    """
     file = F.when(F.col("n_files") == 1, F.format_string("%s.dcunwarp", "name")).otherwise(F.format_string("%s_%03d.dcunwarp", "name", F.col("file_idx") + 1))
-    pattern = '"%d"   %10.6f   %10.6f  %10.6f     %10.6f   %10.6f   %10.6f     %10.6f   %10.6f   %10.6f        %10.6f       0       0'
-    zero, one = F.lit(0.0), F.lit(1.0)
-    line = F.format_string(pattern, "row_no", zero, zero, "l", one, zero, zero, zero, one, zero, F.lit(float(resolution)))
-    return rows.select(file.alias("file"), "row_no", line.alias("line"))
+    zero, one = f"{0:10.6f}", f"{1:10.6f}"
+    pattern = f'"%d"   {zero}   {zero}  %10.6f     {one}   {zero}   {zero}     {zero}   {one}   {zero}        %10.6f       0       0'
+    return rows.select(file.alias("file"), "row_no", F.format_string(pattern, "row_no", "l", F.lit(float(resolution))).alias("line"))
 
 
 def write_layer_lists(rows: DataFrame, folder: str, resolution: float = 0.8) -> None:
