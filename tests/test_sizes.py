@@ -1,8 +1,10 @@
 """Steps whose work has to be dealt over all tasks, or done once, however large their tables are."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxelmill import catalog
+from voxelmill.sources import fixtures as X
 from voxelmill.sources import frames as S
 from voxelmill.sources import parameters as P
 
@@ -37,3 +39,23 @@ def test_one_long_layer_list_is_made_by_many_tasks(spark):
         name = f"{k}.dcunwarp" if files == 1 else f"{k}_{file + 1:03d}.dcunwarp"
         z, one = f"{0:10.6f}", f"{1:10.6f}"
         assert lines[name, row] == f'"{row}"   {z}   {z}  {l:10.6f}     {one}   {z}   {z}     {z}   {one}   {z}        {0.75:10.6f}       0       0'
+
+
+def test_frames_are_taken_one_by_one(spark):
+    """A batch of frames is never held whole, and files made of one small table are dealt over tasks."""
+    schema = pa.schema([("path", pa.string()), ("payload", pa.list_(pa.int32()))])
+    taken = []
+
+    def rows(n, pixels):
+        for i in range(n):
+            taken.append(i)
+            yield {"path": str(i), "payload": [i] * pixels}
+
+    assert next(S.bounded(rows(10_000, 2), schema)).num_rows == len(taken) == S.HELD_ROWS
+    assert [b.num_rows for b in S.bounded(rows(2 * S.HELD_ROWS + 1, 2), schema)] == [S.HELD_ROWS, S.HELD_ROWS, 1]
+    assert [b.num_rows for b in S.bounded(rows(5, S.HELD // 2), schema)] == [2, 2, 1]
+    assert list(S.bounded([], schema)) == []
+    for kind in ("compressed", "cbf"):
+        files = X.frame_files(spark, SF, kind)
+        assert files.select(F.spark_partition_id()).distinct().count() > 1
+        assert files.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()

@@ -55,6 +55,7 @@ def wide_voxels(spark: SparkSession, sf_dir: str) -> Volume:
 def frame_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Every embedding as a file of 8 x 8 pixels: (path, content), ``kind`` compressed or cbf."""
     from voxelmill.sources import codecs, frame_source
+    from voxelmill.sources.frames import HELD_ROWS
 
     pixels = F.transform("embedding", lambda x: F.rint(x.cast("double") * 1e6).cast("int"))
     rows = _read(spark, sf_dir, "embeddings").select(F.concat(F.lit("v_"), F.col("vec_id").cast("string"), F.lit(".cbf" if kind == "cbf" else ".img")).alias("path"), pixels.alias("pixels"))
@@ -79,9 +80,12 @@ def frame_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(content, b.column(1).to_pylist()), pa.binary())], names=["path", "content"])
+            for at in range(0, len(b), HELD_ROWS):
+                part = b.slice(at, HELD_ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(content, part.column(1).to_pylist()), pa.binary())], names=["path", "content"])
 
-    return rows.mapInArrow(run, "path string, content binary")
+    # vectors are small and files some 5,000 bytes more: dealt over all tasks before they are files
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(run, "path string, content binary")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

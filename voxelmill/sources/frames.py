@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import glob
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,15 +81,36 @@ def _whole_frames(spark: SparkSession, folder: str, payload: bool, bin_xy: int,
     return frame_rows(spark.read.format("binaryFile").option("pathGlobFilter", any_case).load(folder).select("path", "content"), payload, bin_xy, codec)
 
 
+#: Rows and pixels that a task gathers before it hands them on; one frame may have more pixels.
+HELD_ROWS, HELD = 256, 1 << 20
+
+
+def bounded(rows: Iterable[dict], schema) -> Iterator:
+    """Rows as record batches of at most HELD_ROWS rows, each closed once it has HELD pixels."""
+    import pyarrow as pa
+
+    held, pixels = [], 0
+    for row in rows:
+        held.append(row)
+        pixels += len(row.get("payload", ()))
+        if len(held) == HELD_ROWS or pixels >= HELD:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, pixels = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def frame_rows(files: DataFrame, payload: bool = True, bin_xy: int = 1, codec: Callable = frame_pixels) -> DataFrame:
-    """``files(path, content)`` of frames as rows of ``FrameSource``."""
+    """``files(path, content)`` of frames as rows of ``FrameSource``.
 
-    def run(batches):
-        import pyarrow as pa
+    Contents are taken out of a batch one by one, and rows handed on before
+    they hold HELD pixels, so that a task keeps no copy of a whole batch.
+    """
 
+    def run(batches):
         for b in batches:
-            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist([frame_row(p, c, payload, bin_xy, codec)], schema=frame_schema(payload))
+            rows = (frame_row(p.as_py(), c.as_py(), payload, bin_xy, codec) for p, c in zip(b.column(0), b.column(1), strict=True))
+            yield from bounded(rows, frame_schema(payload))
 
     return files.mapInArrow(run, FrameSource({"payload": str(payload)}).schema())
 
@@ -173,14 +194,16 @@ def read_cbf(spark: SparkSession, path: str) -> DataFrame:
 def cbf_frames(files: DataFrame) -> DataFrame:
     """``files(path, content)`` of CBF frames as ``(path, nx, ny, payload)``."""
 
+    def row(path, content):
+        x = cbf_pixels(content)
+        return {"path": path, "nx": x.shape[1], "ny": x.shape[0], "payload": x.ravel().astype(float)}
+
     def run(batches):
         import pyarrow as pa
 
         kinds = pa.schema([("path", pa.string()), ("nx", pa.int32()), ("ny", pa.int32()), ("payload", pa.list_(pa.float64()))])
         for b in batches:
-            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = cbf_pixels(c)
-                yield pa.RecordBatch.from_pylist([{"path": p, "nx": x.shape[1], "ny": x.shape[0], "payload": x.ravel().astype(float)}], schema=kinds)
+            yield from bounded((row(p.as_py(), c.as_py()) for p, c in zip(b.column(0), b.column(1), strict=True)), kinds)
 
     return files.mapInArrow(run, "path string, nx int, ny int, payload array<double>")
 
