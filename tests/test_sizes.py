@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxelmill import catalog
+from voxelmill.operators import matching
 from voxelmill.sources import fixtures as X
 from voxelmill.sources import frames as S
 from voxelmill.sources import parameters as P
@@ -59,3 +60,25 @@ def test_frames_are_taken_one_by_one(spark):
         files = X.frame_files(spark, SF, kind)
         assert files.select(F.spark_partition_id()).distinct().count() > 1
         assert files.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
+def test_windows_of_one_group_meet_in_many_tasks(spark):
+    """One group in one bucket is many tasks; rows are those of all pairs, empty and zero windows take the nearest."""
+    axis = spark.range(40).select(F.lit(1).alias("grp"), F.col("id").alias("idx"), (F.col("id") % 7 / 2.0).alias("coord"))
+    w = F.col("id")
+    windows = spark.range(300).select(F.lit(1).alias("grp"), w.alias("wid"), (w * 13 % 97 / 16.0 - 1).alias("target"), F.when(w % 3 == 0, 0.0).otherwise(w % 5 / 8.0).alias("width"))
+    got = matching.window_rows(axis, windows)
+    want = set()
+    places = [(r.idx, r.coord) for r in axis.collect()]
+    for r in windows.collect():
+        inside = [i for i, x in places if r.width > 1e-6 and r.target - r.width <= x <= r.target + r.width]
+        want |= {(1, r.wid, i) for i in inside or [min(places, key=lambda p: (abs(p[1] - r.target), p[0]))[0]]}
+    rows = list(map(tuple, got.collect()))
+    assert len(rows) == len(want) and set(rows) == want
+    one = windows.where("width > 0.4").withColumn("target", F.lit(1.0))
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert matching.window_rows(axis, one).select(F.spark_partition_id()).distinct().count() > 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
