@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxelmill import catalog
-from voxelmill.operators import matching
+from voxelmill.operators import matching, symmetry
 from voxelmill.sources import fixtures as X
 from voxelmill.sources import frames as S
 from voxelmill.sources import parameters as P
@@ -82,3 +82,12 @@ def test_windows_of_one_group_meet_in_many_tasks(spark):
         assert matching.window_rows(axis, one).select(F.spark_partition_id()).distinct().count() > 3
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_gathered_rounds_make_their_voxels_once(spark):
+    v = X.embedding_voxels(spark, SF, hot=True)
+    v = v.with_voxels(v.voxels.where("vol < 3"))
+    one = symmetry.reject_outliers(v, "mmm", strategy="gather").voxels
+    assert "posexplode" not in plan(one)
+    rows = lambda how: sorted((*r[:4], round(r[4], 6), r[5]) for r in symmetry.reject_outliers(v, "mmm", 3.0, 2, strategy=how).voxels.collect())
+    assert rows("gather") == rows("orbit")

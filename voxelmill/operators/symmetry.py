@@ -235,7 +235,8 @@ def let(value: Column, body) -> Column:
 def array_median(a: Column) -> Column:
     """Median of an array without nulls, null if empty."""
     mid = lambda s, i: F.get(s, i.cast("int"))
-    return let(F.array_sort(a), lambda s: F.when(F.size(s) > 0, (mid(s, F.floor((F.size(s) - 1) / 2)) + mid(s, F.floor(F.size(s) / 2))) / 2.0))
+    # not array_sort, which calls a comparing function for each two values
+    return let(F.sort_array(a), lambda s: F.when(F.size(s) > 0, (mid(s, F.floor((F.size(s) - 1) / 2)) + mid(s, F.floor(F.size(s) / 2))) / 2.0))
 
 
 def _mend(a: Column, sigma: float) -> Column:
@@ -270,7 +271,8 @@ def reject_outliers(volume: Volume, group: str, sigma: float = 3.0, n_iter: int
         rows = o.select("vol", F.explode(F.arrays_zip("at", "a", "r")).alias("x"))
         out = rows.select("vol", *[F.col(f"x.at.{d}").alias(d) for d in DIMS], F.col("x.a").alias("val"), F.col("x.r").alias("replaced"))
     else:
-        out = points.withColumn("replaced", F.lit(0))
+        # a round reads its voxels twice, as targets and as sources: they are made once
+        out = cut(points.withColumn("replaced", F.lit(0)))
         for i in range(n_iter):
             near = gather(volume.with_voxels(out.select("vol", *DIMS, "val")), group, full).groupBy("vol", *DIMS).agg(F.collect_list("val").alias("e"))
             spread = let(array_median(F.col("e")), lambda m: F.struct(m.alias("med"), (F.lit(MAD_SCALE) * array_median(F.transform("e", lambda x: F.abs(x - m)))).alias("mad")))
