@@ -4,7 +4,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxelmill import catalog
-from voxelmill.operators import matching, symmetry
+from voxelmill.operators import matching, surface, symmetry
+from voxelmill.operators.volume import DIMS, Grid, Volume, affine
 from voxelmill.sources import fixtures as X
 from voxelmill.sources import frames as S
 from voxelmill.sources import parameters as P
@@ -91,3 +92,14 @@ def test_gathered_rounds_make_their_voxels_once(spark):
     assert "posexplode" not in plan(one)
     rows = lambda how: sorted((*r[:4], round(r[4], 6), r[5]) for r in symmetry.reject_outliers(v, "mmm", 3.0, 2, strategy=how).voxels.collect())
     assert rows("gather") == rows("orbit")
+
+
+def test_lines_of_a_surface_stay_dealt(spark):
+    """Lines are dealt in a fixed number of parts, which are not joined to few large ones."""
+    voxels = spark.range(64).select(F.lit(0).alias("vol"), *[(F.floor(F.col("id") / 4**d) % 4).cast("int").alias(n) for d, n in enumerate(DIMS)], F.pmod(F.xxhash64("id"), F.lit(9)).cast("double").alias("val"))
+    axis = affine(4, 1.0, 0.0)
+    got = surface.iso_crossings(Volume(voxels, Grid((axis, axis, axis)), {"dense": True}), spark.createDataFrame([(0, 4.5)], "vol int, iso double"))
+    assert plan(got).count("REPARTITION_BY_NUM") == 3
+    at = {tuple(r[1:4]): r[4] for r in voxels.collect()}
+    want = {(d, *p) for p in at for d in range(3) if (q := tuple(x + (i == d) for i, x in enumerate(p))) in at and (at[p] < 4.5) != (at[q] < 4.5)}
+    assert sorted(map(tuple, got.select("dim", *DIMS).collect())) == sorted(want)

@@ -75,10 +75,13 @@ def iso_crossings(volume: Volume, iso: DataFrame) -> DataFrame:
     """
     v = volume.voxels
     at = [coordinate(volume.grid, d) for d in range(3)]
+    tasks = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = []
     for d, name in enumerate(DIMS):
-        line = W.partitionBy("vol", *[x for x in DIMS if x != name]).orderBy(name)
-        e = v.withColumn("nxt", F.lead("val").over(line)).where("nxt is not null").join(iso, "vol")
+        lines = ["vol", *[x for x in DIMS if x != name]]
+        line = W.partitionBy(*lines).orderBy(name)
+        # a fixed number of parts: voxels pack so well that small ones would be joined to millions of rows to sort in a task
+        e = v.repartition(tasks, *lines).withColumn("nxt", F.lead("val").over(line)).where("nxt is not null").join(iso, "vol")
         e = e.where((F.col("val") < F.col("iso")) != (F.col("nxt") < F.col("iso")))
         t = (F.col("iso") - F.col("val")) / (F.col("nxt") - F.col("val"))
         place = [at[i] + t * F.lit(volume.grid.step(d)) if i == d else at[i] for i in range(3)]
