@@ -69,6 +69,16 @@ def test_reject_finds_a_hot_voxel_and_leaves_the_rest(spark):
     assert np.allclose(array(far), data)
 
 
+@pytest.mark.parametrize("strategy", ["orbit", "gather"])
+def test_voxels_mended_to_zero_are_neither_equivalents_nor_mended_again(spark, strategy):
+    """Round one sends -1000 and -900 to their median 0; the median of round two is 10.5, without them."""
+    grid = volume.Grid((volume.affine(2, 1.0, -0.5),) * 3)
+    v = build(spark, np.array([-1000, -900, -10, 10, 11, 12, 0, 0], float).reshape(2, 2, 2), grid)
+    for rounds, values, replaced in ((1, [0, 0, -10, 10, 11, 12, 0, 0], [1, 1, 0, 0, 0, 0, 0, 0]), (2, [0, 0, 10.5, 10, 11, 12, 0, 0], [1, 1, 1, 0, 0, 0, 0, 0]), (3, [0, 0, 10.5, 10, 11, 12, 0, 0], [1, 1, 1, 0, 0, 0, 0, 0])):
+        rows = symmetry.reject_outliers(v, "mmm", 3.0, rounds, strategy).voxels.orderBy(*volume.DIMS).collect()
+        assert [r.val for r in rows] == values and [r.replaced for r in rows] == replaced
+
+
 def test_bins_floor_negative_means_and_drop_the_rest(spark):
     df = spark.createDataFrame([(0, i, 0, 0, v) for i, v in enumerate([-3, -4, 5, 6, 9])], "vol long, ih int, ik int, il int, val long")
     v = volume.Volume(df, volume.Grid((volume.affine(5, 1.0, 0.0), (0.0,), (0.0,))), {"s": 1.0})

@@ -240,19 +240,20 @@ def array_median(a: Column) -> Column:
 
 
 def _mend(a: Column, sigma: float) -> Column:
-    """Values of one orbit (null: unmeasured) with outliers replaced by the median."""
+    """Values of one orbit (null or 0: unmeasured) with outliers replaced by the median."""
 
     def mended(med: Column, mad: Column) -> Column:
-        return F.transform(a, lambda x: F.when((mad > MAD_FLOOR) & (F.abs(x - med) > F.lit(float(sigma)) * mad), med).otherwise(x))
+        return F.transform(a, lambda x: F.when((x != 0) & (mad > MAD_FLOOR) & (F.abs(x - med) > F.lit(float(sigma)) * mad), med).otherwise(x))
 
     spread = lambda known, med: F.lit(MAD_SCALE) * array_median(F.transform(known, lambda x: F.abs(x - med)))
-    return let(F.filter(a, lambda x: x.isNotNull()), lambda k: let(array_median(k), lambda m: let(spread(k, m), lambda d: mended(m, d))))
+    return let(F.filter(a, lambda x: x != 0), lambda k: let(array_median(k), lambda m: let(spread(k, m), lambda d: mended(m, d))))
 
 
 def reject_outliers(volume: Volume, group: str, sigma: float = 3.0, n_iter: int = 1, strategy: str | None = None, full: bool = False) -> Volume:
     """Replace measured voxels that lie over ``sigma`` scaled MADs from the median of their equivalents by it.
 
     The result is dense and has a column ``replaced`` (how often a voxel was).
+    A voxel whose median is 0 becomes 0 and is unmeasured in the next rounds.
     Equivalents of a voxel are at most 48 values, so an orbit is one short
     array: with commensurate axes all rounds take a single shuffle.  Otherwise
     each round gathers anew from the mended values.  ``full`` is that of
@@ -277,7 +278,7 @@ def reject_outliers(volume: Volume, group: str, sigma: float = 3.0, n_iter: int
             near = gather(volume.with_voxels(out.select("vol", *DIMS, "val")), group, full).groupBy("vol", *DIMS).agg(F.collect_list("val").alias("e"))
             spread = let(array_median(F.col("e")), lambda m: F.struct(m.alias("med"), (F.lit(MAD_SCALE) * array_median(F.transform("e", lambda x: F.abs(x - m)))).alias("mad")))
             near = near.select("vol", *DIMS, spread.alias("m")).select("vol", *DIMS, "m.*")
-            bad = F.coalesce((F.col("mad") > MAD_FLOOR) & (F.abs(F.col("val") - F.col("med")) > F.lit(float(sigma)) * F.col("mad")), F.lit(False))
+            bad = F.coalesce((F.col("val") != 0) & (F.col("mad") > MAD_FLOOR) & (F.abs(F.col("val") - F.col("med")) > F.lit(float(sigma)) * F.col("mad")), F.lit(False))
             out = out.join(near, ["vol", *DIMS], "left")
             out = out.select("vol", *DIMS, F.when(bad, F.col("med")).otherwise(F.col("val")).alias("val"), (F.col("replaced") + bad.cast("int")).alias("replaced"))
             if i < n_iter - 1:
